@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from citeloom.plans import retrieval  # noqa: F401
+from citeloom.plans import graph, retrieval  # noqa: F401
 from citeloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
