@@ -124,21 +124,23 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN))
 
 
-def locate_page(text: Column, pages: Column) -> Column:
-    """1-based page on which the first 40 normalised characters of a text begin."""
-    clean = F.transform(pages, collapse)
-    snippet = F.substring(collapse(text), 1, 40)
-    position = F.instr(F.array_join(clean, " "), snippet) - 1
+def page_index(pages: Column) -> Column:
+    """struct<text, ends>: the normalised pages joined by blanks, and where each one ends."""
+    clean = F.transform(F.coalesce(pages, F.array().cast("array<string>")), collapse)
     ends = F.aggregate(
-        clean,
-        F.struct(F.lit(0).alias("offset"), F.lit(0).alias("passed")),
-        lambda acc, page: F.struct(
-            (acc["offset"] + F.length(page) + 1).cast("int").alias("offset"),
-            (acc["passed"] + F.when(acc["offset"] + F.length(page) + 1 <= position, 1).otherwise(0))
-            .cast("int").alias("passed"),
-        ),
+        F.transform(clean, lambda page: F.length(page) + 1),
+        F.array().cast("array<int>"),
+        lambda acc, n: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n).cast("int"))),
     )
-    return F.when((snippet == "") | (position < 0), F.lit(None).cast("int")).otherwise(ends["passed"] + 1)
+    return F.struct(F.array_join(clean, " ").alias("text"), ends.alias("ends"))
+
+
+def locate_page(text: Column, index: Column) -> Column:
+    """1-based page on which the first 40 normalised characters of a text begin; null if nowhere."""
+    snippet = F.substring(collapse(text), 1, 40)
+    position = F.instr(index["text"], snippet) - 1
+    passed = F.size(F.filter(index["ends"], lambda end: end <= position))
+    return F.when((snippet != "") & (position >= 0), passed + 1)
 
 
 def truncate_section(text: Column, limit: int) -> Column:

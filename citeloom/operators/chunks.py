@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.functions.text import locate_page, split_sentences, token_count, tokens
+from citeloom.functions.text import locate_page, page_index, split_sentences, token_count, tokens
 from citeloom.settings import DEFAULTS
 
 
@@ -72,7 +72,7 @@ def chunk_papers(
             papers = papers.withColumn(name, F.lit(None).cast(kind))
     split = papers.withColumn(
         "parts", F.transform("sections", lambda s: F.struct(s["name"].alias("name"), split_sentences(s["text"]).alias("sentences")))
-    )
+    ).withColumn("page_index", page_index(F.col("pages")))
     packed = split.withColumn(
         "pieces", _packer(size, overlap)(F.transform("parts", lambda p: F.transform(p["sentences"], lambda s: count(s).cast("int"))))
     )
@@ -83,12 +83,11 @@ def chunk_papers(
         part = F.array_join(F.slice(cut(F.get(sentences, piece[1])), piece[3] + 1, piece[4] - piece[3]), "")
         return F.when(piece[3] < 0, whole).otherwise(part)
 
-    no_pages = F.array().cast("array<string>")
     texts = F.transform(
         F.transform("pieces", lambda p: F.struct(F.get(F.col("parts"), p[0])["name"].alias("section_name"), piece_text(p).alias("text"))),
         lambda c: F.struct(
             c["section_name"].alias("section_name"), c["text"].alias("text"),
-            F.when(F.size(F.coalesce("pages", no_pages)) > 0, locate_page(c["text"], F.col("pages"))).alias("page_number"),
+            locate_page(c["text"], F.col("page_index")).alias("page_number"),
         ),
     )
     of_tables = F.transform(

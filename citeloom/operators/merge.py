@@ -88,9 +88,10 @@ def duplicate_edge_preview(edges: DataFrame) -> DataFrame:
 def paper_changes(papers: DataFrame, seq: Column) -> DataFrame:
     """Paper nodes as changes; every property is passed, nulls included."""
     properties = ["title", "authors", "year", "venue", "abstract", "collection_id"]
-    return papers.select("paper_id", *properties, F.filter(
-        F.array(F.nullif("abstract", F.lit("")), F.col("title")), lambda x: x.isNotNull()
-    ).getItem(0).alias("embed_text"), seq.alias("seq"), F.array(*[F.lit(p) for p in properties]).alias("passed"))
+    return papers.select(
+        "paper_id", *properties, F.coalesce(F.nullif("abstract", F.lit("")), "title").alias("embed_text"),
+        seq.alias("seq"), F.array(*[F.lit(p) for p in properties]).alias("passed"),
+    )
 
 
 def author_edges(papers: DataFrame) -> DataFrame:

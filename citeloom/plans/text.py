@@ -47,7 +47,7 @@ def norm_name(spark, sf):
 
 _SECTIONS = r"""
     WITH lines AS (
-        SELECT conv_id, unnest(list_transform(string_split(text, chr(10)), lambda x: x)) AS line,
+        SELECT conv_id, unnest(string_split(text, chr(10))) AS line,
                generate_subscripts(string_split(text, chr(10)), 1) AS pos
         FROM (SELECT conv_id, string_agg(list_extract(['', 'Abstract' || chr(10), '1. Introduction' || chr(10), 'II. METHODS' || chr(10),
                 '3.2. Results ' || chr(10), 'introduction' || chr(10), 'References' || chr(10), 'Appendix' || chr(10)], CAST(turn % 8 + 1 AS INTEGER)) || text,
@@ -55,10 +55,10 @@ _SECTIONS = r"""
     marked AS (SELECT *, CASE WHEN regexp_full_match(line, '(?i)\s*(?:[\divx]+[.\)]\s*)*(abstract|introduction|related work|background|method|methods|methodology|approach|model architecture|architecture|proposed method|system description|training|experiments|experimental setup|evaluation|results|discussion|conclusion|conclusions|future work|limitations|acknowledgments|acknowledgements|references|appendix)\s*')
             THEN regexp_replace(lower(trim(line)), '^(?:[\divx]+[.\)]\s*)*', '') END AS head FROM lines),
     placed AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY pos), 'preamble') AS name FROM marked),
-    bodies AS (SELECT conv_id, name, min(pos) AS at,
+    bodies AS (SELECT conv_id, name, min(pos) AS place,
                       coalesce(regexp_replace(string_agg(line, chr(10) ORDER BY pos) FILTER (head IS NULL), '^\s+|\s+$', '', 'g'), '') AS text
                FROM placed GROUP BY conv_id, name),
-    kept AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY at) - 1 AS ord FROM bodies WHERE text <> ''),
+    kept AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY place) - 1 AS ord FROM bodies WHERE text <> ''),
     sections AS (SELECT CAST(conv_id AS VARCHAR) AS paper_id, CAST(ord AS INTEGER) AS ord, name, text FROM kept WHERE n > 1)
 """
 
@@ -128,30 +128,20 @@ def token_counts(spark, sf):
 
 @query("f13_f14_chunks", _SENTENCES + f""",
     counted AS (SELECT doc_id, i, sentence, {tok('sentence')} AS n FROM sentences),
-    carry AS (SELECT a.doc_id, a.i, coalesce(min(b.i) FILTER (b.upto <= 200), a.i - 1) AS back
-              FROM counted a JOIN (SELECT x.doc_id, x.i AS e, y.i, sum(z.n) AS upto FROM counted x
-                   JOIN counted y ON y.doc_id = x.doc_id AND y.i < x.i AND y.i >= x.i - 60
-                   JOIN counted z ON z.doc_id = x.doc_id AND z.i >= y.i AND z.i < x.i GROUP BY ALL) b ON b.doc_id = a.doc_id AND b.e = a.i
-              GROUP BY a.doc_id, a.i),
-    running AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM counted),
-    packed AS (
-        SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS start, CAST(0 AS HUGEINT) AS cur, CAST(NULL AS BIGINT) AS out_start, CAST(NULL AS BIGINT) AS out_end
-        FROM counted WHERE i = 0
-        UNION ALL
-        SELECT doc_id, i + 1,
-               CASE WHEN n > 1000 THEN i + 1 WHEN NOT full_up THEN start WHEN carried + n > 1000 THEN i ELSE from_i END,
-               CASE WHEN n > 1000 THEN 0 WHEN NOT full_up THEN cur + n WHEN carried + n > 1000 THEN n ELSE carried + n END,
-               CASE WHEN full_up OR (n > 1000 AND i > start) THEN start END, CASE WHEN full_up OR (n > 1000 AND i > start) THEN i END
-        FROM (SELECT p.doc_id, p.i, start, cur, r.n, r.n <= 1000 AND cur + r.n > 1000 AS full_up, greatest(start, back) AS from_i,
-                     (SELECT 0) + prev.total - coalesce(before.total, 0) AS carried
-              FROM packed p JOIN running r ON r.doc_id = p.doc_id AND r.i = p.i
-              LEFT JOIN carry c ON c.doc_id = p.doc_id AND c.i = p.i
-              LEFT JOIN running prev ON prev.doc_id = p.doc_id AND prev.i = p.i - 1
-              LEFT JOIN running before ON before.doc_id = p.doc_id AND before.i = greatest(start, back) - 1)),
-    ends AS (SELECT doc_id, max(i) AS n FROM packed GROUP BY doc_id),
-    spans AS (SELECT doc_id, out_start AS s, out_end AS e FROM packed WHERE out_start IS NOT NULL
-              UNION ALL SELECT doc_id, start, i FROM packed JOIN ends USING (doc_id) WHERE i = n AND start < i),
-    texts AS (SELECT p.doc_id, s, 0 AS part, string_agg(sentence, ' ' ORDER BY c.i) AS text FROM spans p JOIN counted c ON c.doc_id = p.doc_id AND c.i >= s AND c.i < e GROUP BY p.doc_id, s, e
+    running AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS total, count(*) OVER (PARTITION BY doc_id) AS size FROM counted),
+    fill AS (SELECT s.doc_id, s.i AS s, coalesce(min(e.i), any_value(s.size)) AS e
+             FROM running s LEFT JOIN running e ON e.doc_id = s.doc_id AND e.i >= s.i AND e.i <= s.i + 1001
+                  AND (e.n > 1000 OR e.total - s.total + s.n > 1000) GROUP BY s.doc_id, s.i),
+    back AS (SELECT e.doc_id, e.i AS e, coalesce(min(b.i), e.i - 1) AS b
+             FROM running e LEFT JOIN running b ON b.doc_id = e.doc_id AND b.i < e.i AND b.i >= e.i - 200
+                  AND e.total - e.n - b.total + b.n <= 200 GROUP BY e.doc_id, e.i),
+    jumps AS (SELECT f.doc_id, f.s, f.e, CASE WHEN h.n > 1000 THEN f.s + 1 WHEN f.e = h.size THEN NULL WHEN t.n > 1000 THEN f.e
+                     WHEN t.total - c.total + c.n > 1000 THEN f.e ELSE c.i END AS next, h.n > 1000 AS big
+              FROM fill f JOIN running h ON h.doc_id = f.doc_id AND h.i = f.s LEFT JOIN running t ON t.doc_id = f.doc_id AND t.i = f.e
+              LEFT JOIN back b ON b.doc_id = f.doc_id AND b.e = f.e LEFT JOIN running c ON c.doc_id = f.doc_id AND c.i = greatest(f.s, b.b)),
+    spans AS (SELECT doc_id, s, e, next, big FROM jumps WHERE s = 0
+              UNION ALL SELECT j.doc_id, j.s, j.e, j.next, j.big FROM spans p JOIN jumps j ON j.doc_id = p.doc_id AND j.s = p.next),
+    texts AS (SELECT p.doc_id, s, 0 AS part, string_agg(sentence, ' ' ORDER BY c.i) AS text FROM spans p JOIN counted c ON c.doc_id = p.doc_id AND c.i >= s AND c.i < e WHERE NOT big GROUP BY p.doc_id, s, e
               UNION ALL SELECT doc_id, i, part, array_to_string(list_slice(parts, part * 1000 + 1, part * 1000 + 1000), '')
               FROM (SELECT doc_id, i, regexp_extract_all(sentence, '\\s*(?:[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s])') AS parts, unnest(range(0, CAST(ceil(n / 1000.0) AS BIGINT))) AS part FROM counted WHERE n > 1000))
     SELECT CAST(doc_id AS VARCHAR) AS paper_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, part) - 1 AS INTEGER) AS chunk_index, md5(text) AS digest FROM texts""")
