@@ -14,12 +14,6 @@ WITHIN_TYPES = (
 )
 ACROSS_TYPES = ("EXTENDS", "OUTPERFORMS", "CONTRADICTS", "CITES")
 
-_ITEMS = "array<map<string,string>>"
-REPLY_SCHEMA = (
-    f"methods {_ITEMS}, datasets {_ITEMS}, metrics {_ITEMS}, claims {_ITEMS}, relations {_ITEMS}"
-)
-
-
 def recover_json(raw: Column) -> Column:
     """JSON object text from a reply: fence removed, else the outermost braces; null if neither parses."""
     text = strip(raw)
@@ -34,17 +28,24 @@ def recover_json(raw: Column) -> Column:
 
 def confidence(value: Column) -> Column:
     """Clamp to [0, 1]; anything that is no number counts as 0."""
-    number = F.expr("1").cast("double") * value.try_cast("double")
+    number = value.try_cast("double")
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))
     # min(1.0, nan) keeps the bound, so NaN clamps to 1
     return F.when(number.isNull(), F.lit(0.0)).when(F.isnan(number), F.lit(1.0)).otherwise(clamped)
 
 
 def reply_items(reply: Column, field: str) -> Column:
-    """The objects listed under ``field`` as string maps; empty if absent."""
-    parsed = F.from_json(recover_json(reply), REPLY_SCHEMA)
-    return F.coalesce(parsed[field], F.array().cast(_ITEMS))
+    """array<variant> listed under ``field`` of the recovered object; empty if absent."""
+    listed = F.try_variant_get(F.try_parse_json(recover_json(reply)), f"$.{field}", "array<variant>")
+    return F.coalesce(listed, F.array().cast("array<variant>"))
 
 
 def item_text(item: Column, key: str) -> Column:
-    return strip(F.coalesce(F.element_at(item, key), F.lit("")))
+    """Trimmed text of a field; "" if absent or the item is no object."""
+    return strip(F.coalesce(F.try_variant_get(item, f"$.{key}", "string"), F.lit("")))
+
+
+def item_extras(item: Column, known: tuple[str, ...]) -> Column:
+    """The item's other fields as a string map, nulls left out."""
+    fields = F.try_variant_get(item, "$", "map<string,string>")
+    return F.map_filter(fields, lambda k, v: ~k.isin(*known) & v.isNotNull())

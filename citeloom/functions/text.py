@@ -6,6 +6,8 @@ is worked on inside its row, so none of them shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ _HEAD, _BODY = "\u0001", "\u0002"
 TOKEN = r"\s*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once; lambdas would else repeat it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Drop white space (Unicode) at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -72,24 +79,25 @@ def split_sections(text: Column) -> Column:
             F.when(i == 0, piece).otherwise(F.substring_index(piece, _BODY, -1)).alias("body"),
         ),
     )
-    names = F.array_distinct(F.transform(parts, lambda p: p["name"]))
-    merged = F.transform(
-        names,
-        lambda n: F.struct(
-            n.alias("name"),
-            strip(
-                F.array_join(
-                    F.transform(F.filter(parts, lambda p: p["name"] == n), lambda p: p["body"]), ""
-                )
-            ).alias("text"),
+
+    def merged(parts: Column) -> Column:
+        def body_of(name: Column) -> Column:
+            bodies = F.transform(F.filter(parts, lambda p: p["name"] == name), lambda p: p["body"])
+            return strip(F.array_join(bodies, ""))
+
+        names = F.array_distinct(F.transform(parts, lambda p: p["name"]))
+        sections = F.transform(names, lambda n: F.struct(n.alias("name"), body_of(n).alias("text")))
+        return F.filter(sections, lambda s: s["text"] != "")
+
+    whole = F.array(F.struct(F.lit(0).alias("ord"), F.lit("full_text").alias("name"), text.alias("text")))
+    return let(
+        let(parts, merged),
+        lambda kept: F.when(F.size(kept) <= 1, whole).otherwise(
+            F.transform(
+                kept, lambda s, i: F.struct(i.alias("ord"), s["name"].alias("name"), s["text"].alias("text"))
+            )
         ),
     )
-    kept = F.filter(merged, lambda s: s["text"] != "")
-    numbered = F.transform(
-        kept, lambda s, i: F.struct(i.alias("ord"), s["name"].alias("name"), s["text"].alias("text"))
-    )
-    whole = F.array(F.struct(F.lit(0).alias("ord"), F.lit("full_text").alias("name"), text.alias("text")))
-    return F.when(F.size(kept) <= 1, whole).otherwise(numbered)
 
 
 def split_references(section: Column) -> Column:
@@ -98,7 +106,10 @@ def split_references(section: Column) -> Column:
     name_year = _entries(
         F.split(section, r"\n(?=[A-Z][\w\-À-ÿ]*[.,]?\s[^\n]{0,120}?(?:19|20)\d{2}\.)")
     )
-    best = F.when(F.size(numbered) >= F.size(name_year), numbered).otherwise(name_year)
+    best = let(
+        F.struct(numbered.alias("a"), name_year.alias("b")),
+        lambda x: F.when(F.size(x["a"]) >= F.size(x["b"]), x["a"]).otherwise(x["b"]),
+    )
     return F.when(F.coalesce(section, F.lit("")) == "", F.array().cast("array<string>")).otherwise(best)
 
 
@@ -138,9 +149,10 @@ def page_index(pages: Column) -> Column:
 def locate_page(text: Column, index: Column) -> Column:
     """1-based page on which the first 40 normalised characters of a text begin; null if nowhere."""
     snippet = F.substring(collapse(text), 1, 40)
-    position = F.instr(index["text"], snippet) - 1
-    passed = F.size(F.filter(index["ends"], lambda end: end <= position))
-    return F.when((snippet != "") & (position >= 0), passed + 1)
+    return let(
+        F.when(snippet != "", F.instr(index["text"], snippet) - 1),
+        lambda at: F.when(at >= 0, F.size(F.filter(index["ends"], lambda end: end <= at)) + 1),
+    )
 
 
 def truncate_section(text: Column, limit: int) -> Column:

@@ -167,9 +167,9 @@ def json_recovery(spark, sf):
 
 
 @query("p10_confidence", """
-    SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0.0 ELSE least(1.0, greatest(0.0, round(o_totalprice / 400000 - 0.1, 6))) END AS confidence FROM orders""")
+    SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0.0 ELSE least(1.0, greatest(0.0, o_totalprice / 400000 - 0.1)) END AS confidence FROM orders""")
 def confidence(spark, sf):
-    raw = F.when(F.col("o_orderstatus") == "P", "high").otherwise(F.round(F.col("o_totalprice") / 400000 - 0.1, 6).cast("string"))
+    raw = F.when(F.col("o_orderstatus") == "P", "high").otherwise((F.col("o_totalprice") / 400000 - 0.1).cast("string"))
     return d.table(spark, sf, "orders").select("o_orderkey", replies.confidence(raw).alias("confidence"))
 
 
