@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.functions.replies import confidence
 from citeloom.functions.text import norm_title
 
 
 def clamp_score(value: Column) -> Column:
-    number = value.try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.isnan(number), F.lit(1.0)).otherwise(number))), F.lit(0.0))
+    """A judge's score clamped to [0, 1]; anything that is no number counts as 0."""
+    return confidence(value)
 
 
 def recall(questions: DataFrame, sources: DataFrame, cited: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ thresholds, grounding) is column work.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -185,8 +186,7 @@ def foreign_candidates(existing: DataFrame, own: DataFrame, cap: int = DEFAULTS.
     """
     first = existing.orderBy("node_id").limit(cap).select("name", "entity_type", norm_name(F.col("name")).alias("norm")).collect()
     kind = "array<struct<name:string,entity_type:string,norm:string>>"
-    every = F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.entity_type).alias("entity_type"), F.lit(r.norm).alias("norm"))
-                      for r in first]).cast(kind)
+    every = F.from_json(F.lit(json.dumps([r.asDict() for r in first])), kind)
     mine = own.groupBy("paper_id").agg(F.collect_set(norm_name(F.col("name"))).alias("mine"))
     left = F.transform(
         F.filter(every, lambda c: ~F.array_contains("mine", c["norm"])),

@@ -52,7 +52,7 @@ def retrieve(
     """Seeds, traversal, scoping, cap, score and rank for queries(query_id, vector, collection_id)."""
     entities = written(entity_seeds(corpus.entity_vectors, queries, entity_top_k, corpus.dimension), "entity-seeds")
     chunks = written(chunk_seeds(corpus.chunk_vectors, queries, chunk_top_k, corpus.dimension), "chunk-seeds")
-    papers = written(seed_papers(entities, chunks, corpus.entity_papers), "seed-papers")
+    papers = seed_papers(entities, chunks, corpus.entity_papers)
     seeds = written(resolve_seeds(entities, papers, corpus.nodes, queries), "seeds")
     edges, nodes = subgraphs(corpus, queries, seeds, hops, rel_types, entity_types, max_nodes, row_limit)
     described = nodes.join(corpus.nodes, "node_id")
@@ -73,7 +73,7 @@ def subgraphs(
     if entity_types is not None:
         edges = written(filter_entity_types(edges, corpus.nodes, seeds, entity_types), "typed")
     edges, nodes = scope_to_collection(edges, corpus.nodes, queries)
-    edges, nodes = written(edges, "scoped-edges"), written(nodes, "scoped-nodes")
+    nodes = written(nodes, "scoped-nodes")
     nodes = written(cap_nodes(edges, nodes, max_nodes), "capped-nodes")
     return written(keep_between(edges, nodes.select("query_id", "node_id")), "capped-edges"), nodes
 

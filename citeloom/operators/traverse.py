@@ -149,10 +149,12 @@ def scope_to_collection(
             | ((F.col("label") == "Claim") & F.coalesce(~F.col("paper_kept"), F.lit(True)))
         ),
     )
-    flagged = judged.withColumn(
-        "pruning", F.max("drop").over(Window.partitionBy("query_id"))
-    ).filter(~F.col("drop"))
-    kept_edges = keep_between(edges, flagged.select("query_id", "node_id"))
+    flagged = written(
+        judged.withColumn("pruning", F.max("drop").over(Window.partitionBy("query_id")))
+        .filter(~F.col("drop")).select("query_id", "node_id", "node_ord", "label", "pruning"),
+        "in-scope",
+    )
+    kept_edges = written(keep_between(edges, flagged.select("query_id", "node_id")), "scoped-edges")
     touched = subgraph_nodes(kept_edges).select("query_id", "node_id", F.lit(True).alias("touched"))
     kept_nodes = (
         flagged.join(touched, ["query_id", "node_id"], "left")

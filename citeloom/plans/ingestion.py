@@ -120,9 +120,9 @@ def _extracted(spark, sf):
 
 @query("u1_entities", r"""
     WITH w AS (SELECT *, regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS words FROM documents WHERE trim(text) <> '')
-    SELECT CAST(doc_id AS VARCHAR) AS paper_id, 'method' AS kind, words[1] AS name, 0.9 AS confidence FROM w
-    UNION ALL SELECT CAST(doc_id AS VARCHAR), 'metric', 'words', 1.0 FROM w
-    UNION ALL SELECT CAST(doc_id AS VARCHAR), 'claim', trim(split_part(text, chr(10), 1)), 0.8 FROM w WHERE trim(split_part(text, chr(10), 1)) <> ''""")
+    SELECT CAST(doc_id AS VARCHAR) AS paper_id, 'method' AS kind, words[1] AS name, 0.9::DOUBLE AS confidence FROM w
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), 'metric', 'words', 1.0::DOUBLE FROM w
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), 'claim', trim(split_part(text, chr(10), 1)), 0.8::DOUBLE FROM w WHERE trim(split_part(text, chr(10), 1)) <> ''""")
 def entities(spark, sf):
     return _extracted(spark, sf).select("paper_id", "kind", "name", "confidence")
 
@@ -244,7 +244,8 @@ def entity_resolution(spark, sf):
 
 
 @query("u11_answers", using("chunk_seeds") + """
-    SELECT q.query_id, coalesce('words: ' || (SELECT len(string_split(string_agg(text, ' '), ' ')) FROM chunk_seeds c WHERE false), 'label ' || q.query_id || '?') AS answer FROM questions q""")
+    SELECT q.query_id, CASE WHEN EXISTS (SELECT 1 FROM chunk_seeds c WHERE c.query_id = q.query_id) THEN 'label ' || q.query_id || '?'
+           ELSE 'No relevant content was found.' END AS answer FROM questions q""")
 def answers(spark, sf):
     def offline():
         return lambda system, prompt: prompt.split("<question>\n")[1].split("\n</question>")[0]
@@ -408,12 +409,12 @@ def new_chunks(spark, sf):
 @query("s14_eval_questions", """
     SELECT CAST(item_id AS VARCHAR) AS id, md5(text) AS digest FROM benchmark""")
 def eval_questions(spark, sf):
-    """Benchmark passages as an evaluation file, written as JSON and read back."""
+    """Benchmark passages as evaluation sets of one question per line, written and read back."""
     folder = scratch_folder(spark, "questions")
     rows = d.table(spark, sf, "benchmark").select(F.array(F.struct(F.lit("p").alias("id"))).alias("papers"), F.array(
         F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"))).alias("questions"))
     rows.write.json(folder)
-    return feeds.evaluation_set(spark, folder)[1].select("id", F.md5("question").alias("digest"))
+    return feeds.evaluation_set(spark, folder, multi_line=False)[1].select("id", F.md5("question").alias("digest"))
 
 
 @query("p3_equality_filter", "SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src7'")

@@ -5,32 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import collapse, strip
+from citeloom.functions.text import collapse, let, strip
 
 
-def _path(*names: str) -> str:
-    """XPath that ignores namespaces."""
-    return "/" + "/".join(f"*[local-name()='{n}']" for n in names)
+_FEED = (
+    "entry array<struct<id:string,title:string,summary:string,published:string,author:array<struct<name:string>>>>"
+)
 
 
 def atom_metadata(xml: Column) -> Column:
     """struct<title,authors,abstract,year> of the first entry; null if it is an error or has no title."""
-    first = "/*[local-name()='feed']/*[local-name()='entry'][1]"
-    title = F.xpath_string(xml, F.lit(first + _path("title")))
-    entry_id = F.xpath_string(xml, F.lit(first + _path("id")))
-    authors = F.filter(
-        F.transform(F.xpath(xml, F.lit(first + _path("author", "name") + "/text()")), strip), lambda a: a != ""
+    parsed = F.from_xml(xml, _FEED, {"ignoreNamespace": "true"})
+    return let(
+        F.get(parsed["entry"], F.lit(0)),
+        lambda e: F.when(
+            (F.coalesce(e["title"], F.lit("")) != "")
+            & ~F.coalesce(F.contains(e["id"], F.lit("api/errors")), F.lit(False)),
+            F.struct(
+                collapse(e["title"]).alias("title"),
+                F.filter(
+                    F.transform(
+                        F.coalesce(e["author"], F.array().cast("array<struct<name:string>>")),
+                        lambda a: strip(F.coalesce(a["name"], F.lit(""))),
+                    ),
+                    lambda n: n != "",
+                ).alias("authors"),
+                F.nullif(collapse(e["summary"]), F.lit("")).alias("abstract"),
+                F.substring(e["published"], 1, 4).try_cast("int").alias("year"),
+            ),
+        ),
     )
-    published = F.xpath_string(xml, F.lit(first + _path("published")))
-    found = F.struct(
-        collapse(title).alias("title"), authors.alias("authors"),
-        F.nullif(collapse(F.xpath_string(xml, F.lit(first + _path("summary")))), F.lit("")).alias("abstract"),
-        F.substring(published, 1, 4).try_cast("int").alias("year"),
-    )
-    return F.when((F.coalesce(title, F.lit("")) != "") & ~F.coalesce(F.contains(entry_id, F.lit("api/errors")), F.lit(False)), found)
 
 
-def evaluation_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(papers, questions) of a JSON evaluation file."""
-    whole = spark.read.option("multiLine", True).json(path)
+def evaluation_set(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(papers, questions) of JSON evaluation files: one object per file, or one per line."""
+    whole = spark.read.option("multiLine", multi_line).json(path)
     return whole.select(F.inline("papers")), whole.select(F.inline("questions"))
