@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,12 +48,17 @@ def centroids(df: DataFrame, key: str, vector: str, out: str = "centroid") -> Da
 def hashing_embedder(dimension: int) -> Callable[[list[str]], np.ndarray]:
     """Feature hashing of words into ``dimension`` signed buckets, unit length."""
 
+    @lru_cache(maxsize=200_000)
+    def place(word: str) -> tuple[int, float]:
+        code = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        return (code >> 1) % dimension, 1.0 if code & 1 else -1.0
+
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimension))
         for row, text in enumerate(texts):
             for word in _WORD.findall((text or "").lower()):
-                code = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
-                out[row, (code >> 1) % dimension] += 1.0 if code & 1 else -1.0
+                bucket, sign = place(word)
+                out[row, bucket] += sign
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1.0, norms)
 

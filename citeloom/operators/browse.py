@@ -105,7 +105,7 @@ def relationships_in_collection(nodes: DataFrame, edges: DataFrame, collection:
 
 
 def paper_entities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct non-paper neighbours of every paper with relation and direction."""
+    """Non-paper neighbours of every paper with relation and direction; distinct because edges are."""
     papers = nodes.filter(F.col("label") == "Paper").select("node_id", "paper_id")
     entities = nodes.filter(F.col("label") != "Paper").select(
         F.col("node_id").alias("entity_id"), "label", filled(F.col("name"), F.col("text")).alias("name")
@@ -117,7 +117,6 @@ def paper_entities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .join(entities, "entity_id")
         .select("paper_id", "entity_id", "label", "name", "rel_type",
                 (F.col("direction") == "outgoing").alias("from_paper"), "confidence")
-        .distinct()
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.names import grounded
@@ -70,10 +70,12 @@ def grounded_introductions(linked: DataFrame) -> DataFrame:
 
 def without_conflicts(linked: DataFrame) -> DataFrame:
     """TRAINED_ON yields to EVALUATES_ON between the same two nodes of one paper's run."""
-    evaluated = linked.filter(F.col("relation_type") == "EVALUATES_ON").select("paper_id", "src", "dst").distinct()
-    trained = linked.filter(F.col("relation_type") == "TRAINED_ON").join(evaluated, ["paper_id", "src", "dst"], "left_anti")
-    others = linked.filter(F.col("relation_type") != "TRAINED_ON")
-    return others.unionByName(trained.select(*others.columns))
+    evaluated = F.max((F.col("relation_type") == "EVALUATES_ON").cast("int")).over(
+        Window.partitionBy("paper_id", "src", "dst")
+    )
+    return linked.withColumn("_evaluated", evaluated).filter(
+        (F.col("relation_type") != "TRAINED_ON") | (F.col("_evaluated") == 0)
+    ).drop("_evaluated")
 
 
 def linked_relations(relations: DataFrame, stored: DataFrame, own: DataFrame, paper_node: Column) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.runtime import top_k_per_group, written
 from citeloom.settings import DEFAULTS, SEARCH_LABELS
 
 K1, B = 1.2, 0.75
+SLACK = 1e-5  # scores are compared after rounding to 6 digits
 
 
 def terms(text: Column) -> Column:
@@ -55,16 +56,54 @@ def search(
     weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (
         tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_words") / F.col("mean_words")))
     )
-    weighted = hits.join(spread, ["label", "term"]).join(sizes, "label").select("label", "node_id", "term", weight.alias("w"))
+    weighted = written(
+        hits.join(spread, ["label", "term"]).join(sizes, "label").select("label", "node_id", "term", weight.alias("w")),
+        "weighted",
+    )
+    chosen = _candidates(weighted, asked, limit)
     scored = (
-        weighted.join(asked, "term").groupBy("query_id", "label", "node_id")
-        .agg(F.round(F.sum("w"), 6).alias("score"))
+        chosen.join(weighted, ["label", "node_id"]).join(asked, ["query_id", "term"])
+        .groupBy("query_id", "label", "node_id").agg(F.round(F.sum("w"), 6).alias("score"))
     )
     order = [F.desc("score"), F.col("node_id")]
     per_label = top_k_per_group(scored, ["query_id", "label"], order, limit, "_in_label").drop("_in_label")
     return top_k_per_group(per_label, ["query_id"], order, limit, "rank")
 
 
+def _candidates(weighted: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """(query_id, label, node_id) that can still reach the top ``limit`` of their label.
+
+    A query's terms are ordered by the best weight they give any node. The
+    first ones, up to one that ``limit`` nodes hold, give every query a score
+    its top nodes reach at least. Nodes that hold only later terms whose best
+    weights together stay below that score are out, so common words never
+    pair a query with all nodes.
+    """
+    best = weighted.groupBy("label", "term").agg(F.max("w").alias("best"), F.count("*").alias("held"))
+    by_best = Window.partitionBy("query_id", "label").orderBy(F.desc("best"), "term")
+    terms_of = asked.join(best, "term").select(
+        "query_id", "label", "term",
+        F.sum("best").over(by_best.rowsBetween(0, Window.unboundedFollowing)).alias("still_possible"),
+        F.coalesce(
+            F.max((F.col("held") >= limit).cast("int")).over(by_best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("enough_before"),
+    )
+    terms_of = written(terms_of, "query-terms")
+    probed = (
+        terms_of.filter("enough_before = 0").join(weighted, ["label", "term"])
+        .groupBy("query_id", "label", "node_id").agg(F.sum("w").alias("part"))
+    )
+    reached = (
+        top_k_per_group(probed, ["query_id", "label"], [F.desc("part"), F.col("node_id")], limit, "_place")
+        .filter(F.col("_place") == limit).select("query_id", "label", F.col("part").alias("reached"))
+    )
+    deciding = terms_of.join(reached, ["query_id", "label"], "left").filter(
+        F.col("still_possible") >= F.coalesce("reached", F.lit(0.0)) - SLACK
+    )
+    return deciding.select("query_id", "label", "term").join(weighted, ["label", "term"]).select(
+        "query_id", "label", "node_id").distinct()
+
+
 def in_collection(nodes: DataFrame, edges: DataFrame, collection: str) -> DataFrame:
     """Nodes a search scoped to the collection may return."""
     papers = nodes.filter((F.col("label") == "Paper") & (F.col("collection_id") == collection))

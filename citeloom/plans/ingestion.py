@@ -15,7 +15,7 @@ from citeloom.plans import retrieval as r
 from citeloom.plans.domain_sql import using
 from citeloom.plans.registry import query
 from citeloom.plans.text import documents
-from citeloom.runtime import scratch_folder
+from citeloom.runtime import scratch_folder, spread
 from citeloom.functions.text import split_sentences
 from citeloom.sources import checkpoints, feeds, files
 from citeloom.streaming import jobs
@@ -156,7 +156,7 @@ def relations(spark, sf):
 @query("u5_claim_dedup")
 def claim_dedup(spark, sf):
     """Sentences of each document as its claims."""
-    claims = d.table(spark, sf, "documents").select(
+    claims = spread(d.table(spark, sf, "documents")).select(
         F.col("doc_id").alias("paper_id"), F.posexplode(split_sentences(F.col("text"))).alias("seq", "text"))
     return extract.dedupe_claims(claims.withColumn("vector", embed(F.col("text"), 64)))
 

@@ -12,6 +12,7 @@ from citeloom.operators.search import in_collection, search, searchable
 from citeloom.plans import domain as d
 from citeloom.plans.domain_sql import tok, using
 from citeloom.plans.registry import query
+from citeloom.runtime import spread
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 COLLAPSE = r"regexp_replace(regexp_replace({}, '\s+', ' ', 'g'), '^ | $', '', 'g')"
@@ -30,7 +31,7 @@ def threads(spark, sf):
 
 def documents(spark, sf):
     """Documents as papers of one section."""
-    return d.table(spark, sf, "documents").select(
+    return spread(d.table(spark, sf, "documents")).select(
         F.col("doc_id").cast("string").alias("paper_id"), "text", F.col("source").alias("collection_id"), "lang")
 
 
@@ -71,7 +72,7 @@ def sections(spark, sf):
 
 @query("f7_unsectioned", "SELECT doc_id, md5(text) AS digest FROM documents")
 def unsectioned(spark, sf):
-    cut = d.table(spark, sf, "documents").select("doc_id", F.inline(t.split_sections(F.col("text"))))
+    cut = spread(d.table(spark, sf, "documents")).select("doc_id", F.inline(t.split_sections(F.col("text"))))
     return cut.filter(F.col("name") == "full_text").select("doc_id", F.md5("text").alias("digest"))
 
 
@@ -284,7 +285,7 @@ def claim_grounding(spark, sf):
 @query("v1_embedding_norm", r"""
     SELECT doc_id, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0 ELSE 0.0 END AS norm FROM documents""")
 def embedding_norm(spark, sf):
-    vec = d.table(spark, sf, "documents").select("doc_id", embed(F.col("text"), 64).alias("v"))
+    vec = spread(d.table(spark, sf, "documents")).select("doc_id", embed(F.col("text"), 64).alias("v"))
     square = F.aggregate(F.transform("v", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
     return vec.select("doc_id", F.round(F.sqrt(square), 5).alias("norm"))
 

@@ -57,6 +57,15 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where a scan has fewer splits than there are cores (few, small files).
+
+    Large inputs have more splits than cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Store an intermediate result as a table beside the checkpoints and read it back.
 
