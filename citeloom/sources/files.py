@@ -41,15 +41,15 @@ def upload(files: DataFrame, stored: DataFrame, order: Column) -> DataFrame:
         files.withColumn("content_hash", F.sha2("content", 256)).withColumn("error", rejection(F.col("content"))).drop("content")
     )
     counts = marked.groupBy("batch_id").agg(F.count("*").alias("n_files"))
+    sized = marked.join(counts, "batch_id")
+    too_many = F.col("n_files") > DEFAULTS.max_files_per_upload
     first = (
-        marked.filter(F.col("error").isNull()).groupBy("content_hash")
+        sized.filter(F.col("error").isNull() & ~too_many).groupBy("content_hash")
         .agg(F.min(F.struct(order.alias("o"))).alias("first"))
     )
-    joined = (
-        marked.join(counts, "batch_id").join(first, "content_hash", "left")
-        .join(stored.select("content_hash", "paper_id"), "content_hash", "left")
+    joined = sized.join(first, "content_hash", "left").join(
+        stored.select("content_hash", "paper_id"), "content_hash", "left"
     )
-    too_many = F.col("n_files") > DEFAULTS.max_files_per_upload
     return joined.select(
         "batch_id", "filename", "content_hash",
         F.when(too_many | F.col("error").isNotNull(), "rejected")
