@@ -180,7 +180,8 @@ def extract_relations(
 def foreign_candidates(existing: DataFrame, own: DataFrame, cap: int = DEFAULTS.candidate_entities) -> DataFrame:
     """(paper_id, offered array<struct<name,entity_type>>, listed): stored entities a paper does not name itself.
 
-    existing(node_id, name, entity_type); own(paper_id, name). The cap bounds
+    existing(node_id, name, entity_type); own(paper_id, name), with a null name
+    for papers that name nothing. The cap bounds
     the prompt, so the list is a literal of that size and each paper's row
     filters it; nothing is paired up.
     """

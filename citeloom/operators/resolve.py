@@ -16,7 +16,6 @@ pluggable test; the best confirmed one wins.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -243,10 +242,10 @@ def resolve(
 def merged_entities(resolved: DataFrame, stored: DataFrame) -> DataFrame:
     """Canonical name per entity: the shortest spelling, stored before new on ties: (node_key, name, spellings)."""
     old = stored.join(resolved.select(F.col("node_key").alias("node_id")).distinct(), "node_id", "left_semi").select(
-        F.col("node_id").alias("node_key"), "name", F.lit(-1).cast("long").alias("seq"))
-    names = resolved.select("node_key", "name", F.col("seq").cast("long").alias("seq")).unionByName(old)
+        F.col("node_id").alias("node_key"), "name", F.lit(0).alias("age"), F.lit(None).cast(resolved.schema["seq"].dataType).alias("seq"))
+    names = resolved.select("node_key", "name", F.lit(1).alias("age"), "seq").unionByName(old)
     return names.groupBy("node_key").agg(
-        F.min_by("name", F.struct(F.length("name"), "seq", "name")).alias("name"), F.count_distinct("name").alias("spellings"))
+        F.min_by("name", F.struct(F.length("name"), "age", "seq", "name")).alias("name"), F.count_distinct("name").alias("spellings"))
 
 
 def alias_rows(resolved: DataFrame, stored: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -256,8 +255,3 @@ def alias_rows(resolved: DataFrame, stored: DataFrame, canonical: DataFrame) ->
     return rows.join(canonical.select("node_key", F.col("name").alias("canonical")), "node_key").filter(
         norm_name(F.col("alias")) != norm_name(F.col("canonical"))).select("node_key", "alias")
 
-
-def pair_floor(length: int, floor: float) -> int:
-    """Python form of ``shared_pairs_floor`` for tests."""
-    r = floor / (2 - floor)
-    return math.floor(length - 1 - max(2 * (1 - r) * length, 3 * (1 - floor) * length, (1 / r - 1) * length))
