@@ -15,7 +15,7 @@ from citeloom.plans import retrieval as r
 from citeloom.plans.domain_sql import using
 from citeloom.plans.registry import query
 from citeloom.plans.text import documents
-from citeloom.runtime import scratch_folder, spread
+from citeloom.runtime import scratch_folder, spread, written
 from citeloom.functions.text import split_sentences
 from citeloom.sources import checkpoints, feeds, files
 from citeloom.streaming import jobs
@@ -182,6 +182,14 @@ def _name_index(spark, sf):
     return link.name_index(p.unionByName(s), [])
 
 
+def _own_names(spark, sf):
+    """Names each order's own lines introduce, as its run would index them."""
+    li = d.table(spark, sf, "lineitem").filter("l_returnflag = 'A'").select("l_orderkey", "l_partkey", d.line_order().alias("seq"))
+    p = d.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
+    return link.name_index(li.join(p, "l_partkey").select(
+        F.col("l_orderkey").cast("string").alias("paper_id"), "name", F.concat(F.lit("m:"), "name").alias("node_id"), F.lit("Method").alias("label"), "seq"), ["paper_id"])
+
+
 _LINKED = """
     WITH rels AS (SELECT l_orderkey, CASE WHEN l_linenumber = 6 THEN 'REPORTS_RESULT' WHEN l_returnflag = 'A' THEN 'USES_METHOD' WHEN l_returnflag = 'R' THEN 'TRAINED_ON' ELSE 'EVALUATES_ON' END AS rel_type,
                 CASE WHEN l_linenumber = 7 OR l_returnflag = 'A' THEN 'm:' || p_name ELSE 's:' || l_suppkey END AS dst FROM lineitem JOIN part ON p_partkey = l_partkey),
@@ -191,7 +199,7 @@ _LINKED = """
 @query("j6_p21_linked_relations", _LINKED + """
     SELECT 'o:' || l_orderkey AS src, dst, rel_type AS relation_type, count(*) AS n FROM fitting GROUP BY ALL""")
 def linked_relations(spark, sf):
-    own = _name_index(spark, sf).filter("false").withColumn("paper_id", F.lit(""))
+    own = _own_names(spark, sf)
     rows = link.fitting_targets(link.link(_written_relations(spark, sf), _name_index(spark, sf), own, F.concat(F.lit("o:"), "paper_id")))
     return rows.groupBy("src", "dst", "relation_type").agg(F.count("*").alias("n"))
 
@@ -200,7 +208,7 @@ def linked_relations(spark, sf):
     SELECT 'o:' || l_orderkey AS src, dst, rel_type AS relation_type, count(*) AS n FROM fitting f
     WHERE rel_type <> 'TRAINED_ON' OR NOT EXISTS (SELECT 1 FROM fitting e WHERE e.rel_type = 'EVALUATES_ON' AND e.l_orderkey = f.l_orderkey AND e.dst = f.dst) GROUP BY ALL""")
 def without_conflicts(spark, sf):
-    own = _name_index(spark, sf).filter("false").withColumn("paper_id", F.lit(""))
+    own = _own_names(spark, sf)
     rows = link.linked_relations(_written_relations(spark, sf), _name_index(spark, sf), own, F.concat(F.lit("o:"), "paper_id"))
     return rows.groupBy("src", "dst", "relation_type").agg(F.count("*").alias("n"))
 
@@ -406,6 +414,49 @@ def new_chunks(spark, sf):
     return insert_new(d.corpus(spark, sf).chunk_vectors, incoming, ["paper_id"]).groupBy("paper_id").agg(F.count("*").alias("n"))
 
 
+@query("k16_partial_chunks", """
+    SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
+def partial_chunks(spark, sf):
+    from citeloom.operators.build import drop_chunks_of
+
+    chunks = d.table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("paper_id"))
+    failed = d.table(spark, sf, "labels").filter("quality = 0").select(F.col("doc_id").cast("string").alias("paper_id"))
+    return drop_chunks_of(chunks, failed).select(F.col("doc_id").alias("chunk_id"))
+
+
+@query("s17_dump", """
+    SELECT label, count(*) AS n FROM embeddings GROUP BY label""")
+def dump(spark, sf):
+    """Vectors written as JSON lines and read back."""
+    folder = scratch_folder(spark, "dump")
+    rows = d.table(spark, sf, "embeddings")
+    rows.write.json(folder)
+    return spark.read.schema(rows.schema).json(folder).filter(F.size("embedding") > 0).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("u6_u16_graph_from_text")
+def graph_from_text(spark, sf):
+    """Conversations as sectioned papers, taken through extraction, resolution, linking and merging into the part names."""
+    from citeloom.functions.text import split_sections
+    from citeloom.operators.build import EDGE_FIELDS, build_graph, extract_batch
+    from citeloom.plans.text import threads
+    from citeloom.schema import EDGES, NODES
+
+    none = F.lit(None).cast("string")
+    papers = written(threads(spark, sf).select(
+        "paper_id", F.concat(F.lit("Thread "), "paper_id").alias("title"), F.array(F.concat(F.lit("Author "), F.col("paper_id"))).alias("authors"),
+        F.lit(None).cast("int").alias("year"), none.alias("venue"), none.alias("abstract"), none.alias("collection_id"),
+        split_sections(F.col("text")).alias("sections")), "papers")
+    names = d.table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
+    stored = names.select(*[
+        {"node_id": F.concat(F.lit("m:"), "name"), "label": F.lit("Method"), "name": F.col("name")}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in NODES.fields])
+    edges = spark.createDataFrame([], EDGES).select("src", "dst", "rel_type", *EDGE_FIELDS, "occurrence_count")
+    found = extract_batch(papers, stored, [offline_entities], d.DIMENSION)
+    built = build_graph(papers, found, stored, edges, dimension=d.DIMENSION)
+    return built["edges"].select("src", "dst", "rel_type", "occurrence_count")
+
+
 @query("s14_eval_questions", """
     SELECT CAST(item_id AS VARCHAR) AS id, md5(text) AS digest FROM benchmark""")
 def eval_questions(spark, sf):

@@ -283,7 +283,7 @@ def claim_grounding(spark, sf):
 
 
 @query("v1_embedding_norm", r"""
-    SELECT doc_id, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0 ELSE 0.0 END AS norm FROM documents""")
+    SELECT doc_id, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0::DOUBLE ELSE 0.0 END AS norm FROM documents""")
 def embedding_norm(spark, sf):
     vec = spread(d.table(spark, sf, "documents")).select("doc_id", embed(F.col("text"), 64).alias("v"))
     square = F.aggregate(F.transform("v", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
