@@ -152,7 +152,7 @@ def paged_scan(spark, sf):
     return browse.page(d.table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey", 50, 100)
 
 
-@query("g9_collection_subgraph", using("nodes", "edges") + """
+_SHOWN_SQL = using("nodes", "edges") + """
     , asked AS (SELECT DISTINCT o_orderpriority AS wanted FROM orders),
     met AS (SELECT wanted, src, dst, rel_type, coalesce(confidence, 0) AS conf FROM asked, edges
             WHERE src IN (SELECT node_id FROM nodes WHERE collection_id = wanted)
@@ -166,8 +166,11 @@ def paged_scan(spark, sf):
     last AS (SELECT wanted, arg_min(CASE WHEN dst IN (SELECT node_id FROM kept k WHERE k.wanted = i.wanted) THEN src ELSE dst END, ord) AS node_id
              FROM inside i WHERE wanted IN (SELECT wanted FROM short)
                AND (src IN (SELECT node_id FROM kept k WHERE k.wanted = i.wanted)) <> (dst IN (SELECT node_id FROM kept k WHERE k.wanted = i.wanted))
-             GROUP BY wanted)
-    SELECT wanted AS collection_id, node_id FROM kept UNION ALL SELECT wanted, node_id FROM last""")
+             GROUP BY wanted),
+    shown AS (SELECT wanted, node_id FROM kept UNION ALL SELECT wanted, node_id FROM last)"""
+
+
+@query("g9_collection_subgraph", _SHOWN_SQL + " SELECT wanted AS collection_id, node_id FROM shown")
 def collection_subgraph(spark, sf):
     return _collection_graph(spark, sf)[1].select(F.col("query_id").alias("collection_id"), "node_id")
 
@@ -183,7 +186,10 @@ def _collection_graph(spark, sf):
     return _SHOWN[key]
 
 
-@query("a3_collection_counts")
+@query("a3_collection_counts", _SHOWN_SQL + """
+    SELECT wanted AS collection_id, 'node' AS kind, label AS name, count(*) AS n FROM shown JOIN nodes USING (node_id) GROUP BY ALL
+    UNION ALL SELECT i.wanted, 'edge', rel_type, count(*) FROM inside i JOIN shown a ON a.wanted = i.wanted AND a.node_id = i.src
+    JOIN shown b ON b.wanted = i.wanted AND b.node_id = i.dst GROUP BY ALL""")
 def collection_counts(spark, sf):
     edges, nodes = _collection_graph(spark, sf)
     return browse.subgraph_counts(edges, nodes, d.corpus(spark, sf).nodes).withColumnRenamed("query_id", "collection_id")
@@ -313,7 +319,10 @@ def label_order(spark, sf):
     return top_k_per_group(counts, ["one"], [ctx.label_order(F.col("label")), F.col("label")], 100, "place").drop("one")
 
 
-@query("f23_palette_slot")
+@query("f23_palette_slot", using("nodes") + """
+    SELECT node_id, CAST(abs(list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(node_id, ''), lambda c: CAST(ord(c) AS BIGINT))),
+        lambda h, c: xor(CASE WHEN (h * 33) & 4294967295 >= 2147483648 THEN ((h * 33) & 4294967295) - 4294967296 ELSE (h * 33) & 4294967295 END, c))) % 8 AS INTEGER) AS slot
+    FROM nodes""")
 def palette_slot(spark, sf):
     return d.corpus(spark, sf).nodes.select("node_id", browse.palette_slot(F.col("node_id")).alias("slot"))
 

@@ -127,31 +127,43 @@ def token_counts(spark, sf):
     return d.table(spark, sf, "documents").select("doc_id", t.token_count(F.col("text")).cast("long").alias("n"))
 
 
-@query("f13_f14_chunks", _SENTENCES + f""",
+def _chunk_sql(size: int, overlap: int) -> str:
+    return _SENTENCES + f""",
     counted AS (SELECT doc_id, i, sentence, {tok('sentence')} AS n FROM sentences),
     running AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS total, count(*) OVER (PARTITION BY doc_id) AS size FROM counted),
     fill AS (SELECT s.doc_id, s.i AS s, coalesce(min(e.i), any_value(s.size)) AS e
-             FROM running s LEFT JOIN running e ON e.doc_id = s.doc_id AND e.i >= s.i AND e.i <= s.i + 1001
-                  AND (e.n > 1000 OR e.total - s.total + s.n > 1000) GROUP BY s.doc_id, s.i),
+             FROM running s LEFT JOIN running e ON e.doc_id = s.doc_id AND e.i >= s.i AND e.i <= s.i + {size + 1}
+                  AND (e.n > {size} OR e.total - s.total + s.n > {size}) GROUP BY s.doc_id, s.i),
     back AS (SELECT e.doc_id, e.i AS e, coalesce(min(b.i), e.i - 1) AS b
-             FROM running e LEFT JOIN running b ON b.doc_id = e.doc_id AND b.i < e.i AND b.i >= e.i - 200
-                  AND e.total - e.n - b.total + b.n <= 200 GROUP BY e.doc_id, e.i),
-    jumps AS (SELECT f.doc_id, f.s, f.e, CASE WHEN h.n > 1000 THEN f.s + 1 WHEN f.e = h.size THEN NULL WHEN t.n > 1000 THEN f.e
-                     WHEN t.total - c.total + c.n > 1000 THEN f.e ELSE c.i END AS next, h.n > 1000 AS big
+             FROM running e LEFT JOIN running b ON b.doc_id = e.doc_id AND b.i < e.i AND b.i >= e.i - {overlap}
+                  AND e.total - e.n - b.total + b.n <= {overlap} GROUP BY e.doc_id, e.i),
+    jumps AS (SELECT f.doc_id, f.s, f.e, CASE WHEN h.n > {size} THEN f.s + 1 WHEN f.e = h.size THEN NULL WHEN t.n > {size} THEN f.e
+                     WHEN t.total - c.total + c.n > {size} THEN f.e ELSE c.i END AS next, h.n > {size} AS big
               FROM fill f JOIN running h ON h.doc_id = f.doc_id AND h.i = f.s LEFT JOIN running t ON t.doc_id = f.doc_id AND t.i = f.e
               LEFT JOIN back b ON b.doc_id = f.doc_id AND b.e = f.e LEFT JOIN running c ON c.doc_id = f.doc_id AND c.i = greatest(f.s, b.b)),
     spans AS (SELECT doc_id, s, e, next, big FROM jumps WHERE s = 0
               UNION ALL SELECT j.doc_id, j.s, j.e, j.next, j.big FROM spans p JOIN jumps j ON j.doc_id = p.doc_id AND j.s = p.next),
     texts AS (SELECT p.doc_id, s, 0 AS part, string_agg(sentence, ' ' ORDER BY c.i) AS text FROM spans p JOIN counted c ON c.doc_id = p.doc_id AND c.i >= s AND c.i < e WHERE NOT big GROUP BY p.doc_id, s, e
-              UNION ALL SELECT doc_id, i, part, array_to_string(list_slice(parts, part * 1000 + 1, part * 1000 + 1000), '')
-              FROM (SELECT doc_id, i, regexp_extract_all(sentence, '\\s*(?:[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s])') AS parts, unnest(range(0, CAST(ceil(n / 1000.0) AS BIGINT))) AS part FROM counted WHERE n > 1000))
-    SELECT CAST(doc_id AS VARCHAR) AS paper_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, part) - 1 AS INTEGER) AS chunk_index, md5(text) AS digest FROM texts""")
+              UNION ALL SELECT doc_id, i, part, array_to_string(list_slice(parts, part * {size} + 1, part * {size} + {size}), '')
+              FROM (SELECT doc_id, i, regexp_extract_all(sentence, '\\s*(?:[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s])') AS parts, unnest(range(0, CAST(ceil(n / {size}.0) AS BIGINT))) AS part FROM counted WHERE n > {size})),
+    numbered AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, part) - 1 AS INTEGER) AS chunk_index, text FROM texts)
+    """
+
+
+@query("f13_f14_chunks", _chunk_sql(1000, 200) + "SELECT CAST(doc_id AS VARCHAR) AS paper_id, chunk_index, md5(text) AS digest FROM numbered")
 def chunks(spark, sf):
     papers = documents(spark, sf).select("paper_id", _sentence_rows())
     return chunk_papers(papers).select("paper_id", "chunk_index", F.md5("text").alias("digest"))
 
 
-@query("f15_chunk_pages")
+@query("f15_chunk_pages", _chunk_sql(60, 15) + rf"""
+    , lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+    clean AS (SELECT doc_id, no, {COLLAPSE.format('line')} AS line FROM lines),
+    ends AS (SELECT doc_id, no, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no) AS till FROM clean),
+    whole AS (SELECT doc_id, string_agg(line, ' ' ORDER BY no) AS text FROM clean GROUP BY doc_id),
+    placed AS (SELECT n.doc_id, chunk_index, instr(w.text, substr({COLLAPSE.format('n.text')}, 1, 40)) - 1 AS pos FROM numbered n JOIN whole w USING (doc_id))
+    SELECT CAST(p.doc_id AS VARCHAR) AS paper_id, chunk_index, CASE WHEN any_value(pos) >= 0 THEN CAST(1 + count(e.no) AS INTEGER) END AS page_number
+    FROM placed p LEFT JOIN ends e ON e.doc_id = p.doc_id AND e.till <= p.pos GROUP BY p.doc_id, chunk_index""")
 def chunk_pages(spark, sf):
     """Documents as papers of one page per line."""
     papers = documents(spark, sf).select("paper_id", _sentence_rows(), F.split("text", "\n").alias("pages"))
