@@ -69,7 +69,7 @@ def subgraphs(
     max_nodes: int = DEFAULTS.max_nodes, row_limit: int = DEFAULTS.row_limit,
 ) -> tuple[DataFrame, DataFrame]:
     """(edges, nodes) around the seeds: traverse, filter labels, scope to the collection, then cap."""
-    edges = written(traverse(corpus.edges, seeds, hops, rel_types, row_limit), "traversed")
+    edges = traverse(corpus.edges, seeds, hops, rel_types, row_limit)
     if entity_types is not None:
         edges = written(filter_entity_types(edges, corpus.nodes, seeds, entity_types), "typed")
     edges, nodes = scope_to_collection(edges, corpus.nodes, queries)

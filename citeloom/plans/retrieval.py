@@ -133,7 +133,7 @@ def subgraph_nodes(spark, sf):
 def entity_type_filter(spark, sf):
     corpus, seeds = d.corpus(spark, sf), found(spark, sf).seeds
     return traverse.filter_entity_types(
-        written(traverse.traverse(corpus.edges, seeds), "traversed"), corpus.nodes, seeds, ["Method", "Claim"])
+        traverse.traverse(corpus.edges, seeds), corpus.nodes, seeds, ["Method", "Claim"])
 
 
 @query("p5_relation_type_filter", using("edges") + """
@@ -147,7 +147,7 @@ def relation_type_filter(spark, sf):
 @query("p6_collection_scope", using("scoped_nodes") + "SELECT query_id, node_id FROM scoped_nodes")
 def collection_scope(spark, sf):
     corpus = d.corpus(spark, sf)
-    edges = written(traverse.traverse(corpus.edges, found(spark, sf).seeds), "traversed")
+    edges = traverse.traverse(corpus.edges, found(spark, sf).seeds)
     return traverse.scope_to_collection(edges, corpus.nodes, questions(spark, sf))[1].select("query_id", "node_id")
 
 

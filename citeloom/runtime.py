@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,21 +79,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+@contextmanager
+def early_cut(spark: SparkSession, k: int):
+    """Let row limits of up to ``k`` per group be cut before the shuffle while plans run inside.
+
+    The optimizer does so by itself only for limits up to a session threshold.
+    """
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(name)
+    if 0 <= int(before) < k:
+        spark.conf.set(name, str(k))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _SCRATCH: dict[str, str] = {}
 
 
 def top_k_per_group(
-    df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str, salts: int = 0,
-    salt_on: list[str] | None = None,
+    df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str, salts: int = 0
 ) -> DataFrame:
     """The first ``k`` rows of every group in ``order``, numbered from 1 in ``rank``.
 
     With ``salts`` a group is first cut to ``k`` rows in ``salts`` independent
     slices, so that one hot group never lands in a single task before the cut.
+    Slices are sets of input tasks: each task's own cut is then k rows per group.
     """
     if salts > 1:
-        salt = F.pmod(F.xxhash64(*(salt_on or df.columns)), F.lit(salts))
-        sliced = df.withColumn("_salt", salt)
+        sliced = df.withColumn("_salt", F.spark_partition_id() % salts)
         inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = (
             sliced.withColumn("_cut", F.row_number().over(inner))
