@@ -42,12 +42,15 @@ def usage_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     wanted = F.create_map(*[F.lit(x) for pair in USAGE_RELATION.items() for x in pair])
     labels = nodes.select(F.col("node_id").alias("dst"), F.col("label"))
     papers = nodes.filter(F.col("label") == "Paper").select(F.col("node_id").alias("src"))
-    # edges are unique per (src, dst, type), so counting them counts distinct papers
-    used = (
+    # edges are unique per (src, dst, type), so counting them counts distinct papers;
+    # they are counted per end before any join on it, as one end may hold most of them
+    counted = (
         edges.filter(F.col("rel_type").isin(*USAGE_RELATION.values())).select("src", "dst", "rel_type")
-        .join(labels, "dst").filter(wanted[F.col("label")] == F.col("rel_type"))
         .join(papers, "src", "left_semi")
-        .groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("usage_count"))
+        .groupBy("dst", "rel_type").agg(F.count("*").alias("usage_count"))
+    )
+    used = counted.join(labels, "dst").filter(wanted[F.col("label")] == F.col("rel_type")).select(
+        F.col("dst").alias("node_id"), "usage_count"
     )
     ends = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("node_id"))
     degree = ends.groupBy("node_id").agg(F.count("*").alias("n"))

@@ -6,10 +6,10 @@ changes; it must be total for the result to be deterministic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import claim_key, collapse, strip
+from citeloom.functions.text import claim_key, strip
 
 EDGE_KEY = ["src", "dst", "rel_type"]
 
@@ -62,17 +62,16 @@ def collapse_duplicate_edges(edges: DataFrame, order: list[Column]) -> DataFrame
 
     ``order`` breaks ties among equal counts.
     """
-    best = Window.partitionBy(*EDGE_KEY).orderBy(F.desc(F.coalesce("occurrence_count", F.lit(1))), *order)
-    size = Window.partitionBy(*EDGE_KEY)
-    kept = (
-        edges.withColumn("_rank", F.row_number().over(best))
-        .withColumn("_n", F.count("*").over(size))
-        .filter(F.col("_rank") == 1)
+    count = F.coalesce("occurrence_count", F.lit(1))
+    fields = [c for c in edges.columns if c not in EDGE_KEY]
+    kept = edges.groupBy(*EDGE_KEY).agg(
+        F.min_by(F.struct(*fields), F.struct((-count).alias("c"), *[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("best"),
+        F.count("*").alias("n"),
     )
-    grown = F.when(F.col("_n") > 1, F.coalesce("occurrence_count", F.lit(1)) + F.col("_n") - 1).otherwise(
-        F.col("occurrence_count")
+    grown = F.when(F.col("n") > 1, F.coalesce("best.occurrence_count", F.lit(1)) + F.col("n") - 1).otherwise(
+        F.col("best.occurrence_count")
     )
-    return kept.withColumn("occurrence_count", grown).drop("_rank", "_n")
+    return kept.select(*EDGE_KEY, *[grown.alias(c) if c == "occurrence_count" else F.col(f"best.{c}") for c in fields])
 
 
 def duplicate_edge_preview(edges: DataFrame) -> DataFrame:
@@ -245,12 +244,11 @@ def drop_collection(collections: DataFrame, papers: DataFrame, doomed: DataFrame
 
 
 def first_arrivals(uploads: DataFrame, order: Column) -> DataFrame:
-    """One row per content: the first upload wins, later copies are duplicates."""
-    first = uploads.withColumn("content_hash", F.sha2(F.col("content"), 256))
-    return first.withColumn(
-        "duplicate_no", F.row_number().over(Window.partitionBy("content_hash").orderBy(order)) - 1
-    )
-
+    """Adds content_hash and ``duplicate``: every upload but the first of its content.
 
-def norm_text(text: Column) -> Column:
-    return collapse(F.lower(text))
+    The first of each content comes from an aggregate that is combined before
+    the shuffle, so a content with most of the copies is no hot group.
+    """
+    hashed = uploads.withColumn("content_hash", F.sha2(F.col("content"), 256)).withColumn("_order", order)
+    first = hashed.groupBy("content_hash").agg(F.min("_order").alias("_first"))
+    return hashed.join(first, "content_hash").withColumn("duplicate", F.col("_order") != F.col("_first")).drop("_order", "_first")

@@ -145,7 +145,7 @@ def drop_collection(spark, sf):
     WHERE sha256(text) NOT IN (SELECT sha256(text) FROM benchmark) GROUP BY text""")
 def insert_new(spark, sf):
     uploads = d.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-    first = merge.first_arrivals(uploads, F.col("doc_id")).filter("duplicate_no = 0").select("doc_id", "content_hash")
+    first = merge.first_arrivals(uploads, F.col("doc_id")).filter("not duplicate").select("doc_id", "content_hash")
     stored = d.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.sha2("text", 256).alias("content_hash"))
     return merge.insert_new(stored, first, ["content_hash"])
 
