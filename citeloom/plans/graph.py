@@ -136,15 +136,12 @@ def collection_papers(spark, sf):
 
 
 @query("s7_newest_papers", """
-    SELECT CAST(o_orderkey AS VARCHAR) AS paper_id, row_number() OVER (ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS place
-    FROM orders WHERE o_orderpriority = '5-LOW' QUALIFY place <= 100""")
+    SELECT CAST(o_orderkey AS VARCHAR) AS paper_id, CAST(epoch(o_orderdate) AS BIGINT) AS created FROM orders WHERE o_orderpriority = '5-LOW'""")
 def newest_papers(spark, sf):
     papers = d.table(spark, sf, "orders").select(
-        F.col("o_orderkey").cast("string").alias("paper_id"), F.col("o_orderdate").alias("created_at"),
+        F.col("o_orderkey").cast("string").alias("paper_id"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
         F.col("o_orderpriority").alias("collection_id"))
-    first = browse.newest_papers(papers, "5-LOW").limit(100)
-    return top_k_per_group(first.withColumn("one", F.lit(1)), ["one"], [F.desc("created_at"), F.col("paper_id")], 100,
-                           "place").select("paper_id", "place")
+    return browse.newest_papers(papers, "5-LOW").select("paper_id", F.unix_seconds("created_at").alias("created"))
 
 
 @query("s6_paged_scan", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 50 OFFSET 100")
