@@ -25,7 +25,12 @@ def name_index(entries: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _look_up(relations: DataFrame, end: str, stored: DataFrame, own: DataFrame) -> DataFrame:
-    keyed = relations.withColumn("norm", norm_name(F.col(end)))
+    # "paper" is the source of most relations and is in no index: a key per paper,
+    # which matches nothing, keeps it from becoming one hot join key
+    norm = norm_name(F.col(end))
+    if end == "source":
+        norm = F.when(F.col(end) == "paper", F.concat(F.lit("\u0001"), F.col("paper_id"))).otherwise(norm)
+    keyed = relations.withColumn("norm", norm)
     mine = own.select("paper_id", "norm", F.struct("node_id", "label").alias("mine"))
     known = stored.select("norm", F.struct("node_id", "label").alias("known"))
     return (
