@@ -58,3 +58,23 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to
 FROM (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM digests)"""
+
+
+SUBSTRINGS = """
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, w[i:i + 12] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs)
+), firsts AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS f FROM windows
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM firsts WHERE f < doc_id
+), gone AS (
+  SELECT doc_id, list(p) AS ps FROM covered GROUP BY doc_id
+), kept AS (
+  SELECT d.doc_id, w, ps, CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END AS k
+  FROM docs d LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(k, ' ')) AS kept_sha256
+FROM kept"""

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import oracles, sharding, topk, warc
+from citeloom.llm import mixing, oracles, sharding, substrings, topk, warc
 
 SHARDS = 40
+TARGETS = {"good": 0.85, "low": 0.15, "toxic": 0.0}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -26,5 +31,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages")).drop("url")
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op4_top_k": op4_top_k, "op9_warc": op9_warc}
-ORACLES = {"op3_sharding": oracles.SHARDING, "op4_top_k": oracles.TOP_K, "op9_warc": oracles.WARC}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op2_mixing": op2_mixing, "op10_substrings": op10_substrings, "op3_sharding": op3_sharding, "op4_top_k": op4_top_k, "op9_warc": op9_warc}
+ORACLES = {"op10_substrings": oracles.SUBSTRINGS, "op3_sharding": oracles.SHARDING, "op4_top_k": oracles.TOP_K, "op9_warc": oracles.WARC}

@@ -67,25 +67,34 @@ class Piece:
         return len(self.offsets) - 1
 
 
-def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Piece]:
-    """The texts of a column in pieces of about ``limit`` bytes; null counts as empty."""
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (rows + 1) and bytes of a text column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("").cast(pa.large_string())
     n = len(column)
     if n == 0:
-        return
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
     _, offsets, data = column.buffers()
     ends = np.frombuffer(offsets, np.int64)[column.offset: column.offset + n + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    first = 0
+    return ends - ends[0], raw[ends[0]: ends[-1]]
+
+
+def cut(offsets: np.ndarray, data: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[Piece]:
+    """Documents given by offsets in pieces of at most ``limit`` bytes, but of one document at least."""
+    first, n = 0, len(offsets) - 1
     while first < n:
-        last = max(first + 1, int(np.searchsorted(ends, ends[first] + limit, "right")) - 1)
-        last = min(last, n)
-        yield Piece(first, ends[first: last + 1] - ends[first], raw[ends[first]: ends[last]])
+        last = min(n, max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1))
+        yield Piece(first, offsets[first: last + 1] - offsets[first], data[offsets[first]: offsets[last]])
         first = last
 
 
+def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Piece]:
+    """The texts of a column in pieces of about ``limit`` bytes; null counts as empty."""
+    yield from cut(*text_bytes(column), limit)
+
+
 @dataclass
 class Words:
     """Words of a piece: byte ranges, hashes, and the first word of every document."""
