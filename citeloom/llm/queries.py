@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import mixing, neardup, oracles, ppm, sharding, substrings, topk, warc
+from citeloom.llm import langid, mixing, neardup, oracles, ppm, sharding, substrings, topk, warc
 
 SHARDS = 40
 TARGETS = {"good": 0.85, "low": 0.15, "toxic": 0.0}
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
 
@@ -43,5 +47,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op6_ppm_scores": op6_ppm_scores, "op8_near_duplicates": op8_near_duplicates, "op2_mixing": op2_mixing, "op10_substrings": op10_substrings, "op3_sharding": op3_sharding, "op4_top_k": op4_top_k, "op9_warc": op9_warc}
+QUERIES = {"op1_language": op1_language, "op6_ppm_scores": op6_ppm_scores, "op8_near_duplicates": op8_near_duplicates, "op2_mixing": op2_mixing, "op10_substrings": op10_substrings, "op3_sharding": op3_sharding, "op4_top_k": op4_top_k, "op9_warc": op9_warc}
 ORACLES = {"op8_near_duplicates": oracles.NEAR_DUPLICATES, "op10_substrings": oracles.SUBSTRINGS, "op3_sharding": oracles.SHARDING, "op4_top_k": oracles.TOP_K, "op9_warc": oracles.WARC}
