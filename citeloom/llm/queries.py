@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import langid, mixing, neardup, oracles, ppm, sharding, substrings, topk, warc
+from citeloom.llm import langid, mixing, neardup, oracles, ppm, sharding, substrings, tiling, topk, warc
 
 SHARDS = 40
 TARGETS = {"good": 0.85, "low": 0.15, "toxic": 0.0}
@@ -31,6 +31,10 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, topk.divisible(vectors, 50), k=5)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_language": op1_language, "op6_ppm_scores": op6_ppm_scores, "op8_near_duplicates": op8_near_duplicates, "op2_mixing": op2_mixing, "op10_substrings": op10_substrings, "op3_sharding": op3_sharding, "op4_top_k": op4_top_k, "op9_warc": op9_warc}
+QUERIES = {"op5_decontamination": op5_decontamination, "op1_language": op1_language, "op6_ppm_scores": op6_ppm_scores, "op8_near_duplicates": op8_near_duplicates, "op2_mixing": op2_mixing, "op10_substrings": op10_substrings, "op3_sharding": op3_sharding, "op4_top_k": op4_top_k, "op9_warc": op9_warc}
 ORACLES = {"op8_near_duplicates": oracles.NEAR_DUPLICATES, "op10_substrings": oracles.SUBSTRINGS, "op3_sharding": oracles.SHARDING, "op4_top_k": oracles.TOP_K, "op9_warc": oracles.WARC}
