@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import langid, mixing, neardup, oracles, ppm, sharding, substrings, tiling, topk, warc
+from citeloom.llm import langid, mixing, neardup, oracles, ppm, sharding, substrings, tiling, tokens, topk, warc
 
 SHARDS = 40
 TARGETS = {"good": 0.85, "low": 0.15, "toxic": 0.0}
@@ -39,6 +39,10 @@ def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,22 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op5_decontamination": op5_decontamination, "op1_language": op1_language, "op6_ppm_scores": op6_ppm_scores, "op8_near_duplicates": op8_near_duplicates, "op2_mixing": op2_mixing, "op10_substrings": op10_substrings, "op3_sharding": op3_sharding, "op4_top_k": op4_top_k, "op9_warc": op9_warc}
-ORACLES = {"op8_near_duplicates": oracles.NEAR_DUPLICATES, "op10_substrings": oracles.SUBSTRINGS, "op3_sharding": oracles.SHARDING, "op4_top_k": oracles.TOP_K, "op9_warc": oracles.WARC}
+QUERIES = {
+    "op1_language": op1_language,
+    "op2_mixing": op2_mixing,
+    "op3_sharding": op3_sharding,
+    "op4_top_k": op4_top_k,
+    "op5_decontamination": op5_decontamination,
+    "op6_ppm_scores": op6_ppm_scores,
+    "op7_token_counts": op7_token_counts,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op9_warc": op9_warc,
+    "op10_substrings": op10_substrings,
+}
+ORACLES = {
+    "op3_sharding": oracles.SHARDING,
+    "op4_top_k": oracles.TOP_K,
+    "op8_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op9_warc": oracles.WARC,
+    "op10_substrings": oracles.SUBSTRINGS,
+}
