@@ -21,8 +21,8 @@ from citeloom.settings import DEFAULTS
 
 GRAPH_TASK = "Answer from the given context only and name the papers used. Say plainly if the context is not enough."
 PLAIN_TASK = "Answer from the numbered excerpts only and cite them as [n]. Say plainly if they are not enough."
-NO_GRAPH_CONTEXT = "I don't know based on the available papers: no relevant content was found."
-NO_EXCERPTS = "No relevant content was found to answer this question."
+NO_GRAPH_CONTEXT = "The papers at hand hold nothing on this question, so it stays unanswered."
+NO_EXCERPTS = "None of the stored excerpts matches this question."
 
 
 def with_vectors(questions: DataFrame, dimension: int, model=None) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.text import let, strip
 
-# Line shapes that carry no author name, affiliation tokens, marks, limits.
+# Line shapes that carry no author name, affiliation tokens, marks, and the
+# limits of a byline that no abstract ends.
 NOISE = (
     r"(?i)^(?:[†‡∗\*\d\s,]*$|\{.*\}.*@.*\..*$|\{|.*@[\w.-]+\.\w+.*$"
     r"|\s*(?:university|department|institute|lab|google|microsoft|stanford|mit)\b|[†‡∗\*§]+\s+\S)"
@@ -84,8 +85,9 @@ def authors_of(layout: Column) -> Column:
 
         def upto_abstract(lines: Column) -> Column:
             stop = F.array_position(F.transform(lines, lambda x: F.contains(F.lower(x), F.lit("abstract"))), True)
-            scanned = F.slice(lines, F.lit(1), F.least(F.lit(SCANNED_LINES), F.when(stop > 0, stop - 1).otherwise(F.size(lines))).cast("int"))
-            return F.slice(F.filter(scanned, lambda x: ~x.rlike(NOISE) & (F.length(x) <= LONGEST_LINE)), 1, AUTHOR_LINES)
+            head = F.filter(F.slice(lines, F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int")), lambda x: ~x.rlike(NOISE))
+            open_end = F.filter(F.slice(lines, 1, SCANNED_LINES), lambda x: ~x.rlike(NOISE) & (F.length(x) <= LONGEST_LINE))
+            return F.when(stop > 0, head).otherwise(F.slice(open_end, 1, AUTHOR_LINES))
 
         return let(rest, upto_abstract)
 

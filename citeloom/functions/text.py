@@ -161,6 +161,12 @@ def truncate_section(text: Column, limit: int) -> Column:
     )
 
 
+def section_pieces(text: Column, limit: int) -> Column:
+    """A text as pieces of at most ``limit`` characters, cut at white space where there is any; together they hold all words."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)\S.{{0,{limit - 1}}}(?!\S)|\S{{{limit}}}"), F.lit(0))
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(pieces)
+
+
 def scrub_preamble(text: Column, title: Column) -> Column:
     """Remove the title's first occurrence and all e-mail addresses; trim."""
     at = F.instr(text, title)

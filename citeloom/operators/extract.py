@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.generation import Provider, generate
@@ -19,7 +19,7 @@ from citeloom.functions.names import grounded, ratio
 from citeloom.functions.replies import (
     ACROSS_TYPES, CLAIM_TYPES, WITHIN_TYPES, confidence, item_extras, item_text, recover_json, reply_items,
 )
-from citeloom.functions.text import NON_CONTENT_SECTIONS, is_trivial_claim, norm_name, scrub_preamble, strip, truncate_section
+from citeloom.functions.text import NON_CONTENT_SECTIONS, is_trivial_claim, norm_name, scrub_preamble, section_pieces, strip
 from citeloom.settings import DEFAULTS
 
 ENTITY_TASK = "List the methods, datasets, metrics and claims this section states, as one JSON object."
@@ -29,13 +29,19 @@ KNOWN_FIELDS = ("type", "source", "target", "evidence_text", "confidence")
 
 
 def content_sections(papers: DataFrame) -> DataFrame:
-    """papers(paper_id, title, sections) to (paper_id, ord, name, text) ready for extraction."""
-    rows = papers.select("paper_id", "title", F.inline("sections")).filter(~F.col("name").isin(*NON_CONTENT_SECTIONS))
-    text = truncate_section(F.col("text"), DEFAULTS.section_chars)
-    return rows.select(
-        "paper_id", "ord", "name",
-        F.when(F.col("name") == "preamble", scrub_preamble(text, F.col("title"))).otherwise(text).alias("text"),
-    )
+    """papers(paper_id, title, sections) to (paper_id, ord, name, text) ready for extraction.
+
+    A section too long for a prompt is asked in pieces, so nothing of it is left
+    out; ``ord`` then counts pieces.
+    """
+    def pieces(s: Column, i: Column) -> Column:
+        text = F.when(s["name"] == "preamble", scrub_preamble(s["text"], F.col("title"))).otherwise(s["text"])
+        return F.transform(section_pieces(text, DEFAULTS.section_chars), lambda x: F.struct((s["ord"] - i).alias("ahead"), s["name"].alias("name"), x.alias("text")))
+
+    content = F.filter("sections", lambda s: ~s["name"].isin(*NON_CONTENT_SECTIONS))
+    rows = papers.select("paper_id", F.posexplode(F.flatten(F.transform(content, pieces))).alias("place", "s"))
+    # a piece's place counts what long sections before it have added
+    return rows.select("paper_id", (F.col("s.ahead") + F.col("place")).cast("int").alias("ord"), "s.name", "s.text")
 
 
 def section_prompt(*extra: Column) -> Column:
@@ -215,7 +221,7 @@ def answer(
     ).drop("reply")
 
 
-WARNING = "Low confidence: some claims may not be fully supported by the retrieved sources."
+WARNING = "Check this answer: parts of it were not found in the sources that it draws on."
 
 
 def faithfulness_warning(answers: DataFrame, providers: Sequence[Provider], pause: float = 2.0) -> DataFrame:
@@ -253,7 +259,3 @@ def entity_totals(entities: DataFrame, relations: DataFrame) -> DataFrame:
     found = entities.groupBy("paper_id").agg(F.count("*").alias("entities_found"))
     related = relations.groupBy("paper_id").agg(F.count("*").alias("relations_found"))
     return found.join(related, "paper_id", "full_outer").na.fill(0)
-
-
-def seq_within(df: DataFrame, key: str, order: list) -> DataFrame:
-    return df.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

@@ -82,6 +82,14 @@ def content_sections(spark, sf):
     return sections(spark, sf).filter(~F.col("name").isin(*t.NON_CONTENT_SECTIONS)).groupBy("name").agg(F.count("*").alias("n"))
 
 
+@query("p18_section_pieces", r"""
+    SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) AS kept, true AS fits FROM documents""")
+def section_pieces(spark, sf):
+    pieces = t.section_pieces(F.col("text"), 10_000)
+    kept = F.aggregate(pieces, F.lit(0), lambda n, x: n + F.length(F.regexp_replace(x, r"\s", "")))
+    return d.table(spark, sf, "documents").select("doc_id", kept.cast("long").alias("kept"), F.forall(pieces, lambda x: F.length(x) <= 10_000).alias("fits"))
+
+
 @query("p18_truncated", r"""
     SELECT doc_id, md5(CASE WHEN length(text) <= 10000 THEN text ELSE substr(text, 1, 10000) || chr(10) || '[truncated]' END) AS digest FROM documents""")
 def truncated(spark, sf):

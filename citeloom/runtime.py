@@ -33,8 +33,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cit
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only
-    where that is unset (tests on one machine) a temporary one is taken.
+    The folder is the one the session names in ``spark.checkpoint.dir``; where that
+    is unset, a local session takes a temporary one and any other is refused.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -42,10 +42,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
         configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
             "spark.checkpoint.dir"
         )
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="citeloom-checkpoint-"))
+        context.setCheckpointDir(configured or _local_folder(spark, "citeloom-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def _local_folder(spark: SparkSession, prefix: str) -> str:
+    """A temporary folder of this machine, which only a local session may use."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for written intermediate tables, beside the checkpoints."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
@@ -53,7 +60,7 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     )
     app = spark.sparkContext.applicationId
     if configured is None and app not in _SCRATCH:
-        _SCRATCH[app] = tempfile.mkdtemp(prefix="citeloom-scratch-")
+        _SCRATCH[app] = _local_folder(spark, "citeloom-scratch-")
     base = configured or _SCRATCH[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -29,8 +29,6 @@ class Settings:
     chunk_tokens: int = 1000
     overlap_tokens: int = 200
     section_chars: int = 10_000
-    max_files_per_upload: int = 50
-    max_pdf_mb: int = 50
     entity_confidence: float = 0.5
     relation_confidence: float = 0.5
     fuzzy_threshold: float = 0.85

@@ -23,39 +23,40 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
 
 
-def rejection(content: Column, limit_mb: int = DEFAULTS.max_pdf_mb) -> Column:
-    """Why a file is not accepted; null if it is."""
-    size = F.length(content)
+def rejection(content: Column, limit_mb: int | None = None, length: Column | None = None) -> Column:
+    """Why a file is not accepted; null if it is. No size is too large unless a limit is named.
+
+    ``length`` is the size as listed, where the source tells it.
+    """
+    head = F.when(F.substring(content, 1, 5) != F.lit(b"%PDF-"), F.lit("not a valid PDF (missing %PDF- header)"))
+    if limit_mb is None:
+        return head
+    size = F.length(content) if length is None else length
     too_big = F.concat(F.format_string("%.1f", size / F.lit(1048576.0)), F.lit(f"MB exceeds the {limit_mb}MB limit"))
-    return F.when(F.substring(content, 1, 5) != F.lit(b"%PDF-"), F.lit("not a valid PDF (missing %PDF- header)")).when(
-        size > limit_mb * 1048576, too_big)
+    return head.when(size > limit_mb * 1048576, too_big)
 
 
-def upload(files: DataFrame, stored: DataFrame, order: Column) -> DataFrame:
+def upload(files: DataFrame, stored: DataFrame, order: Column, limit_mb: int | None = None) -> DataFrame:
     """files(batch_id, filename, content) with status queued, rejected or duplicate, and the reason.
 
     stored(content_hash, paper_id). Within the upload the first copy in
-    ``order`` is queued. A batch above the file limit is rejected as a whole.
+    ``order`` is queued. A batch may hold any number of files; a size limit holds
+    only where one is named.
     """
     marked = (
-        files.withColumn("content_hash", F.sha2("content", 256)).withColumn("error", rejection(F.col("content"))).drop("content")
+        files.withColumn("content_hash", F.sha2("content", 256)).withColumn("error", rejection(F.col("content"), limit_mb)).drop("content")
     )
-    counts = marked.groupBy("batch_id").agg(F.count("*").alias("n_files"))
-    sized = marked.join(counts, "batch_id")
-    too_many = F.col("n_files") > DEFAULTS.max_files_per_upload
     first = (
-        sized.filter(F.col("error").isNull() & ~too_many).groupBy("content_hash")
-        .agg(F.min(F.struct(order.alias("o"))).alias("first"))
+        marked.filter(F.col("error").isNull()).groupBy("content_hash").agg(F.min(F.struct(order.alias("o"))).alias("first"))
     )
-    joined = sized.join(first, "content_hash", "left").join(
+    joined = marked.join(first, "content_hash", "left").join(
         stored.select("content_hash", "paper_id"), "content_hash", "left"
     )
     return joined.select(
         "batch_id", "filename", "content_hash",
-        F.when(too_many | F.col("error").isNotNull(), "rejected")
+        F.when(F.col("error").isNotNull(), "rejected")
         .when(F.col("paper_id").isNotNull() | (F.col("first.o") != order), "duplicate").otherwise("queued").alias("status"),
-        F.when(too_many, F.concat(F.lit("too many files: "), F.col("n_files").cast("string"))).otherwise(
-            F.concat_ws(": ", F.when(F.col("error").isNotNull(), F.col("filename")), "error")).alias("error"),
+        F.concat_ws(": ", F.when(F.col("error").isNotNull(), F.col("filename")), "error").alias("error"),
         "paper_id",
     ).withColumn("error", F.nullif("error", F.lit("")))
 
