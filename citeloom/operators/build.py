@@ -85,12 +85,13 @@ def _nodes(df: DataFrame, label: str, node_id, **columns) -> DataFrame:
 def build_graph(
     papers: DataFrame, extracted: Extracted, stored_nodes: DataFrame, stored_edges: DataFrame,
     stored_aliases: DataFrame | None = None, confirm: Callable[[DataFrame], DataFrame] | None = None,
-    dimension: int = DEFAULTS.embedding_dimension,
+    dimension: int = DEFAULTS.embedding_dimension, stored_vectors: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """New nodes, edges, entity_vectors, entity_papers, aliases and totals after merging the batch.
 
     stored_nodes (schema.NODES), stored_edges (src, dst, rel_type, EDGE_FIELDS,
-    occurrence_count), stored_aliases(node_id, alias). Entity ids are stable:
+    occurrence_count), stored_aliases(node_id, alias), stored_vectors(node_id,
+    vector): with them, descriptions count in entity resolution. Entity ids are stable:
     a shorter spelling renames the stored node instead of adding a second one.
     """
     own = extracted.entities.filter(F.col("kind").isin("method", "dataset")).select(
@@ -103,8 +104,13 @@ def build_graph(
     if stored_aliases is not None:
         known = known.unionByName(stored_aliases.join(known.select("node_id", "entity_type"), "node_id").select(
             "node_id", "entity_type", F.col("alias").alias("name"), F.lit(True).alias("is_alias")))
-    resolved = written(resolve(own.select("name", "entity_type", "seq"), known, confirm), "resolved")
-    primary = known.filter(~F.col("is_alias"))
+    mention_vectors, primary = None, known.filter(~F.col("is_alias"))
+    if stored_vectors is not None:
+        known = known.join(stored_vectors.select("node_id", "vector"), "node_id", "left")
+        told = own.filter(F.coalesce("description", F.lit("")) != "").groupBy("entity_type", "norm").agg(
+            F.max_by("description", F.struct(F.length("description"), "seq")).alias("description"))
+        mention_vectors = written(told.select("entity_type", "norm", embed(F.col("description"), dimension).alias("vector")), "mention-vectors")
+    resolved = written(resolve(own.select("name", "entity_type", "seq"), known, confirm, mention_vectors, dimension), "resolved")
     canonical = written(merged_entities(resolved, primary), "canonical")
     placed = written(
         own.join(resolved.select("entity_type", "norm", F.col("node_key").alias("node_id")), ["entity_type", "norm"]), "placed"

@@ -6,23 +6,23 @@ equi-joins on keys that every true match shares:
 - prefix and containment: the shorter normalised name itself, against all
   letter-bounded substrings of the longer;
 - acronym: the upper-case short form, against the initials of the longer;
-- matching-blocks ratio: a common rare character pair. A ratio above the floor
-  leaves a known minimum of shared character pairs, so it is enough to index
-  each name's rarest pairs up to what that minimum allows to miss.
+- matching-blocks ratio: an unchanged segment. A ratio above the floor bounds the
+  edits by the lengths, so of one segment more than edits one stays whole.
 
 Descriptions are compared by an exact vector scan. Pairs are verified by a
-pluggable test; the best confirmed one wins.
+pluggable test, best first, until one is confirmed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.functions.generation import Provider, generate
 from citeloom.functions.names import acronym, is_acronym_variant, is_contained, is_prefix_variant, normalised_ratio
-from citeloom.functions.text import norm_name
+from citeloom.functions.text import norm_name, says_yes
 from citeloom.operators.knn import vector_matches
 from citeloom.runtime import checkpoint, written
 from citeloom.settings import DEFAULTS
@@ -51,55 +51,67 @@ def bounded_substrings(norm: Column) -> Column:
     return F.when(size >= 2, F.array_distinct(F.flatten(spans))).otherwise(F.array().cast("array<string>"))
 
 
-def character_pairs(norm: Column) -> Column:
-    """Distinct character pairs of a name."""
-    size = F.length(norm)
-    pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring(norm, i, F.lit(2)))
-    return F.when(size >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+def most_edits(total: Column, floor: float) -> Column:
+    """Most insertions and deletions between two names of ``total`` characters whose ratio is above ``floor``.
 
+    A ratio 2M / total above the floor leaves total - 2M < (1 - floor) * total
+    characters unmatched, a number as odd or even as the total.
+    """
+    most = F.floor((1 - floor) * total + 1e-9)
+    return (most - F.pmod(total - most, F.lit(2))).cast("int")
 
-def shared_pairs_floor(size: Column, floor: float) -> Column:
-    """Least number of a name's character-pair positions that a match above ``floor`` leaves intact.
 
-    With M matching characters, ratio = 2M/(a+b) > floor. Of a name of length a
-    at most a-M characters change, each touching two pairs, and each of the
-    b-M foreign characters splits one more; M > floor*(a+b)/2 and
-    M <= min(a, b) bound both over all admissible partner lengths.
-    """
-    # a-M + (b-M)/2 is largest at the ends of b's range [a*r, a/r] with r = floor/(2-floor)
+def _partner_lengths(size: Column, floor: float) -> Column:
     r = floor / (2 - floor)
-    lost_short = 2 * (1 - r) * size  # b = r*a: all of b matches
-    lost_equal = 3 * (1 - floor) * size  # b = a
-    lost_long = (1 / r - 1) * size  # b = a/r: all of a matches
-    return F.floor(size - 1 - F.greatest(lost_short, lost_equal, lost_long))
+    return F.sequence(F.greatest(F.lit(1), F.ceil(size * r - 1e-9)).cast("int"), F.floor(size / r + 1e-9).cast("int"))
+
+
+def _segment(size: Column, parts: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment ``i`` when a name is cut into equal parts."""
+    start = F.floor(i * size / parts).cast("int")
+    return start, F.floor((i + 1) * size / parts).cast("int") - start
+
+
+def _indexed_segments(names: DataFrame, name: str, floor: float) -> DataFrame:
+    """Segments of a name for every length a partner may have: (entity_type, name, own, other, i, segment)."""
+    def cut(i: Column) -> Column:
+        start, size = _segment(F.col("own"), F.col("k") + 1, i)
+        return F.struct(i.alias("i"), F.substring(F.col(name), start + 1, size).alias("segment"))
 
+    sized = names.select("entity_type", name, F.length(name).alias("own"), F.explode(_partner_lengths(F.length(name), floor)).alias("other"))
+    return (sized.withColumn("k", most_edits(F.col("own") + F.col("other"), floor))
+            .select("entity_type", name, "own", "other", F.inline(F.transform(F.sequence(F.lit(0), F.col("k")), cut))))
 
-def _rare_pairs(names: DataFrame, frequency: DataFrame, floor: float) -> DataFrame:
-    """The rarest pairs of each name: enough that a match must share one of them.
 
-    If at least m of a name's n distinct pairs survive in any partner, two
-    names ordered by one global rarity share a pair among the first n-m+1 of
-    each. m is stated in positions; distinct pairs are fewer only by repeats.
+def _probed_segments(names: DataFrame, name: str, floor: float) -> DataFrame:
+    """Substrings of a name where a partner's segments may lie: (entity_type, name, own, other, i, segment).
+
+    ``k`` edits move an untouched segment by at most k places.
     """
-    exploded = names.select("entity_type", "norm", F.explode(character_pairs(F.col("norm"))).alias("pair"))
-    ranked = exploded.join(frequency, ["entity_type", "pair"]).withColumn(
-        "place", F.row_number().over(Window.partitionBy("entity_type", "norm").orderBy("df", "pair"))
-    )
-    repeats = F.length("norm") - 1 - F.size(character_pairs(F.col("norm")))
-    needed = F.greatest(F.lit(1), shared_pairs_floor(F.length("norm"), floor) - repeats)
-    keep = F.size(character_pairs(F.col("norm"))) - needed + 1
-    return ranked.filter(F.col("place") <= keep).select("entity_type", "norm", "pair")
+    def places(i: Column) -> Column:
+        start, size = _segment(F.col("own"), F.col("k") + 1, i)
+        first, last = F.greatest(F.lit(0), start - F.col("k")), F.least(F.col("other") - size, start + F.col("k"))
+        at = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda p: F.struct(i.alias("i"), F.substring(F.col(name), p + 1, size).alias("segment")))
+
+    # own is the partner's length here, as in the index
+    sized = names.select("entity_type", name, F.length(name).alias("other"), F.explode(_partner_lengths(F.length(name), floor)).alias("own"))
+    every = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.col("k")), places)))
+    return (sized.withColumn("k", most_edits(F.col("own") + F.col("other"), floor))
+            .select("entity_type", name, "own", "other", F.inline(every)))
 
 
 def name_pairs(new: DataFrame, known: DataFrame, floor: float = DEFAULTS.fuzzy_threshold) -> DataFrame:
     """All (entity_type, a, b, score) of a new name a and a known name b scoring above ``floor``.
 
     new, known(entity_type, norm, name), one row per normalised name. Equal
-    names are left out; they are exact matches. Below 0.8 a match need not
-    share any character pair, so such floors are refused.
+    names are left out; they are exact matches. A known name is cut into one
+    segment more than a match may have edits, so one segment lies unchanged in the
+    new name, near its place; both lengths and the segment's number are part of
+    the join key. Floors below 0.6 would leave empty segments and are refused.
     """
-    if floor < 0.8:
-        raise ValueError("the character-pair index is complete only for floors of 0.8 and more")
+    if floor < 0.6:
+        raise ValueError("the segment index needs a floor of 0.6 or more")
     a = new.select("entity_type", F.col("norm").alias("a"), F.col("name").alias("a_name"))
     b = known.select("entity_type", F.col("norm").alias("b"), F.col("name").alias("b_name"))
 
@@ -112,15 +124,8 @@ def name_pairs(new: DataFrame, known: DataFrame, floor: float = DEFAULTS.fuzzy_t
         right = shorter.select("entity_type", short, F.upper(f"{short}_name").alias("key"))
         return left.join(right, ["entity_type", "key"]).select("entity_type", "a", "b")
 
-    frequency = (
-        new.select("entity_type", "norm").unionByName(known.select("entity_type", "norm")).distinct()
-        .select("entity_type", F.explode(character_pairs(F.col("norm"))).alias("pair"))
-        .groupBy("entity_type", "pair").agg(F.count("*").alias("df"))
-    )
-    rare_a = _rare_pairs(new, frequency, floor).withColumnRenamed("norm", "a")
-    rare_b = _rare_pairs(known, frequency, floor).withColumnRenamed("norm", "b")
-    length_ok = F.least(F.length("a"), F.length("b")) * 2 > floor * (F.length("a") + F.length("b"))
-    alike = rare_a.join(rare_b, ["entity_type", "pair"]).filter(length_ok).select("entity_type", "a", "b")
+    keys = ["entity_type", "own", "other", "i", "segment"]
+    alike = _probed_segments(a, "a", floor).join(_indexed_segments(b, "b", floor), keys).select("entity_type", "a", "b")
     candidates = written(
         inside(a, "a", b, "b").unionByName(inside(b, "b", a, "a")).unionByName(initials(a, "a", b, "b"))
         .unionByName(initials(b, "b", a, "a")).unionByName(alike).filter("a <> b").distinct(),
@@ -160,6 +165,53 @@ def roots(parents: DataFrame) -> DataFrame:
             return current
 
 
+def first_confirmed(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame] | None, order: list[Column]) -> DataFrame:
+    """For every new name (entity_type, a) its first pair in ``order`` that ``confirm`` keeps.
+
+    Pairs are asked about in rounds by rank, and only for names still open: a
+    name's later candidates cost nothing once one is confirmed. Without
+    ``confirm`` the first pair counts.
+    """
+    ranked = pairs.withColumn("place", F.row_number().over(Window.partitionBy("entity_type", "a").orderBy(*order)))
+    if confirm is None:
+        return written(ranked.filter("place = 1"), "first-pairs")
+    open_pairs, place, found = written(ranked, "ranked-pairs"), 1, None
+    columns = open_pairs.columns
+    while not open_pairs.isEmpty():
+        yes = written(confirm(open_pairs.filter(F.col("place") == place)).select(*columns), "confirmed")
+        found = yes if found is None else found.unionByName(yes)
+        open_pairs = written(open_pairs.filter(F.col("place") > place).join(yes.select("entity_type", "a"), ["entity_type", "a"], "left_anti"), "open-pairs")
+        place += 1
+    return open_pairs if found is None else found
+
+
+SAME_TASK = "Two names from research papers follow. Say yes if they mean the same thing, otherwise no."
+
+
+def ask_model(providers: Sequence[Provider], new_text: DataFrame | None = None, stored_text: DataFrame | None = None,
+              pause: float = 2.0) -> Callable[[DataFrame], DataFrame]:
+    """A test for ``resolve`` that asks a model about every pair; anything but a yes, and any failure, is a no.
+
+    new_text(entity_type, norm, description) and stored_text(node_id, description)
+    are told along with the names.
+    """
+    def confirm(pairs: DataFrame) -> DataFrame:
+        told = pairs.withColumns({"_new": F.lit(""), "_old": F.lit("")})
+        if new_text is not None:
+            told = told.drop("_new").join(new_text.select("entity_type", F.col("norm").alias("a"), F.col("description").alias("_new")), ["entity_type", "a"], "left")
+        if stored_text is not None:
+            told = told.drop("_old").join(stored_text.select("node_id", F.col("description").alias("_old")), "node_id", "left")
+
+        def line(label: str, name: str, text: str) -> Column:
+            return F.concat(F.lit(f"{label} ("), "entity_type", F.lit("): "), name, F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(", "), text)).otherwise(""))
+
+        prompt = F.concat_ws("\n", line("First", "a", "_new"), line("Second", "name", "_old"))
+        return told.withColumn("_reply", generate(prompt, SAME_TASK, providers, fail_open=True, pause=pause)).filter(
+            F.coalesce(says_yes(F.col("_reply")), F.lit(False))).drop("_reply", "_new", "_old")
+
+    return confirm
+
+
 def resolve(
     mentions: DataFrame, stored: DataFrame, confirm: Callable[[DataFrame], DataFrame] | None = None,
     mention_vectors: DataFrame | None = None, dimension: int = DEFAULTS.embedding_dimension,
@@ -171,23 +223,24 @@ def resolve(
     vector, is_alias]) with aliases as further rows of the same node; an alias
     never matches exactly, only as a shortlisted candidate. mention_vectors
     (entity_type, norm, vector) enables the description channel. ``confirm``
-    filters shortlisted pairs (entity_type, a, b, score); None accepts all.
+    filters shortlisted pairs (entity_type, a, b, score, node_id, name), node_id
+    null for another new name; None accepts all. Every node that has a shortlisted
+    spelling is a candidate, so nodes that share an alias are told apart.
 
     method is exact (a stored name), fuzzy (best confirmed stored candidate, or
     an earlier new name) or none. node_key is the stored node id, or
     "new:type:norm" of the first name of a new entity. Ids of stored entities
     never change, whichever spelling becomes canonical.
     """
-    confirm = confirm or (lambda pairs: pairs)
     new = written(distinct_names(mentions), "new-names")
     alias = F.col("is_alias") if "is_alias" in stored.columns else F.lit(False)
-    known = written(
-        stored.withColumn("norm", norm_name(F.col("name"))).withColumn("alias", alias).groupBy("entity_type", "norm").agg(
-            F.min_by("node_id", F.struct("alias", "node_id")).alias("node_id"),
-            F.min_by("name", F.struct("alias", "node_id")).alias("name"), F.min("alias").alias("only_alias")),
-        "known-names",
+    spelled = written(
+        stored.withColumn("norm", norm_name(F.col("name"))).withColumn("alias", alias).groupBy("entity_type", "norm", "node_id").agg(
+            F.min("alias").alias("alias"), F.min("name").alias("name")),
+        "known-spellings",
     )
-    primary = known.filter(~F.col("only_alias")).select("entity_type", "norm", "node_id")
+    known = written(spelled.groupBy("entity_type", "norm").agg(F.min_by("name", F.struct("alias", "node_id")).alias("name")), "known-names")
+    primary = spelled.filter(~F.col("alias")).groupBy("entity_type", "norm").agg(F.min("node_id").alias("node_id"))
     exact = new.join(primary, ["entity_type", "norm"])
     rest = written(new.join(primary, ["entity_type", "norm"], "left_anti"), "unmatched")
 
@@ -204,22 +257,20 @@ def resolve(
             F.substring_index("id", "\u0001", -1).alias("b"), "score")
         pairs = pairs.unionByName(close_pairs)
     shortlist = pairs.groupBy("entity_type", "a", "b").agg(F.max("score").alias("score"))
-    best_known = (
-        confirm(shortlist).join(known.select("entity_type", F.col("norm").alias("b"), "node_id"), ["entity_type", "b"])
-        .groupBy("entity_type", F.col("a").alias("norm"))
-        .agg(F.min_by("node_id", F.struct(-F.col("score"), F.col("node_id"))).alias("node_id"))
-    )
-    matched = written(best_known, "matched")
+    nodes = spelled.select("entity_type", F.col("norm").alias("b"), "node_id", "name")
+    matched = first_confirmed(shortlist.join(nodes, ["entity_type", "b"]), confirm, [F.desc("score"), F.col("node_id"), F.col("b")]).select(
+        "entity_type", F.col("a").alias("norm"), "node_id")
 
     # names of this batch among themselves: each points to its best earlier look-alike
     open_names = rest.join(matched, ["entity_type", "norm"], "left_anti")
-    earlier = rest.select("entity_type", F.col("norm").alias("b"), F.col("seq").alias("b_seq"))
-    own_pairs = confirm(name_pairs(open_names, rest, fuzzy))
-    pointers = (
-        own_pairs.join(open_names.select("entity_type", F.col("norm").alias("a"), "seq"), ["entity_type", "a"])
+    earlier = rest.select("entity_type", F.col("norm").alias("b"), "name", F.col("seq").alias("b_seq"))
+    own_pairs = (
+        name_pairs(open_names, rest, fuzzy)
+        .join(open_names.select("entity_type", F.col("norm").alias("a"), "seq"), ["entity_type", "a"])
         .join(earlier, ["entity_type", "b"]).filter(F.col("b_seq") < F.col("seq"))
-        .groupBy("entity_type", "a").agg(F.min_by("b", F.struct(-F.col("score"), F.col("b_seq"))).alias("b"))
+        .withColumn("node_id", F.lit(None).cast(spelled.schema["node_id"].dataType))
     )
+    pointers = first_confirmed(own_pairs, confirm, [F.desc("score"), F.col("b_seq")]).select("entity_type", "a", "b")
     key = lambda t, n: F.concat_ws("\u0001", t, n)
     links = roots(pointers.select(key("entity_type", "a").alias("key"), key("entity_type", "b").alias("parent")))
 

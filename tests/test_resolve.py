@@ -102,6 +102,38 @@ def test_next_candidate_after_a_refusal(spark):
     assert other["resnet"] == ("fuzzy", "m2")
 
 
+def test_every_node_of_an_alias_is_a_candidate(spark):
+    stored = [("m1", "Method", "Foo", False), ("m1", "Method", "sharednet", True), ("m2", "Method", "Bar", False), ("m2", "Method", "sharednet", True)]
+    asked = []
+
+    def second(pairs):
+        asked.append(pairs.select("node_id").collect())
+        return pairs.filter("node_id = 'm2'")
+
+    assert resolved(spark, [("sharednet2", "Method", 1)], stored)["sharednet2"] == ("fuzzy", "m1")
+    assert resolved(spark, [("sharednet2", "Method", 1)], stored, confirm=second)["sharednet2"] == ("fuzzy", "m2")
+    assert [[r.node_id for r in x] for x in asked] == [["m1"], ["m2"]]  # in rounds, best first
+
+
+def test_model_confirms_with_descriptions(spark):
+    def model():
+        return lambda system, prompt: "Yes." if "a residual one" in prompt and "Second (Method): resnets" in prompt else "no"
+
+    told = spark.createDataFrame([("Method", "resnet", "a residual one")], "entity_type string, norm string, description string")
+    stored = [("m1", "Method", "resnet50", False), ("m2", "Method", "resnets", False)]
+    got = resolved(spark, [("resnet", "Method", 1), ("resnetz", "Method", 2)], stored, confirm=rs.ask_model([model], told, pause=0))
+    assert got["resnet"] == ("fuzzy", "m2") and got["resnetz"] == ("none", "new:Method:resnetz")
+
+
+def test_candidates_grow_with_matches_only(spark):
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(11)) for _ in range(3000)]
+    frame = spark.createDataFrame([("Method", x) for x in names], "entity_type string, b string")
+    keys = ["entity_type", "own", "other", "i", "segment"]
+    probes = rs._probed_segments(frame.withColumnRenamed("b", "a"), "a", 0.85)
+    assert probes.join(rs._indexed_segments(frame, "b", 0.85), keys).filter("a <> b").select("a", "b").distinct().count() < 0.02 * len(names) ** 2
+
+
 def test_description_channel(spark):
     stored = spark.createDataFrame([("m1", "Method", "Alpha", [1.0, 0.0]), ("m2", "Method", "Beta", [0.0, 1.0])], "node_id string, entity_type string, name string, vector array<float>")
     vectors = spark.createDataFrame([("Method", "omega", [0.9, 0.1])], "entity_type string, norm string, vector array<float>")
