@@ -2,9 +2,9 @@
 
 The corpus is scanned once, in Arrow batches, against a query matrix that every
 task holds; each task keeps its k best rows per query, so only
-queries x k x tasks rows are shuffled for the final ranking. The matrix is
-collected behind a size check; a larger query set is split by hash into parts
-that pass the check, one scan each.
+queries x k x tasks rows are shuffled for the final ranking. The queries are split
+by hash into parts of a bounded size, one for a small set, with one scan each. The
+driver holds one part at a time, a task one block of the product.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from citeloom.runtime import BROADCAST_ROWS, BROADCAST_VALUES
 
+CELLS = 4_000_000  # of the product that a task holds at a time (32 MB)
 SCORE_DIGITS = 9  # equal vectors must tie whatever block of the product they fall in
 
 
@@ -34,22 +35,19 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def _query_parts(queries: DataFrame, dimension: int, limit_rows: int | None) -> list[tuple]:
-    """Query ids, scopes and unit vectors, in parts that each pass the size check."""
+def _query_parts(queries: DataFrame, dimension: int, limit_rows: int | None) -> Iterator[tuple]:
+    """Query ids, scopes and unit vectors, in parts that each pass the size check; made one after the other."""
     bound = limit_rows or max(1, min(BROADCAST_ROWS, BROADCAST_VALUES // max(dimension, 1)))
-    rows = queries.limit(bound + 1).toArrow()
-    tables = [rows]
-    if rows.num_rows > bound:
-        n = 2 * (-(-queries.count() // bound))
-        slot = F.pmod(F.xxhash64("query_id"), F.lit(n))
-        tables = [queries.filter(slot == i).limit(2 * bound + 1).toArrow() for i in range(n)]
-        if any(t.num_rows > 2 * bound for t in tables):
-            raise ValueError("query ids are not unique: a hash part exceeds the broadcast bound")
-    return [
-        (t.column("query_id").to_pylist(), t.column("scope").to_pylist(), _unit(_matrix(t.column("vector"))))
-        for t in tables
-        if t.num_rows
-    ]
+    total = queries.count()
+    # parts are half full on average, so a hash part does not exceed the bound; repeated rows of an id share a part
+    n = 1 if total <= bound else 2 * -(-total // bound)
+    slot = F.pmod(F.xxhash64("query_id", "vector"), F.lit(n))
+    for i in range(n if total else 0):
+        t = queries.filter(slot == i).limit(2 * bound + 1).toArrow()
+        if t.num_rows > 2 * bound:
+            raise ValueError("many queries repeat one id and vector: remove the copies first")
+        if t.num_rows:
+            yield t.column("query_id").to_pylist(), t.column("scope").to_pylist(), _unit(_matrix(t.column("vector")))
 
 
 def _scan(corpus: DataFrame, part: tuple, k: int | None, floor: float | None) -> DataFrame:
@@ -67,32 +65,33 @@ def _scan(corpus: DataFrame, part: tuple, k: int | None, floor: float | None) ->
         scoped = any(s is not None for s in scopes)
         best: list[list[tuple]] = [[] for _ in scopes]
         kind = None
-        for batch in batches:
-            kind = batch.schema.field("id").type
-            if batch.num_rows == 0:
-                continue
-            scores = np.round(_unit(_matrix(batch.column("vector"))) @ matrix.T, SCORE_DIGITS) + 0.0
-            ids = batch.column("id").to_pylist()
-            if scoped:
-                owners = np.array(batch.column("scope").to_pylist(), dtype=object)
-            hits_q, hits_id, hits_s = [], [], []
-            for q, scope in enumerate(scopes):
-                column = scores[:, q]
-                rows = np.arange(len(column)) if scope is None else np.flatnonzero(owners == scope)
-                if floor is not None:
-                    rows = rows[column[rows] > floor]
-                    hits_q += [q] * len(rows)
-                    hits_id += [ids[r] for r in rows]
-                    hits_s += column[rows].tolist()
-                    continue
-                if len(rows) > k:
-                    cut = np.partition(column[rows], len(rows) - k)[len(rows) - k]
-                    rows = rows[column[rows] >= cut]
-                merged = best[q] + [(-float(column[r]), ids[r]) for r in rows]
-                merged.sort()
-                best[q] = merged[:k]
-            if floor is not None and hits_q:
-                yield _batch(hits_q, hits_id, hits_s, kind)
+        step = max(1, CELLS // max(1, len(scopes)))
+        for whole in batches:
+            kind = whole.schema.field("id").type
+            for first in range(0, whole.num_rows, step):
+                batch = whole.slice(first, step)
+                scores = np.round(_unit(_matrix(batch.column("vector"))) @ matrix.T, SCORE_DIGITS) + 0.0
+                ids = batch.column("id").to_pylist()
+                if scoped:
+                    owners = np.array(batch.column("scope").to_pylist(), dtype=object)
+                hits_q, hits_id, hits_s = [], [], []
+                for q, scope in enumerate(scopes):
+                    column = scores[:, q]
+                    rows = np.arange(len(column)) if scope is None else np.flatnonzero(owners == scope)
+                    if floor is not None:
+                        rows = rows[column[rows] > floor]
+                        hits_q += [q] * len(rows)
+                        hits_id += [ids[r] for r in rows]
+                        hits_s += column[rows].tolist()
+                        continue
+                    if len(rows) > k:
+                        cut = np.partition(column[rows], len(rows) - k)[len(rows) - k]
+                        rows = rows[column[rows] >= cut]
+                    merged = best[q] + [(-float(column[r]), ids[r]) for r in rows]
+                    merged.sort()
+                    best[q] = merged[:k]
+                if floor is not None and hits_q:
+                    yield _batch(hits_q, hits_id, hits_s, kind)
         if floor is None and kind is not None:
             flat = [(q, i, -s) for q, rows in enumerate(best) for s, i in rows]
             if flat:
@@ -142,14 +141,14 @@ def _search(corpus, queries, dimension, limit_rows, k, floor) -> DataFrame:
         "query_id", "vector",
         *(["scope"] if "scope" in queries.columns else [F.lit(None).cast("string").alias("scope")]),
     )
-    parts = _query_parts(asked, dimension, limit_rows)
-    if not parts:
+    found = None
+    for part in _query_parts(asked, dimension, limit_rows):
+        one = _scan(slim, part, k, floor)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
         return slim.limit(0).select(
             asked_id(asked), F.col("id"), F.lit(None).cast("double").alias("score")
         )
-    found = _scan(slim, parts[0], k, floor)
-    for part in parts[1:]:
-        found = found.unionByName(_scan(slim, part, k, floor))
     return found
 
 
