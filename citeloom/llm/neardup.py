@@ -22,7 +22,10 @@ BATCH = 30  # signature values compared at a time
 MISS = 1e-6  # chosen probability that a batch drops a pair at or above the threshold
 
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"
-_SETS = "id long, d1 long, shingles binary"
+# Shingles that at most so many texts of mixed buckets hold are looked up, others counted.
+RARE = 10
+
+_SETS = "id long, d1 long, n long, shingles array<long>"
 
 
 def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,19 +152,32 @@ def _setter(held: np.ndarray, width: int):
             for k in range(0, some.num_rows, 500):
                 part = some.slice(k, 500)
                 found = list(shingle_sets(part.column(2), width))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([set_digest(s)[0] for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
-                    names=["id", "d1", "shingles"])
+                sizes = np.array([len(s) for s in found], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
+                                                 pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_digest(s)[0] for s in found], pa.int64()), pa.array(sizes), lists],
+                                                 names=["id", "d1", "n", "shingles"])
 
     return sets
 
 
+def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, d1, n, shingles) of the documents whose id is in ``ids``, made again from the text, as a written table.
+
+    A filter of fixed size skips most other texts; of those it lets through by
+    mistake the rows are simply never joined.
+    """
+    keys = ids.select(F.xxhash64("id").alias("key"))
+    texts = docs.select("doc_id", F.xxhash64("doc_id").alias("key"), "text").where(F.col("doc_id").isNotNull())
+    return written(texts.mapInArrow(_setter(bloom(keys, "key"), width), _SETS).dropDuplicates(["id", "d1"]), "shingle-sets")
+
+
 def _linker(percent: int):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     good.append(i)
@@ -170,23 +186,59 @@ def _linker(percent: int):
     return linked
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, bands: int, rows: int, width: int, percent: int, miss: float) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sets: DataFrame | None, bands: int, rows: int, width: int, percent: int,
+             miss: float) -> DataFrame:
     """The pairs (a, b) of document ids whose full shingle sets reach the threshold, as a written table.
 
     Only documents of pairs that the signatures leave open get their sets made again
-    from the text; a filter of fixed size skips the others.
+    from the text, unless ``sets`` has them.
     """
     sides = reps.select("id", "n_shingles", "d1", "signature")
     open_ = (pairs.join(sides.toDF("a", "na", "da", "sa"), "a").join(sides.toDF("b", "nb", "db", "sb"), "b")
              .select("a", "da", "b", "db", "na", "nb", "sa", "sb").mapInArrow(pruner(bands, rows, percent, miss), "a long, da long, b long, db long"))
     open_ = written(open_, "open-pairs")
-    ids = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("key"))
-    texts = docs.select("doc_id", F.xxhash64("doc_id").alias("key"), "text").where(F.col("doc_id").isNotNull())
-    sets = written(texts.mapInArrow(_setter(bloom(ids, "key"), width), _SETS).dropDuplicates(["id", "d1"]), "open-sets")
-    both = (open_.join(sets.toDF("a", "da", "xa"), ["a", "da"]).join(sets.toDF("b", "db", "xb"), ["b", "db"]).select("a", "b", "xa", "xb"))
+    if sets is None:
+        sets = shingle_table(docs, open_.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width)
+    side = sets.select("id", "d1", "shingles")
+    both = (open_.join(side.toDF("a", "da", "xa"), ["a", "da"]).join(side.toDF("b", "db", "xb"), ["b", "db"]).select("a", "b", "xa", "xb"))
     return written(both.mapInArrow(_linker(percent), "a long, b long").distinct(), "links")
 
 
+def crossing_pairs(placed: DataFrame, sets: DataFrame, percent: int, rare: int = RARE) -> DataFrame:
+    """Pairs (a, b) of different components that may still be linked, from buckets that hold several.
+
+    ``placed``: (key, id, leader, component). Two linked sets x and y overlap in at
+    least percent / (100 + percent) of their sizes' sum. Either they share a
+    shingle that few texts hold: such pairs come from a join on rare shingles, at
+    most ``rare`` partners each. Or all they share is common: then both must have
+    enough common shingles, which most texts of a large group of edited copies do
+    not, so that group's pairs are never made. The bounds are exact.
+    """
+    members = written(placed.select("id", "component").distinct().join(sets.select("id", "d1", "n", "shingles"), "id"), "mixed-members")
+    held = members.select("id", "d1", "n", "component", F.explode("shingles").alias("shingle"))
+    many = held.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1")
+    held = written(held.join(many, "shingle"), "shared-shingles")
+    room = held.groupBy("id", "d1").agg(F.count("*").alias("shared"), F.count(F.when(F.col("texts") > rare, 1)).alias("common"))
+
+    def reach(bound: str) -> str:
+        return f"{100 + percent} * least(x.{bound}, y.{bound}) >= {percent} * (x.n + y.n)"
+
+    few = held.where(F.col("texts") <= rare).join(room.select("id", "d1", "shared"), ["id", "d1"])
+    looked_up = (few.alias("x").join(few.alias("y"), F.expr(f"x.shingle = y.shingle and x.id < y.id and x.component != y.component and {reach('shared')}"))
+                 .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+
+    sized = members.select("id", "d1", "n").join(room.select("id", "d1", "common"), ["id", "d1"])
+    able = placed.join(sized.groupBy("id").agg(F.min("n").alias("n"), F.max("common").alias("common")), "id")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
+    able = able.where(f"100 * common >= {percent} * n and id != leader")
+    minor = able.join(main, "key").where("component != main")
+    counted = (minor.alias("x").join(able.alias("y"), F.expr(
+        f"x.key = y.key and x.component != y.component and (y.component = x.main or x.id < y.id) and {reach('common')}"))
+        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+    return written(looked_up.unionByName(counted).distinct(), "crossing-pairs")
+
+
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, width: int = SHINGLE, percent: int = SIMILARITY,
                     miss: float = MISS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
@@ -197,8 +249,9 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS,
        one: pairs grow with the rows of a bucket, not with its square.
     3. Pairs are pruned by signature and verified on full sets; links give components.
     4. Buckets that then hold more than one component are completed: members
-       outside the bucket's main component meet the members of other components.
-       So no candidate pair is left out unless its ends are connected already.
+       outside the bucket's main component meet the members of other components,
+       but for pairs that exact bounds rule out. So no candidate pair is left out
+       unless its ends are connected already or cannot be linked.
 
     Texts without words have no shingles and no links. Documents without id take
     the component of their equal texts, or null. Rows of one doc_id are told apart
@@ -213,22 +266,18 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS,
     keyed = reps.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = written(keyed.join(shared, "key"), "members")
-    check = (reps, docs, bands, rows, width, percent, miss)
-    links = verified(members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), *check)
+    options = (bands, rows, width, percent, miss)
+    stars = members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    links = verified(stars, reps, docs, None, *options)
 
     found = components(links)
     placed = members.join(found, "id", "left").select("key", "id", "leader", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     placed = written(placed.join(mixed, "key"), "mixed-buckets")
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
-    minor = placed.join(main, "key").where("component != main and id != leader").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), "main")
-    other = placed.where("id != leader").select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    crossed = (minor.join(other, "key").where("ca != cb and (cb = main or a < b)")
-               .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    crossed = written(crossed, "crossed-pairs")
-    if not crossed.isEmpty():
-        links = links.unionByName(verified(crossed, *check))
+    sets = shingle_table(docs, placed.select("id").distinct(), width)
+    crossing = crossing_pairs(placed, sets, percent)
+    if not crossing.isEmpty():
+        links = links.unionByName(verified(crossing, reps, docs, sets, *options))
         found = components(links)
 
     by_class = classes.join(found, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
