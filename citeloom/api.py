@@ -33,9 +33,9 @@ def with_vectors(questions: DataFrame, dimension: int, model=None) -> DataFrame:
 
 
 def query(corpus: Corpus, questions: DataFrame, providers: Sequence[Provider], hops: int | None = None,
-          top_k: int | None = None, pause: float = 2.0) -> dict[str, DataFrame]:
+          top_k: int | None = None, pause: float = 2.0, max_nodes: int | None = None, row_limit: int | None = None) -> dict[str, DataFrame]:
     """Graph answers: answers (with warning), citations, nodes, edges, stats, keyed by query_id."""
-    found: Retrieved = retrieve(corpus, questions, hops=hops, top_k=top_k)
+    found: Retrieved = retrieve(corpus, questions, hops=hops, top_k=top_k, max_nodes=max_nodes, row_limit=row_limit)
     context = written(graph_context(corpus, questions, found), "context")
     told = questions.select("query_id", "question").join(context.select("query_id", "text"), "query_id")
     answered = written(extract.answer(told, providers, GRAPH_TASK, NO_GRAPH_CONTEXT, pause), "answers")
@@ -70,35 +70,35 @@ def query_compare(corpus: Corpus, questions: DataFrame, providers: Sequence[Prov
 
 
 def graph_overview(corpus: Corpus, collection: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(node counts, edge counts) with totals; a collection counts what its capped view shows."""
+    """(node counts, edge counts) with totals, of the whole graph or of a collection's whole subgraph."""
     if collection is None:
         return browse.node_counts(corpus.nodes), browse.edge_counts(corpus.edges)
-    edges, nodes = _collection(corpus, collection, DEFAULTS.view_nodes)
+    edges, nodes = _collection(corpus, collection, None)
     labelled = nodes.join(corpus.nodes.select("node_id", "label"), "node_id")
     return browse.node_counts(labelled), browse.edge_counts(edges)
 
 
-def _collection(corpus: Corpus, collection: str, max_nodes: int) -> tuple[DataFrame, DataFrame]:
+def _collection(corpus: Corpus, collection: str, max_nodes: int | None) -> tuple[DataFrame, DataFrame]:
     asked = corpus.nodes.sparkSession.createDataFrame([(1, collection)], "query_id long, collection_id string")
     return browse.collection_subgraph(corpus, asked, max_nodes)
 
 
 def graph_subgraph(corpus: Corpus, entity_id: str | None = None, hops: int = 2, collection: str | None = None,
                    max_nodes: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes with usage_count, edges) around an entity, of a collection, or of the whole graph, capped.
+    """(nodes with usage_count, edges) around an entity, of a collection, or of the whole graph; all, unless ``max_nodes`` asks for fewer.
 
     An unknown entity gives no rows. usage_count is null without usage.
     """
     if entity_id is None and collection is None:
-        nodes, edges = browse.whole_graph(corpus.nodes, corpus.edges, max_nodes or DEFAULTS.view_nodes)
+        nodes, edges = browse.whole_graph(corpus.nodes, corpus.edges, max_nodes)
     else:
         if entity_id is None:
-            edges, ids = _collection(corpus, collection, max_nodes or DEFAULTS.view_nodes)
+            edges, ids = _collection(corpus, collection, max_nodes)
         else:
             spark = corpus.nodes.sparkSession
             seeds = spark.createDataFrame([(1, entity_id)], "query_id long, node_id string")
             asked = spark.createDataFrame([(1, collection)], "query_id long, collection_id string")
-            edges, ids = subgraphs(corpus, asked, seeds, hops, max_nodes=max_nodes or DEFAULTS.max_nodes)
+            edges, ids = subgraphs(corpus, asked, seeds, hops, max_nodes=max_nodes)
         nodes = corpus.nodes.join(ids.select("node_id"), "node_id", "left_semi")
         edges = corpus.edges.join(edges.select("src", "dst", "rel_type"), ["src", "dst", "rel_type"], "left_semi")
     shown = nodes.select("node_id")
@@ -110,8 +110,8 @@ def graph_subgraph(corpus: Corpus, entity_id: str | None = None, hops: int = 2,
 
 
 def graph_export(corpus: Corpus, folder: str, collection: str | None = None) -> None:
-    """Write the (scoped) graph as JSON lines, up to the export limit."""
-    nodes, edges = graph_subgraph(corpus, collection=collection, max_nodes=DEFAULTS.export_nodes)
+    """Write the whole (scoped) graph as JSON lines."""
+    nodes, edges = graph_subgraph(corpus, collection=collection)
     browse.graph_export(nodes, edges).write.partitionBy("kind").text(folder)
 
 

@@ -130,13 +130,15 @@ def induced_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges
 
 
-def whole_graph(nodes: DataFrame, edges: DataFrame, limit: int = DEFAULTS.view_nodes) -> tuple[DataFrame, DataFrame]:
-    """The first ``limit`` nodes by id and the edges among them."""
+def whole_graph(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """All nodes, or the first ``limit`` by id, and the edges among them."""
+    if limit is None:
+        return nodes, induced_edges(edges, nodes)
     shown = nodes.orderBy("node_id").limit(limit)
     return shown, induced_edges(edges, shown)
 
 
-def collection_subgraph(corpus: Corpus, collections: DataFrame, max_nodes: int = DEFAULTS.view_nodes) -> tuple[DataFrame, DataFrame]:
+def collection_subgraph(corpus: Corpus, collections: DataFrame, max_nodes: int | None = None, row_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """2-hop subgraph seeded by all papers of each collection: (edges, nodes) keyed by query_id.
 
     collections(query_id, collection_id).
@@ -145,7 +147,7 @@ def collection_subgraph(corpus: Corpus, collections: DataFrame, max_nodes: int =
         corpus.nodes.filter(F.col("label") == "Paper").select("node_id", "collection_id")
         .join(collections, "collection_id").select("query_id", "node_id")
     )
-    return subgraphs(corpus, collections, seeds, hops=2, max_nodes=max_nodes)
+    return subgraphs(corpus, collections, seeds, hops=2, max_nodes=max_nodes, row_limit=row_limit)
 
 
 def subgraph_counts(edges: DataFrame, nodes: DataFrame, described: DataFrame) -> DataFrame:

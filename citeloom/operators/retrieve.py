@@ -35,7 +35,7 @@ class Retrieved:
     entity_seeds: DataFrame
     chunk_seeds: DataFrame
     seeds: DataFrame
-    edges: DataFrame      # capped subgraph
+    edges: DataFrame      # subgraph, capped on request
     nodes: DataFrame
     scored: DataFrame
     ranked: DataFrame
@@ -45,11 +45,14 @@ class Retrieved:
 def retrieve(
     corpus: Corpus, queries: DataFrame, hops: int | None = None, top_k: int | None = None,
     rel_types: list[str] | None = None, entity_types: list[str] | None = None,
-    max_nodes: int = DEFAULTS.max_nodes, row_limit: int = DEFAULTS.row_limit,
+    max_nodes: int | None = None, row_limit: int | None = None,
     entity_top_k: int | None = None, chunk_top_k: int | None = None,
     alpha: float | None = None, beta: float | None = None, gamma: float | None = None,
 ) -> Retrieved:
-    """Seeds, traversal, scoping, cap, score and rank for queries(query_id, vector, collection_id)."""
+    """Seeds, traversal, scoping, cap, score and rank for queries(query_id, vector, collection_id).
+
+    Rows and nodes are limited only if the request says so.
+    """
     entities = written(entity_seeds(corpus.entity_vectors, queries, entity_top_k, corpus.dimension), "entity-seeds")
     chunks = written(chunk_seeds(corpus.chunk_vectors, queries, chunk_top_k, corpus.dimension), "chunk-seeds")
     papers = seed_papers(entities, chunks, corpus.entity_papers)
@@ -57,7 +60,7 @@ def retrieve(
     edges, nodes = subgraphs(corpus, queries, seeds, hops, rel_types, entity_types, max_nodes, row_limit)
     described = nodes.join(corpus.nodes, "node_id")
     scored = written(
-        score_nodes(described, edges, seed_distances(edges, seeds), entities, chunks, alpha, beta, gamma), "scored"
+        score_nodes(described, edges, seed_distances(edges, seeds, row_limit is not None), entities, chunks, alpha, beta, gamma), "scored"
     )
     ranked = rank_nodes(scored, top_k)
     return Retrieved(entities, chunks, seeds, edges, nodes, scored, ranked, ranked_edges(edges, ranked))
@@ -66,7 +69,7 @@ def retrieve(
 def subgraphs(
     corpus: Corpus, queries: DataFrame, seeds: DataFrame, hops: int | None = None,
     rel_types: list[str] | None = None, entity_types: list[str] | None = None,
-    max_nodes: int = DEFAULTS.max_nodes, row_limit: int = DEFAULTS.row_limit,
+    max_nodes: int | None = None, row_limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(edges, nodes) around the seeds: traverse, filter labels, scope to the collection, then cap."""
     edges = traverse(corpus.edges, seeds, hops, rel_types, row_limit)

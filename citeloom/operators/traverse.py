@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.runtime import early_cut, top_k_per_group, written
-from citeloom.settings import DEFAULTS, RELATION_TYPES, effective_hops
+from citeloom.runtime import early_cut, row_numbers, top_k_per_group, written
+from citeloom.settings import RELATION_TYPES, effective_hops
 
 EDGE_KEY = ["src", "dst", "rel_type"]
 
@@ -69,17 +69,20 @@ def incident(edges: DataFrame, reached: DataFrame) -> DataFrame:
 
 def traverse(
     edges: DataFrame, seeds: DataFrame, hops: int | None = None,
-    rel_types: list[str] | None = None, row_limit: int = DEFAULTS.row_limit, salts: int = 16,
+    rel_types: list[str] | None = None, row_limit: int | None = None, salts: int = 16,
 ) -> DataFrame:
     """The edges on any trail of up to ``hops`` steps from a seed, best confidence first.
 
     An edge lies on such a trail exactly if one of its ends is within hops-1
     steps of a seed, so frontier joins suffice. Result: (query_id, src, dst,
-    rel_type, conf, ord) with at most ``row_limit`` rows per query; an edge is
-    met at most twice, so twice the limit is kept until duplicates are gone.
+    rel_type, conf, ord), all rows or, if the request names a ``row_limit``, at most
+    that many per query; an edge is met at most twice, so twice the limit is kept
+    until duplicates are gone.
     """
     allowed = of_types(edges, rel_types)
     reached = frontier(allowed, seeds, effective_hops(hops) - 1)
+    if row_limit is None:
+        return written(row_numbers(incident(allowed, reached).distinct(), ["query_id"], by_confidence(), "ord"), "traversed")
     met = top_k_per_group(
         incident(allowed, reached), ["query_id"], by_confidence(), 2 * row_limit, "_met", salts
     ).drop("_met")
@@ -166,15 +169,17 @@ def scope_to_collection(
 
 
 def cap_nodes(
-    edges: DataFrame, nodes: DataFrame, max_nodes: int = DEFAULTS.max_nodes
+    edges: DataFrame, nodes: DataFrame, max_nodes: int | None = None
 ) -> DataFrame:
-    """Nodes within the greedy node budget: take edges best first while their new ends still fit.
+    """Nodes within the greedy node budget: take edges best first while their new ends still fit; all without a budget.
 
     Until the budget overflows, every edge is admitted, so the admitted nodes
     are a prefix of the first-seen order in which whole edges fit. If one place
     is then left, the next edge that needs exactly one new node takes it. Hence
     windows over the (row-limited) edges, no sequential pass.
     """
+    if max_nodes is None:
+        return nodes.select("query_id", "node_id", "node_ord")
     per_query = Window.partitionBy("query_id")
     sized = nodes.withColumn("n_nodes", F.count("*").over(per_query))
     small = sized.filter(F.col("n_nodes") <= max_nodes).select("query_id", "node_id", "node_ord")
@@ -238,12 +243,28 @@ def _distances(ends: pa.Table) -> pa.Table:
     })
 
 
-def seed_distances(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def _distance_joins(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    ends = (("src", "dst"), ("dst", "src"))
+    links = written(edges.select("query_id", F.inline(F.array(*[F.struct(F.col(a).alias("node_id"), F.col(b).alias("other")) for a, b in ends]))), "links")
+    known = links.select("query_id", "node_id").distinct().join(seeds.select("query_id", "node_id").distinct(), ["query_id", "node_id"], "left_semi")
+    last = found = written(known.withColumn("distance", F.lit(0)), "distances")
+    while not last.isEmpty():
+        near = last.join(links, ["query_id", "node_id"]).select("query_id", F.col("other").alias("node_id"), (F.col("distance") + 1).alias("distance")).distinct()
+        last = written(near.join(found.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti"), "distances")
+        found = found.unionByName(last)
+    return found
+
+
+def seed_distances(edges: DataFrame, seeds: DataFrame, limited: bool = False) -> DataFrame:
     """Undirected hops from the nearest seed inside each query's subgraph.
 
-    The grouped step sees one query's capped subgraph (at most ``row_limit``
-    edges), because distances after the cap may exceed any fixed hop count.
+    Distances grow by joins, one written step per hop, until nothing new is met.
+    ``limited`` says that a request's row limit bounds every query's edges: they
+    are then walked in one grouped step, as distances after a cap may exceed any
+    fixed hop count.
     """
+    if not limited:
+        return _distance_joins(edges, seeds)
     marks = seeds.select("query_id", "node_id").distinct()
     flagged = edges.select("query_id", "src", "dst")
     for end in ("src", "dst"):

@@ -102,16 +102,16 @@ def relationships_in_collection(spark, sf):
     SELECT node_id, label, coalesce(name, title, text) AS name FROM nodes ORDER BY node_id LIMIT 150""")
 def whole_graph_nodes(spark, sf):
     corpus = d.corpus(spark, sf)
-    shown, _ = browse.whole_graph(corpus.nodes, corpus.edges)
+    shown, _ = browse.whole_graph(corpus.nodes, corpus.edges, 150)
     return shown.select("node_id", "label", browse.shown_name().alias("name"))
 
 
 @query("s9_induced_edges", using("nodes", "edges") + """
-    , shown AS (SELECT node_id FROM nodes ORDER BY node_id LIMIT 100000)
+    , shown AS (SELECT node_id FROM nodes)
     SELECT src, dst, rel_type FROM edges WHERE src IN (SELECT node_id FROM shown) AND dst IN (SELECT node_id FROM shown)""")
 def induced_edges(spark, sf):
     corpus = d.corpus(spark, sf)
-    return browse.whole_graph(corpus.nodes, corpus.edges, 100_000)[1].select("src", "dst", "rel_type")
+    return browse.whole_graph(corpus.nodes, corpus.edges)[1].select("src", "dst", "rel_type")
 
 
 @query("s10_entity_by_id", using("nodes") + """
@@ -179,7 +179,7 @@ def _collection_graph(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _SHOWN:
         names = d.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("collection_id")).distinct()
-        _SHOWN[key] = browse.collection_subgraph(d.corpus(spark, sf), names.withColumn("query_id", F.col("collection_id")))
+        _SHOWN[key] = browse.collection_subgraph(d.corpus(spark, sf), names.withColumn("query_id", F.col("collection_id")), max_nodes=150, row_limit=2000)
     return _SHOWN[key]
 
 
@@ -333,12 +333,12 @@ def confidence_band(spark, sf):
 
 
 @query("k23_graph_export", using("nodes", "edges") + """
-    , shown AS (SELECT node_id, label, name, title, text FROM nodes ORDER BY node_id LIMIT 100000)
+    , shown AS (SELECT node_id, label, name, title, text FROM nodes)
     SELECT 'node' AS kind, count(*) AS n FROM shown UNION ALL
     SELECT 'edge', count(*) FROM edges WHERE src IN (SELECT node_id FROM shown) AND dst IN (SELECT node_id FROM shown)""")
 def graph_export(spark, sf):
     corpus = d.corpus(spark, sf)
-    nodes, edges = browse.whole_graph(corpus.nodes, corpus.edges, 100_000)
+    nodes, edges = browse.whole_graph(corpus.nodes, corpus.edges)
     return browse.graph_export(nodes, edges).filter(F.col("json").isNotNull()).groupBy("kind").agg(F.count("*").alias("n"))
 
 

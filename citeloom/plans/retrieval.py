@@ -17,6 +17,9 @@ from citeloom.plans.domain_sql import tok, using
 from citeloom.plans.registry import query
 from citeloom.runtime import written
 
+# What the limited requests name; operators have no limits of their own.
+ROWS, NODES = 2000, 200
+
 _FOUND: dict[tuple[str, str], Retrieved] = {}
 
 
@@ -24,7 +27,7 @@ def found(spark, sf) -> Retrieved:
     """The scoped question batch, retrieved once per session and input folder."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FOUND:
-        _FOUND[key] = retrieve(d.corpus(spark, sf), questions(spark, sf))
+        _FOUND[key] = retrieve(d.corpus(spark, sf), questions(spark, sf), row_limit=ROWS, max_nodes=NODES)
     return _FOUND[key]
 
 
@@ -104,7 +107,7 @@ def resolved_seeds(spark, sf):
 
 @query("g1_traversal", using("traversed") + "SELECT query_id, src, dst, rel_type, conf, ord FROM traversed")
 def traversal(spark, sf):
-    return traverse.traverse(d.corpus(spark, sf).edges, found(spark, sf).seeds)
+    return traverse.traverse(d.corpus(spark, sf).edges, found(spark, sf).seeds, row_limit=ROWS)
 
 
 @query("g1_three_hops_by_type", using("seeds", "ends") + """
@@ -116,12 +119,33 @@ def traversal(spark, sf):
     FROM (SELECT DISTINCT query_id, src, dst, rel_type, confidence FROM r2 JOIN typed USING (node_id)) QUALIFY ord <= 2000""")
 def three_hops(spark, sf):
     return traverse.traverse(
-        d.corpus(spark, sf).edges, found(spark, sf).seeds, hops=3, rel_types=["AUTHORED_BY", "REPORTS_RESULT", "UNKNOWN"])
+        d.corpus(spark, sf).edges, found(spark, sf).seeds, hops=3, rel_types=["AUTHORED_BY", "REPORTS_RESULT", "UNKNOWN"], row_limit=ROWS)
+
+
+@query("g1_traversal_whole", using("reached") + """
+    SELECT query_id, src, dst, rel_type, coalesce(confidence, 0) AS conf,
+           row_number() OVER (PARTITION BY query_id ORDER BY coalesce(confidence, 0) DESC, src, dst, rel_type) AS ord
+    FROM (SELECT DISTINCT query_id, src, dst, rel_type, confidence FROM reached JOIN ends USING (node_id))""")
+def traversal_whole(spark, sf):
+    return traverse.traverse(d.corpus(spark, sf).edges, found(spark, sf).seeds)
+
+
+@query("g4_distances_whole", using("reached") + """
+    , own AS (SELECT DISTINCT query_id, src, dst FROM reached JOIN ends USING (node_id)),
+    met AS (SELECT DISTINCT query_id, unnest([src, dst]) AS node_id FROM own),
+    zero AS (SELECT query_id, node_id FROM met SEMI JOIN seeds USING (query_id, node_id)),
+    one AS (SELECT DISTINCT o.query_id, CASE WHEN o.src = z.node_id THEN o.dst ELSE o.src END AS node_id
+            FROM own o JOIN zero z ON z.query_id = o.query_id AND z.node_id IN (o.src, o.dst))
+    SELECT query_id, node_id, CASE WHEN z.node_id IS NOT NULL THEN 0 WHEN n.node_id IS NOT NULL THEN 1 ELSE 2 END AS distance
+    FROM met LEFT JOIN zero z USING (query_id, node_id) LEFT JOIN one n USING (query_id, node_id)""")
+def distances_whole(spark, sf):
+    seeds = found(spark, sf).seeds
+    return traverse.seed_distances(traverse.traverse(d.corpus(spark, sf).edges, seeds), seeds)
 
 
 @query("g2_subgraph_nodes", using("met") + "SELECT query_id, node_id, node_ord FROM met")
 def subgraph_nodes(spark, sf):
-    return traverse.subgraph_nodes(traverse.traverse(d.corpus(spark, sf).edges, found(spark, sf).seeds))
+    return traverse.subgraph_nodes(traverse.traverse(d.corpus(spark, sf).edges, found(spark, sf).seeds, row_limit=ROWS))
 
 
 @query("p4_entity_type_filter", using("traversed", "nodes") + """
@@ -133,7 +157,7 @@ def subgraph_nodes(spark, sf):
 def entity_type_filter(spark, sf):
     corpus, seeds = d.corpus(spark, sf), found(spark, sf).seeds
     return traverse.filter_entity_types(
-        traverse.traverse(corpus.edges, seeds), corpus.nodes, seeds, ["Method", "Claim"])
+        traverse.traverse(corpus.edges, seeds, row_limit=ROWS), corpus.nodes, seeds, ["Method", "Claim"])
 
 
 @query("p5_relation_type_filter", using("edges") + """
@@ -147,7 +171,7 @@ def relation_type_filter(spark, sf):
 @query("p6_collection_scope", using("scoped_nodes") + "SELECT query_id, node_id FROM scoped_nodes")
 def collection_scope(spark, sf):
     corpus = d.corpus(spark, sf)
-    edges = traverse.traverse(corpus.edges, found(spark, sf).seeds)
+    edges = traverse.traverse(corpus.edges, found(spark, sf).seeds, row_limit=ROWS)
     return traverse.scope_to_collection(edges, corpus.nodes, questions(spark, sf))[1].select("query_id", "node_id")
 
 
@@ -164,7 +188,7 @@ def capped_edges(spark, sf):
 @query("g4_seed_distances", using("distances") + "SELECT query_id, node_id, distance FROM distances")
 def seed_distances(spark, sf):
     hit = found(spark, sf)
-    return traverse.seed_distances(hit.edges, hit.seeds)
+    return traverse.seed_distances(hit.edges, hit.seeds, limited=True)
 
 
 @query("g5_average_confidence", using("trust") + """

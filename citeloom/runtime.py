@@ -105,6 +105,21 @@ def early_cut(spark: SparkSession, k: int):
 _SCRATCH: dict[str, str] = {}
 
 
+def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Numbers the rows of every group from 1 in ``order``, however large a group is.
+
+    Rows are range-partitioned by group and order and written; counts per part and
+    group (one row each) say how many rows of a group lie in earlier parts.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
+    stored = written(ranged, "ranges")
+    upto = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = stored.groupBy("_part", *keys).agg(F.count("*").alias("_n")).select("_part", *keys, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order)
+    return stored.join(before, ["_part", *keys]).withColumn(name, (F.col("_before") + F.row_number().over(inside)).cast("int")).drop("_part", "_before")
+
+
 def top_k_per_group(
     df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str, salts: int = 0
 ) -> DataFrame:

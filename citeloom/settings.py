@@ -16,10 +16,6 @@ class Settings:
     beta: float = 0.4
     gamma: float = 0.2
     ranked_nodes: int = 20
-    max_nodes: int = 200
-    row_limit: int = 2000
-    view_nodes: int = 150
-    export_nodes: int = 10_000
     candidate_entities: int = 500
     search_limit: int = 20
     # context
