@@ -294,6 +294,18 @@ def edit_ratio(spark, sf):
                                     F.round(names.partial_ratio(F.col("a"), F.col("b")), 6).alias("partial"))
 
 
+@query("f6_indel_ratio", _PAIRS.replace("WITH p", "WITH RECURSIVE p") + """,
+    lcs(a, b, i, row) AS (
+        SELECT a, b, 0, list_transform(range(length(b) + 1), lambda x: 0) FROM pairs
+        UNION ALL
+        SELECT a, b, i + 1, list_concat([0], list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+            lambda k: greatest(row[k + 1], row[k] + CASE WHEN b[k] = a[i + 1] THEN 1 ELSE 0 END)))))
+        FROM lcs WHERE i < length(a))
+    SELECT a, b, round(200.0::DOUBLE * row[length(b) + 1] / (length(a) + length(b)), 6) AS ratio FROM lcs WHERE i = length(a)""")
+def indel_ratio(spark, sf):
+    return _pairs(spark, sf).select("a", "b", F.round(names.ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
 @query("p13_claim_grounding")
 def claim_grounding(spark, sf):
     """First sentences of documents as claims against the rest of their own text."""
