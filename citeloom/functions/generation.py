@@ -99,4 +99,5 @@ def generate(
         for batch in batches:
             yield pa.array([one(p) for p in batch.to_pylist()], pa.string())
 
-    return run(user)
+    # a model may answer differently when asked again, so the optimizer must not duplicate the call
+    return run.asNondeterministic()(user)

@@ -17,10 +17,9 @@ def terms(text: Column) -> Column:
 
 
 def searchable(nodes: DataFrame) -> DataFrame:
-    """(node_id, label, text) of the labels that carry an index."""
-    return nodes.filter(F.col("label").isin(*SEARCH_LABELS)).select(
-        "node_id", "label", F.concat_ws(" ", "name", "title", "text").alias("text")
-    )
+    """(node_id, label, text) of the labels that carry an index: names, titles, texts, abstracts and descriptions."""
+    held = [c for c in ("name", "title", "text", "abstract", "description") if c in nodes.columns]
+    return nodes.filter(F.col("label").isin(*SEARCH_LABELS)).select("node_id", "label", F.concat_ws(" ", *held).alias("text"))
 
 
 def search(

@@ -16,7 +16,9 @@ def load(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """Finished units of a kind, one per (paper, section); unreadable data counts as missing."""
     try:
         rows = spark.read.schema("paper_id string, section string, data string, kind string").parquet(folder)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         rows = spark.createDataFrame([], "paper_id string, section string, data string, kind string")
     good = rows.filter((F.col("kind") == kind) & F.try_parse_json("data").isNotNull())
     return good.groupBy("paper_id", "section").agg(F.min("data").alias("data"))

@@ -38,12 +38,17 @@ def ingest(arrivals: DataFrame, work: Callable[[DataFrame], DataFrame], target:
     return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def _stored(spark: SparkSession, target: str) -> DataFrame | None:
     from pyspark.sql.utils import AnalysisException
 
     try:
         return spark.read.option("basePath", target).parquet(target)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in NOTHING_STORED:
+            raise
         return None
 
 

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.operators.search import search
+from citeloom.operators.search import search, searchable
 from citeloom.sources import checkpoints, feeds, files
 from citeloom.streaming import jobs
 
@@ -54,6 +54,13 @@ def test_search_refuses_unknown_labels(spark):
         search(t, spark.createDataFrame([(1, "x")], "query_id int, text string"), labels=["Metric"])
 
 
+def test_search_reads_abstracts_and_descriptions(spark):
+    nodes = spark.createDataFrame([("p", "Paper", None, "T", None, "about zebras", None), ("m", "Method", "M", None, None, None, "counts zebras")],
+                                  "node_id string, label string, name string, title string, text string, abstract string, description string")
+    found = search(searchable(nodes), spark.createDataFrame([(1, "zebras")], "query_id int, text string"))
+    assert {r.node_id for r in found.collect()} == {"p", "m"}
+
+
 def test_upload_statuses(spark):
     pdf = lambda b: bytearray(b"%PDF-" + b)
     rows = [(1, "a.pdf", pdf(b"1")), (1, "b.pdf", pdf(b"1")), (1, "c.txt", bytearray(b"no")), (1, "d.pdf", pdf(b"old"))]
