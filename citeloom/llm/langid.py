@@ -193,7 +193,8 @@ def kneser_ney(lang: np.ndarray, chars: np.ndarray, n: np.ndarray, languages: li
 
 def _scorer(models, order: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Models = models.value
+        languages, levels, uniform = models.value
+        model = Models(languages, [Level(*x) for x in levels], uniform)
         letters, width = Letters(), max(1, len(model.languages))
         index = {x: k for k, x in enumerate(model.languages)}
         for batch in batches:
@@ -268,7 +269,8 @@ def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, order: int =
         models = kneser_ney(counts["lang"].to_numpy().astype(np.int64), chars, counts["n"].to_numpy(), languages)
     else:
         models = Models([], [], 0.0)
-    sent = spark.sparkContext.broadcast(models)
+    # plain arrays, so that a worker needs no class to read them
+    sent = spark.sparkContext.broadcast((models.languages, [(x.keys, x.logs, x.contexts, x.weights) for x in models.levels], models.uniform))
     columns = ["doc_id", "held_out", "lang", "text"]
     if languages:
         tried = (texts.where(~F.col("learns")).select(*columns).mapInArrow(_scorer(sent, order), _SCORED)

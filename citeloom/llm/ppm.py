@@ -18,13 +18,15 @@ ORDER = 5  # bytes of context
 MARK = 0xFF  # no byte of UTF-8: stands before a text, and as one symbol behind it
 MODEL_GRAMS = 4_000_000  # of one broadcast model; a larger trie is split and the texts are read once per split
 COMMON = 1 << 16  # words of at least 1/COMMON of all tokens: there can be no more than COMMON of them
-GROUP_BYTES = 16_000_000
+GROUP_BYTES = 4_000_000
+HELD_COUNTS = 800_000  # partial counts of a task before they are summed
+SENT_ROWS = 50_000  # of a batch to Spark
 PARTS_PER_PARTITION = 4
 ROW_BITS = 36  # rows of one input task
 
 _COUNTS = "kind int, key long, n long"
 _SENT = "part int, blob binary, row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
-_SUMS = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
+_SUMMED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
 _GRAM, _WORD = 0, 1
 
 
@@ -60,11 +62,17 @@ def _counter(order: int):
             for piece in cut(*text_bytes(batch.column(0))):
                 found[_GRAM].append(np.unique(grams(piece, order)[0], return_counts=True))
                 found[_WORD].append(np.unique(words(piece, byte_tables(lower=True)).hashes, return_counts=True))
+                for kind, parts in found.items():
+                    if sum(len(k) for k, _ in parts) > HELD_COUNTS:
+                        found[kind] = [_reduced(parts)]
             for kind, parts in found.items():
                 if parts:
                     keys, n = _reduced(parts)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)],
-                                                     names=["kind", "key", "n"])
+                    parts.clear()
+                    for k in range(0, len(keys), SENT_ROWS):
+                        some = keys[k: k + SENT_ROWS].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(n[k: k + SENT_ROWS])],
+                                                         names=["kind", "key", "n"])
 
     return count
 
@@ -72,8 +80,11 @@ def _counter(order: int):
 class Slots:
     """Places of 64-bit keys, by open addressing over arrays."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, table: np.ndarray | None = None):
         self.keys = keys
+        if table is not None:
+            self.table, self.bits = table, len(table).bit_length() - 1
+            return
         self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
         self.table = np.full(1 << self.bits, -1, np.int32)
         left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
@@ -135,11 +146,26 @@ class Model:
             if j and len(k):
                 lower = self.levels[-1]
                 covered = np.add.reduceat(lower.count[lower.grams.find(k & np.uint64((1 << 8 * j) - 1))], first)
-            self.levels.append(Level(Slots(k), n, Slots(contexts), total, sizes, covered))
+            self.levels.append(Level(Slots(k), n.astype(np.int32) if n.max(initial=0) < 1 << 31 else n, Slots(contexts), total, sizes.astype(np.int16), covered))
+        self._ready()
+
+    def _ready(self) -> None:
         top = self.levels[-1]
         at = top.contexts.find(top.grams.keys >> np.uint64(8))
         self.direct = np.log10(top.count / (top.total[at] + top.distinct[at])) if len(at) else np.zeros(0)
 
+    def arrays(self) -> list[tuple[np.ndarray, ...]]:
+        """Plain arrays of all levels, for a broadcast."""
+        return [(x.grams.keys, x.grams.table, x.count, x.contexts.keys, x.contexts.table, x.total, x.distinct, x.covered) for x in self.levels]
+
+    @classmethod
+    def of_arrays(cls, arrays: list[tuple[np.ndarray, ...]]) -> Model:
+        out = cls.__new__(cls)
+        out.order = len(arrays) - 1
+        out.levels = [Level(Slots(a, b), c, Slots(d, e), f, g, h) for a, b, c, d, e, f, g, h in arrays]
+        out._ready()
+        return out
+
     def scores(self, packed: np.ndarray) -> np.ndarray:
         """log10 probability of every symbol after its context."""
         found = self.levels[-1].grams.find(packed)
@@ -222,7 +248,7 @@ def _scorer(model, common, parts: int, order: int, split: tuple[int, int]):
     lo, hi = split
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Model(*model.value)
+        trie = Model.of_arrays(model.value)
         keys, logs = common.value
         slots = Slots(keys)
         base = TaskContext.get().partitionId() << ROW_BITS
@@ -285,34 +311,87 @@ def _word_sums(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, np.bincount(at, np.where(value > 0, times, 0), len(rows)).astype(np.int64), np.bincount(at, times * np.log10(value + 1), len(rows))
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One part of the words after the other; sums of all parts of a task leave as one row per document."""
-    part, held, sums = None, [], []
+_NAMES = ["part", "blob", "row", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
 
-    def fold() -> list:
-        rows, at = np.unique(np.concatenate([s[0] for s in sums]), return_inverse=True)
-        known = np.bincount(at, np.concatenate([s[1] for s in sums]), len(rows)).astype(np.int64)
-        return [(rows, known, np.bincount(at, np.concatenate([s[2] for s in sums]), len(rows)))]
 
-    for batch in batches:
-        plain = batch.filter(batch.column(1).is_null())
-        if plain.num_rows:
-            yield pa.RecordBatch.from_arrays(plain.columns[2:], names=plain.schema.names[2:])
-        for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if p != part:
-                if held:
-                    sums.append(_word_sums(held))
-                part, held = p, []
-            if blob.is_valid:
-                held.append(blob.as_py())
-    if held:
-        sums.append(_word_sums(held))
-    if sums:
-        rows, known, base = fold()[0]
-        n = len(rows)
+def _added(sums: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows, at = np.unique(np.concatenate([s[0] for s in sums]), return_inverse=True)
+    known = np.bincount(at, np.concatenate([s[1] for s in sums]), len(rows)).astype(np.int64)
+    return rows, known, np.bincount(at, np.concatenate([s[2] for s in sums]), len(rows))
+
+
+def _gatherer(parts: int):
+    """Handles one part of the words after the other; the sums of a task go packed to the parts of their rows."""
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, sums = None, [], []
+        for batch in batches:
+            plain = batch.filter(batch.column(1).is_null())
+            if plain.num_rows:
+                yield pa.RecordBatch.from_arrays(plain.columns, names=_NAMES)
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if p != part:
+                    if held:
+                        sums.append(_word_sums(held))
+                    part, held = p, []
+                if blob.is_valid:
+                    held.append(blob.as_py())
+        if held:
+            sums.append(_word_sums(held))
+        if not sums:
+            return
+        rows, known, base = _added(sums)
+        to = (rows % parts).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(to[order])) + 1)
+        blobs = [pa.compress(rows[g].tobytes() + known[g].tobytes() + base[g].tobytes(), codec="zstd", asbytes=True) for g in groups]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(np.zeros(n, np.int64)), pa.array(known), pa.array(base), pa.array(np.zeros(n))],
-            names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score"])
+            [pa.array(to[[g[0] for g in groups]]), pa.array(blobs, pa.binary()), pa.array([len(g) for g in groups], pa.int64())]
+            + [pa.nulls(len(groups), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=_NAMES)
+
+    return gather
+
+
+def _finished(plain: list[pa.RecordBatch], blobs: list[tuple[bytes, int]]) -> pa.RecordBatch:
+    """The rows of one part with all their sums: several rows of a document come from several splits of the trie."""
+    table = pa.Table.from_batches(plain)
+    row = table["row"].to_numpy()
+    rows, at = np.unique(row, return_inverse=True)
+
+    def total(name: str) -> np.ndarray:
+        return np.bincount(at, table[name].to_numpy(), len(rows))
+
+    tokens, known, base, score = (total(c) for c in ("n_tokens", "known", "base", "score"))
+    named = np.flatnonzero(table["held_out"].is_valid().to_numpy())  # one of a document's rows
+    named = named[np.argsort(row[named], kind="stable")]
+    for blob, n in blobs:
+        raw = pa.decompress(blob, 24 * n, codec="zstd", asbytes=True)
+        place = np.searchsorted(rows, np.frombuffer(raw, np.int64, n))
+        known[place] += np.frombuffer(raw, np.int64, n, 8 * n)
+        base[place] += np.frombuffer(raw, np.float64, n, 16 * n)
+    take = pa.array(named)
+    return pa.RecordBatch.from_arrays(
+        [table["doc_id"].combine_chunks().take(take), table["held_out"].combine_chunks().take(take), pa.array(tokens.astype(np.int64)),
+         pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "known", "base", "score"])
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One part of the rows after the other."""
+    part, plain, blobs = None, [], []
+    for batch in batches:
+        column = batch.column(0).to_numpy()
+        for g in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(column)) + 1):
+            if len(g) == 0:
+                continue
+            if int(column[g[0]]) != part:
+                if plain:
+                    yield _finished(plain, blobs)
+                part, plain, blobs = int(column[g[0]]), [], []
+            some = batch.slice(int(g[0]), len(g))
+            packed = some.filter(some.column(1).is_valid())
+            blobs += list(zip(packed.column(1).to_pylist(), packed.column(2).to_pylist(), strict=True))
+            plain.append(some.filter(some.column(1).is_null()))
+    if plain:
+        yield _finished(plain, blobs)
 
 
 def _splits(per_byte: dict[int, int], limit: int) -> list[tuple[int, int]]:
@@ -342,7 +421,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, modulus: int = 7, remai
     one split costs another reading each, and adds up to the same score. Words of at
     least one 65536th of all tokens, of which there are at most 65536, are broadcast
     with their counts; all other words travel to the part of their hash, where
-    their counts are summed and come back as one sum per document and task. Words
+    their counts are summed and go back to the part of their document, packed. Words
     are told apart by 64-bit hashes.
     """
     held = held_out(F.col("doc_id"), modulus, remainder)
@@ -364,14 +443,17 @@ def score_documents(docs: DataFrame, order: int = ORDER, modulus: int = 7, remai
     per_byte = {r["b"]: r["n"] for r in trie.groupBy(last.alias("b")).agg(F.count("*").alias("n")).collect()}
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts, sent = PARTS_PER_PARTITION * partitions, None
-    for lo, hi in _splits(per_byte, model_grams):
+    splits = _splits(per_byte, model_grams)
+    if len(splits) > 1:  # rows are numbered by their place in the input, so all readings must be of one stored table
+        table = written(table, "texts")
+    for lo, hi in splits:
         got = trie.where((last >= lo) & (last < hi)).select("key", "n").orderBy("key").toArrow()
-        model = spark.sparkContext.broadcast((got["key"].to_numpy().view(np.uint64), got["n"].to_numpy(), order, symbols))
+        model = spark.sparkContext.broadcast(Model(got["key"].to_numpy().view(np.uint64), got["n"].to_numpy(), order, symbols).arrays())
         one = table.mapInArrow(_scorer(model, words_sent, parts, order, (lo, hi)), _SENT)
+        one = written(one, "split-scores") if len(splits) > 1 else one
         sent = one if sent is None else sent.unionByName(one)
-    sums = sent.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_gather, _SUMS)
-    whole = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-                                    F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+    sums = sent.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_gatherer(parts), _SENT)
+    whole = sums.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_finish, _SUMMED)
     end = float(np.log10(ends + 1))
     share = float(np.log10(tokens + distinct + 1))
     return whole.select("doc_id", "held_out", "n_tokens", (F.col("known") + int(bool(ends))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 # Separators of words: space and the control characters from tab to carriage return.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
