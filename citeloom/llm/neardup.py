@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sets: DataFrame
     return written(both.mapInArrow(_linker(percent), "a long, b long").distinct(), "links")
 
 
-def crossing_pairs(placed: DataFrame, sets: DataFrame, percent: int, rare: int = RARE) -> DataFrame:
+def crossing_pairs(placed: DataFrame, sets: DataFrame, reps: DataFrame, percent: int, rare: int = RARE) -> DataFrame:
     """Pairs (a, b) of different components that may still be linked, from buckets that hold several.
 
     ``placed``: (key, id, leader, component). Two linked sets x and y overlap in at
@@ -212,7 +212,8 @@ def crossing_pairs(placed: DataFrame, sets: DataFrame, percent: int, rare: int =
     shingle that few texts hold: such pairs come from a join on rare shingles, at
     most ``rare`` partners each. Or all they share is common: then both must have
     enough common shingles, which most texts of a large group of edited copies do
-    not, so that group's pairs are never made. The bounds are exact.
+    not, so that group's pairs are never made. The bounds are exact. Of the buckets
+    that a pair shares, only the first makes it.
     """
     members = written(placed.select("id", "component").distinct().join(sets.select("id", "d1", "n", "shingles"), "id"), "mixed-members")
     held = members.select("id", "d1", "n", "component", F.explode("shingles").alias("shingle"))
@@ -231,10 +232,11 @@ def crossing_pairs(placed: DataFrame, sets: DataFrame, percent: int, rare: int =
     able = placed.join(sized.groupBy("id").agg(F.min("n").alias("n"), F.max("common").alias("common")), "id")
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
-    able = able.where(f"100 * common >= {percent} * n and id != leader")
+    able = able.where(f"100 * common >= {percent} * n and id != leader").join(reps.select("id", "bands"), "id")
     minor = able.join(main, "key").where("component != main")
     counted = (minor.alias("x").join(able.alias("y"), F.expr(
-        f"x.key = y.key and x.component != y.component and (y.component = x.main or x.id < y.id) and {reach('common')}"))
+        f"x.key = y.key and x.component != y.component and (y.component = x.main or x.id < y.id) and {reach('common')} "
+        "and x.key = get(filter(zip_with(x.bands, y.bands, (p, q) -> if(p = q, p, null)), v -> v is not null), 0)"))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
     return written(looked_up.unionByName(counted).distinct(), "crossing-pairs")
 
@@ -275,7 +277,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS,
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     placed = written(placed.join(mixed, "key"), "mixed-buckets")
     sets = shingle_table(docs, placed.select("id").distinct(), width)
-    crossing = crossing_pairs(placed, sets, percent)
+    crossing = crossing_pairs(placed, sets, reps, percent)
     if not crossing.isEmpty():
         links = links.unionByName(verified(crossing, reps, docs, sets, *options))
         found = components(links)
