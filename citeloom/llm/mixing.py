@@ -7,6 +7,8 @@ DataFrame and SQL functions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from citeloom.runtime import written
 # Documented bounds of the classifier. Everything else covers all rows.
 SAMPLE_PER_DOMAIN = 2000  # labelled documents it is fitted on
 FEATURES = 4096  # words it weighs; the table is broadcast
-LEAST_GAIN = 15.0  # likelihood-ratio statistic a word needs
+LEAST_GAIN = 30.0  # likelihood-ratio statistic a word needs
+LEAST_ODDS = 2.0  # log odds by which it must prefer one domain to every other
 SMOOTHING = 0.5
 SOFTEN = 0.25  # the evidence of n words is divided by n to this power
 
@@ -38,13 +41,19 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
 
 
+def _family(words: Column) -> Column:
+    """The lowest hash of three words in a row: mostly the same for copies with few edits."""
+    threes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, 3)))
+    return F.array_min(threes)
+
+
 def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], sample: int = SAMPLE_PER_DOMAIN,
                    features: int = FEATURES, least_gain: float = LEAST_GAIN) -> DataFrame:
     """Naive Bayes weights: one row (word, w_0, w_1, ...) per chosen word, and one for the word ''.
 
     Fitted on at most ``sample`` labelled documents of each domain, chosen by a hash
-    of the id. The words with the highest likelihood-ratio statistic are kept, at
-    most ``features``. The row '' holds the logarithms of the domain shares among
+    of the id; copies of a document count as one. The words with the highest
+    likelihood-ratio statistic are kept, at most ``features``. The row '' holds the logarithms of the domain shares among
     all labelled rows; without labels all domains are alike.
     """
     count = [F.count(F.when(F.col("domain") == d, 1)) for d in domains]
@@ -55,18 +64,23 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...
         chosen = some if chosen is None else chosen.unionByName(some)
     # At most domains * sample ids: a bounded table.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    words = texts.select("domain", F.explode(_words(F.col("text"))).alias("word"))
+    texts = texts.select("domain", _words(F.col("text")).alias("words")).select("domain", "words", _family(F.col("words")).alias("family"))
+    # once per family: what one long document or many copies of it repeat says little about others
+    words = texts.select("domain", "family", F.explode("words").alias("word")).distinct()
     counts = written(words.groupBy("word").agg(*[c.alias(f"c_{k}") for k, c in enumerate(count)]), "word-counts")
     every = range(len(domains))
-    totals = counts.agg(*[F.coalesce(F.sum(f"c_{k}"), F.lit(0)).alias(f"t_{k}") for k in every])
-    both = counts.join(F.broadcast(totals))
+    read = texts.select("domain", "family").distinct().agg(*[c.alias(f"t_{k}") for k, c in enumerate(count)])
+    both = counts.join(F.broadcast(read))
     seen, whole = sum(F.col(f"c_{k}") for k in every), sum(F.col(f"t_{k}") for k in every)
-    gain = 2 * sum(F.when(F.col(f"c_{k}") > 0, F.col(f"c_{k}") * F.log(F.col(f"c_{k}") * whole / (seen * F.col(f"t_{k}")))).otherwise(0.0) for k in every)
-    best = (both.withColumn("gain", gain).where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "word").limit(features)
-            .select("word", *[f"c_{k}" for k in every]))
-    best = written(best, "words-chosen")
-    sums = best.agg(*[(F.coalesce(F.sum(f"c_{k}"), F.lit(0)) + SMOOTHING * (1 + F.count("*"))).alias(f"s_{k}") for k in every])
-    weights = best.join(F.broadcast(sums)).select("word", *[F.log((F.col(f"c_{k}") + SMOOTHING) / F.col(f"s_{k}")).alias(f"w_{k}") for k in every])
+
+    def surprise(held: Column, of: Column, all_held: Column) -> Column:
+        return F.when(held > 0, held * F.log(held * whole / (all_held * of))).otherwise(0.0)
+
+    gain = 2 * sum(surprise(F.col(f"c_{k}"), F.col(f"t_{k}"), seen) + surprise(F.col(f"t_{k}") - F.col(f"c_{k}"), F.col(f"t_{k}"), whole - seen) for k in every)
+    odds = [F.log((F.col(f"c_{k}") + SMOOTHING) / (F.col(f"t_{k}") + 2 * SMOOTHING)) for k in every]
+    clear = F.greatest(*odds) - F.sort_array(F.array(*odds), asc=False)[1] >= LEAST_ODDS
+    best = (both.withColumn("gain", gain).where((F.col("gain") >= least_gain) & clear).orderBy(F.desc("gain"), "word").limit(features))
+    weights = best.select("word", *[o.alias(f"w_{k}") for k, o in enumerate(odds)])
     n = sum(F.col(f"n_{k}") for k in every)
     prior = shares.select(F.lit("").alias("word"), *[F.log((F.col(f"n_{k}") + 1) / (n + len(domains))).alias(f"w_{k}") for k in every])
     return written(weights.unionByName(prior), "weights")
@@ -82,7 +96,7 @@ def memberships(docs: DataFrame, weights: DataFrame, domains: tuple[str, ...]) -
     """
     every = range(len(domains))
     split = docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), _words(F.col("text")).alias("words"))
-    hits = (split.select(*ROWS, F.size("words").alias("tokens"), F.explode(F.concat(F.array(F.lit("")), F.col("words"))).alias("word"))
+    hits = (split.select(*ROWS, F.size("words").alias("tokens"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("word"))
             .join(F.broadcast(weights), "word"))
     base = F.col("word") == ""
     sums = hits.groupBy(*ROWS, "tokens").agg(
@@ -136,10 +150,15 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: dict[str, f
 
 
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float | None], steps: int = 40) -> DataFrame:
-    """Memberships and fitted rates of all documents. Empty tables give empty results."""
+    """Memberships and fitted rates of all documents; ``plain_k`` are the shares of the domains among labels.
+
+    Empty tables give empty results.
+    """
     domains = tuple(targets)
     weights = fit_classifier(docs, label_domains(labels), domains)
-    return fit_rates(written(memberships(docs, weights, domains), "memberships"), domains, targets, steps)
+    shares = [math.exp(w) for w in weights.where("word = ''").drop("word").first()]
+    fitted = fit_rates(written(memberships(docs, weights, domains), "memberships"), domains, targets, steps)
+    return fitted.withColumns({f"plain_{k}": F.lit(s) for k, s in enumerate(shares)})
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float | None]) -> DataFrame:
@@ -150,7 +169,14 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float |
 
 
 def keep_mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float | None], least_rate: float = 0.5) -> DataFrame:
-    """The documents whose rate rounds to one or more; others go. Columns stay as they are."""
-    gone = mixture(docs, labels, targets).where(F.col("rate") < least_rate).select(*[F.col(c).alias(f"_gone{c}") for c in ROWS])
+    """The documents without those whose rate is below ``least_rate`` because of their words; columns stay.
+
+    A document goes only if it is more likely in the domains that have a target
+    than documents are on the whole: one without evidence, such as a null text,
+    stays.
+    """
+    aimed = [k for k, d in enumerate(targets) if targets[d] is not None]
+    evident = sum((F.col(f"p_{k}") for k in aimed), F.lit(0.0)) > sum((F.col(f"plain_{k}") for k in aimed), F.lit(1e-6))
+    gone = mixture(docs, labels, targets).where((F.col("rate") < least_rate) & evident).select(*[F.col(c).alias(f"_gone{c}") for c in ROWS])
     hashed = docs.withColumn("_mix_hash", F.xxhash64("text"))
     return hashed.join(gone, hashed["doc_id"].eqNullSafe(gone["_gonedoc_id"]) & (hashed["_mix_hash"] == gone["_gone_text_hash"]), "left_anti").drop("_mix_hash")
