@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import citeloom
 from citeloom.llm import langid, mixing, neardup, sharding, tiling
 from citeloom.runtime import written
 
+# Helpers travel to the Python workers by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(citeloom)
+
 SHARDS = 40
 # What each domain should keep of its tokens: None is all, toxic text gets none.
 TARGETS = {"good": None, "low": None, "toxic": 0.0}
