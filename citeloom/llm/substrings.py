@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.bloom import bloom, may_hold
 from citeloom.llm.words import Piece, byte_tables, cut, text_bytes, window_hashes, window_starts, words
+from citeloom.runtime import written
 
 WIDTH = 13  # words of a window
 MINIMISER = 3  # words of a minimiser
@@ -210,10 +212,24 @@ def finder(width: int):
     return find
 
 
-def _remove(width: int):
+def _only_held(held: np.ndarray):
+    """Rows whose key, in the last column, the filter may hold."""
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(held, batch.column(batch.num_columns - 1).to_numpy())))
+
+    return only
+
+
+def _remove(width: int, without: np.ndarray | None = None):
+    """Takes spans out of texts: rows (doc_id, text, spans), or (doc_id, text, key) of which a filter holds none."""
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(2).to_pylist()
+            if without is None:
+                spans = batch.column(2).to_pylist()
+            else:
+                batch = batch.filter(pa.array(~may_hold(without, batch.column(2).to_numpy())))
+                spans = [None] * batch.num_rows
             n_words, n_removed, kept = [], [], []
             for text, cover in zip(batch.column(1), spans, strict=True):
                 found = (text.as_py() or b"").split()
@@ -257,14 +273,22 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, minimiser: int = MINIMIS
     Null and empty texts have no words; fewer than ``width`` words make no window.
     Rows of one doc_id do not remove each other's words, and a row without id counts
     as later than every other.
+
+    Texts are joined with their spans; a filter of fixed size lets most texts
+    without any pass by that shuffle.
     """
     marks = (repeats(docs, width, minimiser).groupBy("doc_id", "text_hash")
              .agg(F.collect_list(F.struct("span_start", "span_words")).alias("spans"))
              .withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}))
+    marks = written(marks, "marks")
+    key = F.xxhash64("_id", "_hash").alias("key")
+    held = bloom(marks.select(key), "key")
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("_id"),
                         _text_hash().alias("_hash"), F.col("text").cast("binary").alias("text"))
-    return (keyed.join(marks, ["_id", "_hash"], "left").select("doc_id", "text", "spans")
-            .mapInArrow(_remove(width), "doc_id long, n_words long, n_removed long, kept binary"))
+    kept = "doc_id long, n_words long, n_removed long, kept binary"
+    touched = keyed.select("*", key).mapInArrow(_only_held(held), "doc_id long, _id long, _hash long, text binary, key long")
+    joined = touched.join(marks, ["_id", "_hash"], "left").select("doc_id", "text", "spans").mapInArrow(_remove(width), kept)
+    return joined.unionByName(keyed.select("doc_id", "text", key).mapInArrow(_remove(width, held), kept))
 
 
 def digests(kept: DataFrame) -> DataFrame:
