@@ -48,7 +48,7 @@ def main() -> None:
     asked = retrieval.questions(spark, SF_DIR)
 
     def answer_batch():
-        found = retrieve(corpus, asked)
+        found = retrieve(corpus, asked, row_limit=retrieval.ROWS, max_nodes=retrieval.NODES)
         found.ranked.write.format("noop").mode("overwrite").save()
         return found
 
