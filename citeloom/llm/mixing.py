@@ -22,6 +22,8 @@ LEAST_ODDS = 2.0  # log odds by which it must prefer one domain to every other
 SMOOTHING = 0.5
 SOFTEN = 0.25  # the evidence of n words is divided by n to this power
 
+# Runs of ASCII punctuation, and what lies between them and white space.
+PARTS = "[!-/:-@\\[-`{-~]+|[^ \\t-\\r!-/:-@\\[-`{-~]+"
 ROWS = ["doc_id", "_text_hash"]
 STEPS_PER_TABLE = 8
 
@@ -41,6 +43,11 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
 
 
+def _features(words: Column) -> Column:
+    """The different words without ASCII punctuation, and each run of punctuation as a word of its own."""
+    return F.array_distinct(F.regexp_extract_all(F.array_join(F.array_distinct(words), " "), F.lit(PARTS), F.lit(0)))
+
+
 def _family(words: Column) -> Column:
     """The lowest hash of three words in a row: mostly the same for copies with few edits."""
     threes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, 3)))
@@ -53,7 +60,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...
 
     Fitted on at most ``sample`` labelled documents of each domain, chosen by a hash
     of the id; copies of a document count as one. The words with the highest
-    likelihood-ratio statistic are kept, at most ``features``. The row '' holds the logarithms of the domain shares among
+    likelihood-ratio statistic are kept, at most ``features``; punctuation is split
+    off words and weighed for itself. The row '' holds the logarithms of the domain shares among
     all labelled rows; without labels all domains are alike.
     """
     count = [F.count(F.when(F.col("domain") == d, 1)) for d in domains]
@@ -66,7 +74,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     texts = texts.select("domain", _words(F.col("text")).alias("words")).select("domain", "words", _family(F.col("words")).alias("family"))
     # once per family: what one long document or many copies of it repeat says little about others
-    words = texts.select("domain", "family", F.explode("words").alias("word")).distinct()
+    words = texts.select("domain", "family", F.explode(_features(F.col("words"))).alias("word")).distinct()
     counts = written(words.groupBy("word").agg(*[c.alias(f"c_{k}") for k, c in enumerate(count)]), "word-counts")
     every = range(len(domains))
     read = texts.select("domain", "family").distinct().agg(*[c.alias(f"t_{k}") for k, c in enumerate(count)])
@@ -96,7 +104,7 @@ def memberships(docs: DataFrame, weights: DataFrame, domains: tuple[str, ...]) -
     """
     every = range(len(domains))
     split = docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), _words(F.col("text")).alias("words"))
-    hits = (split.select(*ROWS, F.size("words").alias("tokens"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("word"))
+    hits = (split.select(*ROWS, F.size("words").alias("tokens"), F.explode(F.concat(F.array(F.lit("")), _features(F.col("words")))).alias("word"))
             .join(F.broadcast(weights), "word"))
     base = F.col("word") == ""
     sums = hits.groupBy(*ROWS, "tokens").agg(

@@ -62,6 +62,16 @@ def test_toxic_documents_go_and_others_stay(spark, docs):
     assert sorted(map(str, ids)) == sorted(map(str, [*(i for i, k in truth.items() if k != "toxic"), 900, 901, 902, None, 903, 903]))
 
 
+def test_toxic_words_count_with_punctuation_around_them(spark, docs):
+    extra = [(910, "vile### the&&& slur$$$ of%%% hate,"), (911, "(vile) of### slur!! the### hate###"), (912, "the### of### w1### w2###"), (913, '"vile|slur|hate"')]
+    d, labels, truth = tables(spark, docs, extra)
+    rows = {r["doc_id"]: r for r in mix_documents(d, labels, TARGETS).collect()}
+    assert all(rows[i]["p_toxic"] > 0.5 and rows[i]["rate"] < 0.5 for i in (910, 911, 913)) and rows[912]["p_low"] > 0.5
+    assert [rows[i]["tokens"] for i in (910, 911, 912, 913)] == [5, 5, 4, 1]
+    kept = {r["doc_id"] for r in keep_mixed(d, labels, {"good": None, "low": None, "toxic": 0.0}).collect()}
+    assert kept == {*(i for i, k in truth.items() if k != "toxic"), 912}
+
+
 def test_empty(spark, docs):
     none = spark.createDataFrame([], LABELS)
     assert mix_documents(docs([]), none, TARGETS).collect() == []
