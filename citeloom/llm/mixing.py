@@ -1,14 +1,16 @@
 """Mixing documents to target token totals by domain, with soft memberships.
 
 A classifier fitted on labelled rows gives every document a posterior over the
-domains; projected gradient steps then fit a rate per document. All of it is
-DataFrame and SQL functions.
+domains; Newton steps on one number per domain then fit a rate per document. All of it is DataFrame and SQL functions.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,13 @@ LEAST_ODDS = 2.0  # log odds by which it must prefer one domain to every other
 SMOOTHING = 0.5
 SOFTEN = 0.25  # the evidence of n words is divided by n to this power
 
-# Runs of ASCII punctuation, and what lies between them and white space.
-PARTS = "[!-/:-@\\[-`{-~]+|[^ \\t-\\r!-/:-@\\[-`{-~]+"
+# White space, and the borders between ASCII punctuation and what is none.
+BORDERS = "[ \\t-\\r]+|(?<=[!-/:-@\\[-`{-~])(?=[^ \\t-\\r!-/:-@\\[-`{-~])|(?<=[^ \\t-\\r!-/:-@\\[-`{-~])(?=[!-/:-@\\[-`{-~])"
 ROWS = ["doc_id", "_text_hash"]
 STEPS_PER_TABLE = 8
+PULLS = (1.0, 1e-2, 1e-4, 1e-6)  # weights of staying near the rates given
+CLOSE = 1e-6  # of all tokens, to which Newton's steps are carried
+PASSES = 200  # over the rates; more is an error
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -45,7 +50,7 @@ def _words(text: Column) -> Column:
 
 def _features(words: Column) -> Column:
     """The different words without ASCII punctuation, and each run of punctuation as a word of its own."""
-    return F.array_distinct(F.regexp_extract_all(F.array_join(F.array_distinct(words), " "), F.lit(PARTS), F.lit(0)))
+    return F.array_remove(F.array_distinct(F.split(F.array_join(F.array_distinct(words), " "), BORDERS)), "")
 
 
 def _family(words: Column) -> Column:
@@ -119,17 +124,21 @@ def memberships(docs: DataFrame, weights: DataFrame, domains: tuple[str, ...]) -
     return scored.select(*ROWS, "tokens", "copies", *[F.round(m / sum(mass), 9).alias(f"p_{k}") for k, m in enumerate(mass)])
 
 
-def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: dict[str, float | None], steps: int = 40,
+def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: dict[str, float | None], steps: int | None = None,
               tolerance: float = 1e-3) -> DataFrame:
     """Adds ``rate``: nonnegative factors for which the expected tokens of each domain come near their target.
 
     ``targets`` gives shares of all tokens (normalised to one); None keeps what a
     domain has. Minimises the squared misses, each relative to the domain's tokens,
-    by gradient steps in the metric of document length, projected on rates of at
-    least zero. In that metric a unit step never overshoots: the step's matrix is
-    row-stochastic. A step needs one sum per domain; a document's rate is a closed
-    expression of those sums, so rates are written only every few steps. Stops when
-    every miss is below ``tolerance`` of all tokens, or after ``steps``.
+    until every miss is below ``tolerance`` of all tokens or no rates do better.
+    Misses that stay are told in a warning.
+
+    ``steps`` asks for at most so many plain gradient steps instead, in the metric
+    of document length, projected on rates of at least zero. In that metric a unit
+    step never overshoots: the step's matrix is row-stochastic. A step needs one sum
+    per domain; a document's rate is a closed expression of those sums, so rates are
+    written only every few steps. Where most posteriors are alike they come near the
+    least misses very slowly.
     """
     every = range(len(domains))
     weight = F.col("copies") * F.col("tokens")
@@ -144,20 +153,87 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: dict[str, f
     given = sum(v for v in targets.values() if v is not None)
     kept = sum(s for d, s in zip(domains, start, strict=True) if targets.get(d) is None)
     goal = [s if targets.get(d) is None else (total - kept) * targets[d] / given if given else 0.0 for d, s in zip(domains, start, strict=True)]
+
+    def met(now: list[float]) -> bool:
+        return all(abs(a - g) <= tolerance * total for a, g in zip(now, goal, strict=True))
+
     rate, now = F.col("rate"), start
-    for step in range(1, steps + 1):
-        misses = [a - g for a, g in zip(now, goal, strict=True)]
-        if all(abs(m) <= tolerance * total for m in misses):
+    for step in range(1, (steps or 0) + 1):
+        if met(now):
             break
-        slope = [m / s if s > 0 else 0.0 for m, s in zip(misses, start, strict=True)]
+        slope = [(a - g) / s if s > 0 else 0.0 for a, g, s in zip(now, goal, start, strict=True)]
         rate = F.greatest(F.lit(0.0), rate - sum(F.col(f"p_{k}") * F.lit(slope[k]) for k in every))
         if step % STEPS_PER_TABLE == 0:
             table, rate = written(table.withColumn("rate", rate), "rates"), F.col("rate")
         now = held(table, rate)
+    if steps is None and not met(now):
+        rate, now = _solve(table, start, goal, met)
+    if not met(now):
+        warnings.warn("targets not met; shares of all tokens, reached (target): " + ", ".join(
+            f"{d} {a / total:.4f} ({g / total:.4f})" for d, a, g in zip(domains, now, goal, strict=True)), stacklevel=2)
     return table.withColumn("rate", F.round(rate, 6))
 
 
-def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float | None], steps: int = 40) -> DataFrame:
+def _solve(table: DataFrame, start: list[float], goal: list[float], met: Callable[[list[float]], bool]) -> tuple[Column, list[float]]:
+    """The rates of least misses, near those of the table, and the tokens they hold by domain.
+
+    Least misses plus ``pull`` times half the squared change of rates, in the metric
+    of document length, has rates max(0, rate - sum of p_k * y_k) with one number y_k
+    per domain. Newton steps find the numbers, each from sums over the table; the
+    pull falls until the targets are met or it no longer matters: the projected
+    gradient is then ``pull`` times the change of a rate. Raises where Newton's steps
+    do not end.
+    """
+    some = [k for k, s in enumerate(start) if s > 0]
+    size, aim = np.array([start[k] for k in some]), np.array([goal[k] for k in some])
+    weight = F.col("copies") * F.col("tokens")
+    pairs = [(i, j) for i in range(len(some)) for j in range(i, len(some))]
+    left = PASSES
+
+    def rates(y: np.ndarray) -> Column:
+        return F.col("rate") - sum(F.col(f"p_{k}") * F.lit(float(v)) for k, v in zip(some, y, strict=True))
+
+    def sums(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal left
+        if left == 0:
+            raise RuntimeError(f"rates not found in {PASSES} passes")
+        left -= 1
+        p = [F.col(f"p_{k}") for k in some]
+        row = table.withColumn("_rate", rates(y)).where("_rate > 0").agg(
+            *[F.coalesce(F.sum(weight * x * F.col("_rate")), F.lit(0.0)) for x in p], *[F.coalesce(F.sum(weight * p[i] * p[j]), F.lit(0.0)) for i, j in pairs]).first()
+        curve = np.zeros((len(some), len(some)))
+        for (i, j), v in zip(pairs, row[len(some):], strict=True):
+            curve[i, j] = curve[j, i] = v
+        return np.array(row[: len(some)], float), curve
+
+    def by_domain(now: np.ndarray) -> list[float]:
+        out = [0.0] * len(start)
+        for k, v in zip(some, now.tolist(), strict=True):
+            out[k] = v
+        return out
+
+    y = np.zeros(len(some))
+    now, curve = sums(y)
+    for pull in PULLS:
+        while True:
+            slope = pull * size * y - now + aim
+            if np.abs(slope).max() <= CLOSE * size.sum():
+                break
+            step, part = -np.linalg.solve(curve + pull * np.diag(size), slope), 1.0
+            while True:
+                at = y + part * step
+                then, curve_then = sums(at)
+                # the function is convex: past its lowest point along the step it rises
+                if (pull * size * at - then + aim) @ step <= -0.1 * (slope @ step):
+                    break
+                part /= 2
+            y, now, curve = at, then, curve_then
+        if met(by_domain(now)):
+            break
+    return F.greatest(F.lit(0.0), rates(y)), by_domain(now)
+
+
+def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float | None], steps: int | None = None) -> DataFrame:
     """Memberships and fitted rates of all documents; ``plain_k`` are the shares of the domains among labels.
 
     Empty tables give empty results.

@@ -1,5 +1,7 @@
 import random
+import warnings
 
+import pytest
 from pyspark.sql import functions as F
 
 from citeloom.llm.mixing import fit_rates, keep_mixed, mix_documents
@@ -53,6 +55,42 @@ def test_rates_equal_plain_projected_gradient(spark):
     assert all(abs(got[i] - x) < 1e-5 for i, x in enumerate(rates))
 
 
+def posteriors(spark, kinds, n=400):
+    """Members of the given (share, posterior) kinds."""
+    rows = []
+    for share, p in kinds:
+        rows += [(len(rows) + i, 0, 50, 1, *p) for i in range(round(share * n))]
+    return spark.createDataFrame(rows, "doc_id long, _text_hash long, tokens int, copies long, p_0 double, p_1 double, p_2 double")
+
+
+def shares(fitted):
+    held = fitted.agg(*[F.sum(F.col("tokens") * F.col("copies") * F.col("rate") * F.col(f"p_{k}")) for k in range(3)], F.sum(F.col("tokens") * F.col("copies"))).first()
+    return [x / held[3] for x in held[:3]]
+
+
+def test_targets_are_met_where_most_documents_hold_no_evidence(spark):
+    kinds = [(0.8, (0.76, 0.13, 0.11)), (0.1, (0.9, 0.1, 0.0)), (0.05, (0.01, 0.99, 0.0)), (0.05, (0.01, 0.04, 0.95))]
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        fitted = fit_rates(posteriors(spark, kinds), ("good", "low", "toxic"), {"good": 0.85, "low": 0.15, "toxic": 0.0}).cache()
+    assert all(abs(a - g) < 1.1e-3 for a, g in zip(shares(fitted), (0.85, 0.15, 0.0), strict=True))
+    assert fitted.agg(F.min("rate")).first()[0] >= 0
+
+
+def test_misses_that_stay_are_least_and_told(spark):
+    kinds = [(0.8, (0.76, 0.13, 0.11)), (0.1, (0.3, 0.68, 0.02)), (0.1, (0.1, 0.1, 0.8))]
+    targets = {"good": 0.9, "low": 0.1, "toxic": 0.0}
+    with pytest.warns(UserWarning, match="targets not met"):
+        got = shares(fit_rates(posteriors(spark, kinds), tuple(targets), targets))
+    start = [sum(a * p[k] for a, p in kinds) for k in range(3)]
+    rates = [1.0] * 3
+    for _ in range(100_000):
+        slope = [(sum(a * p[k] * r for (a, p), r in zip(kinds, rates, strict=True)) - g) / start[k] for k, g in enumerate(targets.values())]
+        rates = [max(0.0, r - sum(p[k] * slope[k] for k in range(3))) for (_, p), r in zip(kinds, rates, strict=True)]
+    want = [sum(a * p[k] * r for (a, p), r in zip(kinds, rates, strict=True)) for k in range(3)]
+    assert all(abs(a - b) < 1e-4 for a, b in zip(got, want, strict=True))
+
+
 def test_toxic_documents_go_and_others_stay(spark, docs):
     extra = [(900, None), (901, ""), (902, "plain " * 20_000), (None, "plain prose tells"), (903, "plain prose"), (903, "plain prose"), (904, "vile slur hate vile")]
     d, labels, truth = tables(spark, docs, extra)
