@@ -18,13 +18,14 @@ ORDER = 5  # characters of a gram
 SAMPLE_PER_LANGUAGE = 1000  # documents a model is made from
 CALIBRATION_PER_LANGUAGE = 500  # further ones that set the limit for rejection
 MARGIN = 1.5  # of the highest excess seen in calibration
+LEAST_EXCESS = 5.0  # bits times root of characters granted at least: few calibration texts differ little
 LENGTH_CAP = 400  # characters beyond which a longer text does not tighten the limit
 UNKNOWN = "und"
 PIECE_VALUES = 8_000_000  # characters times languages that are scored at once
 
 _MULTIPLIERS = mix(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
 _GRAMS = "lang int, high long, low long, n long"
-_SCORED = "doc_id long, held_out boolean, lang string, n_letters long, best int, score double, entropy double, own double, others double"
+_SCORED = "doc_id long, held_out boolean, lang string, n_letters long, best int, score double, entropy double, own double"
 
 
 class Letters:
@@ -212,16 +213,15 @@ def _scorer(models, order: int):
                     lowest = bits[np.arange(len(best)), best]
                     share = 1 / np.exp2(lowest[:, None] - bits).sum(axis=1)
                     own = np.array([bits[i, index[x]] if x in index else np.nan for i, x in enumerate(part.column(2).to_pylist())], float)
-                    others = (bits.sum(axis=1) - own) / max(1, width - 1)
                 else:
                     best = np.zeros(len(counts), int)
-                    lowest, share, own, others = np.zeros((4, len(counts)))
+                    lowest, share, own = np.zeros((3, len(counts)))
                 nothing = (counts == 0) | (not model.languages)
                 best, share = np.where(nothing, -1, best), np.where(nothing, 0.0, np.round(share, 6))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2), pa.array(counts), pa.array(best.astype(np.int32)), pa.array(share),
-                     pa.array(np.round(lowest, 6)), pa.array(own), pa.array(others)],
-                    names=["doc_id", "held_out", "lang", "n_letters", "best", "score", "entropy", "own", "others"])
+                     pa.array(np.round(lowest, 6)), pa.array(own)],
+                    names=["doc_id", "held_out", "lang", "n_letters", "best", "score", "entropy", "own"])
 
     return score
 
@@ -246,8 +246,7 @@ def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, order: int =
     of rejection. The language with the lowest bits per character wins, ties to the
     first by name. ``score`` is its share of 2**-bits over all languages.
     ``rejected``: no letters, or more bits than calibration texts of that language
-    ever needed (with a margin, by text length) and more than texts need on average
-    under models of other languages. Null texts and texts without
+    ever needed (with a margin, by text length). Null texts and texts without
     letters are ``und`` with score 0; without labels all are. Rows without id are
     predicted and never learned from.
     """
@@ -274,21 +273,20 @@ def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, order: int =
     columns = ["doc_id", "held_out", "lang", "text"]
     if languages:
         tried = (texts.where(~F.col("learns")).select(*columns).mapInArrow(_scorer(sent, order), _SCORED)
-                 .where("n_letters > 0").select("lang", "n_letters", "own", "others").toArrow())
+                 .where("n_letters > 0").select("lang", "n_letters", "own").toArrow())
         lang, letters, own = tried["lang"].to_numpy(zero_copy_only=False), tried["n_letters"].to_numpy(), tried["own"].to_numpy()
-        foreign = float(np.average(tried["others"].to_numpy(), weights=letters)) if len(letters) and len(languages) > 1 else 0.0
         for k, x in enumerate(languages):
             mine = lang == x
             if mine.any():
                 size = np.minimum(letters[mine], LENGTH_CAP)
                 middle = float(np.average(own[mine], weights=size))
-                limits.append((k, middle, margin * max(0.0, float(((own[mine] - middle) * np.sqrt(size)).max()))))
+                limits.append((k, middle, margin * max(LEAST_EXCESS, float(((own[mine] - middle) * np.sqrt(size)).max()))))
     scored = table.select(*columns).mapInArrow(_scorer(sent, order), _SCORED)
     names = F.array(*[F.lit(x) for x in languages]) if languages else F.array(F.lit(UNKNOWN))
     limit = F.lit(float("inf"))
     for k, middle, excess in limits:
         near = middle + excess / F.sqrt(F.least("n_letters", F.lit(LENGTH_CAP)))
-        limit = F.when(F.col("best") == k, F.greatest(near, F.lit(foreign))).otherwise(limit)
+        limit = F.when(F.col("best") == k, near).otherwise(limit)
     return scored.select("doc_id", "held_out", F.when(F.col("best") < 0, UNKNOWN).otherwise(F.get(names, F.col("best"))).alias("lang_pred"),
                          "score", "entropy", ((F.col("best") < 0) | (F.col("entropy") > limit)).alias("rejected"))
 

@@ -71,6 +71,15 @@ def test_languages_of_held_out_texts(spark, docs):
     assert {r["doc_id"] for r in kept.collect()} == {*truth, 7, 1005, None}
 
 
+def test_texts_of_a_language_without_labels_are_rejected(spark, docs):
+    rows = corpus(random.Random(4), 300)
+    other = ["ta", "ko", "li", "mu", "ger", "zen"]  # letters of the known languages in other syllables
+    draw = random.Random(5)
+    rows += [(2000 + i, " ".join("".join(draw.choice(other) for _ in range(draw.randrange(1, 4))) for _ in range(draw.randrange(20, 60))), None) for i in range(20)]
+    got = identify(docs(rows)).collect()
+    assert all(r["rejected"] == (r["doc_id"] >= 2000) for r in got)
+
+
 def test_a_label_of_its_own_row_is_no_input(spark, docs):
     rows = corpus(random.Random(2), 120)
     held = {r["doc_id"] for r in identify(docs(rows)).where("held_out").collect()}
