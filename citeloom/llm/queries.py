@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import langid, mixing, neardup, oracles, ppm, sharding, substrings, tiling, tokens, topk, warc
+from citeloom.llm import langid, mixing, neardup, oracles, ppm, secrets, sharding, spelling, substrings, tiling, tokens, topk, turns, warc
 
 SHARDS = 40
 TARGETS = {"good": 0.85, "low": 0.15, "toxic": 0.0}
@@ -55,6 +55,18 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_mixing": op2_mixing,
@@ -66,6 +78,9 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_warc": op9_warc,
     "op10_substrings": op10_substrings,
+    "op11_conversations": op11_conversations,
+    "op12_secrets": op12_secrets,
+    "op13_spelling": op13_spelling,
 }
 ORACLES = {
     "op3_sharding": oracles.SHARDING,
@@ -73,4 +88,7 @@ ORACLES = {
     "op8_near_duplicates": oracles.NEAR_DUPLICATES,
     "op9_warc": oracles.WARC,
     "op10_substrings": oracles.SUBSTRINGS,
+    "op11_conversations": oracles.CONVERSATIONS,
+    "op12_secrets": oracles.SECRETS,
+    "op13_spelling": oracles.SPELLING,
 }

@@ -33,7 +33,7 @@ def test_registered_with_the_library():
     from __spark_entry__ import oracle_sql, queries
 
     found = [n for n in queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in found) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in found) == list(range(1, 14)) and "pipeline" in queries()
     assert set(names()) <= set(oracle_sql())
 
 
