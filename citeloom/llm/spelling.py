@@ -21,7 +21,7 @@ from citeloom.runtime import written
 RUNS = "[A-Za-z\\u00C0-\\u00FF]+"
 LEAST_LETTERS, LEAST_COUNT = 5, 3
 DAMAGED = 97  # one in so many runs of a document loses a letter
-GROUP = 20_000  # words a partition of the machine may hold
+GROUP = 5_000  # words a partition of the machine may hold
 DEPTH = 2  # code points of the first prefixes; doubled for prefixes of more words
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -180,8 +180,10 @@ class Composition:
 def _within(placed: DataFrame) -> DataFrame:
     """(word, near, near_n) both ways, for pairs whose edit lies behind the prefix of their partition."""
     prefix = F.expr("substring(word, 1, depth)")
+    # few bytes, much work: the number of tasks is not left to the size
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (placed.where(F.length("word") > 0).select(prefix.alias("prefix"), "word", "n")
-             .repartition("prefix").sortWithinPartitions("prefix", "word"))
+             .repartition(tasks, "prefix").sortWithinPartitions("prefix", "word"))
     schema = pa.schema([("word", pa.string()), ("near", pa.string()), ("near_n", pa.int64())])
 
     def enumerate_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
