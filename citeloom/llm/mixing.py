@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +33,11 @@ UNTRIED = (64, 0.5, 0.3)  # without rows held out
 PARTS = "[!-/:-@\\[-`{-~]+|[^ \\t-\\r!-/:-@\\[-`{-~]+"
 ROWS = ["doc_id", "_text_hash"]
 DIGITS = 3  # of a posterior; rows of equal posterior share their rate
-STEPS = 200  # gradient steps at most
-STEPS_PER_TABLE = 4
-STILL = 1e-5  # of all tokens: totals that change less in CALM steps in a row have settled
-CALM = 4
-PULL = 0.02  # weight of staying near a rate of one
+STEPS = 100  # gradient steps at most
+STEPS_PER_TABLE = 8
+STILL = 5e-5  # of all tokens: totals that change less in CALM steps in a row have settled
+CALM = 2
+PULL = 0.05  # weight of staying near a rate of one
 
 PRIOR, ABSENT = "", " "  # rows of the weights that are no words
 
@@ -191,64 +192,58 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: dict[str, f
     """Adds ``rate``, nonnegative factors for which the expected tokens of each domain come near their target, and the misses.
 
     ``targets`` gives shares of all tokens (normalised to one); None keeps what a
-    domain has. Minimises the squared misses, each relative to the domain's tokens,
-    plus ``pull`` times the squared distance of the rates from one, in the metric of
-    document length. Without the pull, targets that soft posteriors cannot meet would
-    be approached by dropping all documents but the few likeliest. Steps of projected
-    gradient with momentum (taken back where it leads uphill) never overshoot: in
-    this metric the misses' matrix is row-stochastic. Documents of equal posterior
-    have equal rates, so the steps run over one row per posterior; each is one
-    distributed sum per domain. They end when the totals have settled, or after
-    ``steps``. ``miss_k`` is what domain k then holds above its target, as a share of
-    all tokens; misses above ``tolerance`` are told in a warning too.
+    domain has. Minimises the squared misses plus ``pull`` times the squared distance
+    of the rates from one, in the metric of document length. Without the pull, targets
+    that soft posteriors cannot meet would be approached by dropping all documents
+    but the few likeliest. Misses are measured in the metric in which documents can move
+    them (the inverse of the domains' overlap, sums of p_j * p_k), so a projected
+    gradient step of one never overshoots, and few are needed however alike the
+    posteriors are. Documents of equal posterior have equal rates, so the steps run
+    over one row per posterior; each is one distributed sum per domain. They end
+    when the totals have settled, or after ``steps``. ``miss_k`` is what domain k then
+    holds above its target, as a share of all tokens; misses above ``tolerance`` are
+    told in a warning too.
     """
     every = range(len(domains))
     posterior = [f"p_{k}" for k in every]
     cells = members.groupBy(*posterior).agg(F.sum(F.col("copies") * F.col("tokens")).cast("double").alias("weight"))
-    table = written(cells.select("*", F.lit(1.0).alias("rate"), F.lit(1.0).alias("before")), "rates")
-
-    def held(rate: Column) -> tuple[list[float], float]:
-        """Tokens by domain, and how far the rates are from one."""
-        row = table.select("weight", *posterior, rate.alias("_rate")).agg(
-            *[F.coalesce(F.sum(F.col("weight") * F.col(p) * F.col("_rate")), F.lit(0.0)) for p in posterior],
-            F.coalesce(F.sum(F.col("weight") * F.pow(F.col("_rate") - 1, F.lit(2.0))), F.lit(0.0))).first()
-        return [float(x) for x in row[:-1]], float(row[-1])
-
-    start, _ = held(F.lit(1.0))
-    total = sum(start)
+    table = written(cells.withColumn("rate", F.lit(1.0)), "rates")
+    weight = F.col("weight")
+
+    def held(rate: Column) -> np.ndarray:
+        row = table.select("weight", *posterior, rate.alias("_rate")).agg(*[F.coalesce(F.sum(weight * F.col(p) * F.col("_rate")), F.lit(0.0)) for p in posterior]).first()
+        return np.array(row, float)
+
+    pairs = [(j, k) for j in every for k in every if j <= k]
+    sums = table.agg(*[F.coalesce(F.sum(weight * F.col(f"p_{j}") * F.col(f"p_{k}")), F.lit(0.0)) for j, k in pairs]).first()
+    overlap = np.zeros((len(domains), len(domains)))
+    for (j, k), v in zip(pairs, sums, strict=True):
+        overlap[j, k] = overlap[k, j] = v
+    metric = np.linalg.pinv(overlap, hermitian=True)
+    now = start = held(F.lit(1.0))
+    total = float(start.sum())
     given = sum(v for v in targets.values() if v is not None)
     kept = sum(s for d, s in zip(domains, start, strict=True) if targets.get(d) is None)
-    goal = [s if targets.get(d) is None else (total - kept) * targets[d] / given if given else 0.0 for d, s in zip(domains, start, strict=True)]
-
-    def loss(tokens: list[float], moved: float) -> float:
-        return sum((a - g) ** 2 / s for a, g, s in zip(tokens, goal, start, strict=True) if s > 0) + pull * moved
+    goal = np.array([s if targets.get(d) is None else (total - kept) * targets[d] / given if given else 0.0 for d, s in zip(domains, start, strict=True)])
 
-    rate, before = F.col("rate"), F.col("before")
-    now, earlier, moved, speed, calm = start, start, 0.0, 1.0, 0
+    rate, calm = F.col("rate"), 0
     for step in range(1, steps + 1):
         if calm >= CALM or total == 0:
             break
-        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
-        push = (speed - 1) / faster
-        ahead = [a + push * (a - b) for a, b in zip(now, earlier, strict=True)]
-        slope = [(a - g) / s if s > 0 else 0.0 for a, g, s in zip(ahead, goal, start, strict=True)]
-        point = rate + push * (rate - before) if push > 0 else rate
-        down = sum((F.col(p) * F.lit(x) for p, x in zip(posterior, slope, strict=True)), pull * (point - 1))
-        following = F.greatest(F.lit(0.0), point - down / (1 + pull))
-        then, there = held(following)
-        if push > 0 and loss(then, there) > loss(now, moved):
-            speed, earlier, before = 1.0, now, rate  # a plain step from here goes downhill
-            continue
-        calm = calm + 1 if all(abs(a - b) <= STILL * total for a, b in zip(then, now, strict=True)) else 0
-        earlier, now, moved, speed, rate, before = now, then, there, faster, following, rate
+        slope = (metric @ (now - goal)).tolist()
+        down = sum(F.col(p) * F.lit(x / (1 + pull)) for p, x in zip(posterior, slope, strict=True))
+        # a step of 1 / (1 + pull) along the misses' gradient and the pull's
+        rate = F.greatest(F.lit(0.0), rate * F.lit(1 / (1 + pull)) + F.lit(pull / (1 + pull)) - down)
+        then = held(rate)
+        calm = calm + 1 if np.abs(then - now).max() <= STILL * total else 0
+        now = then
         if step % STEPS_PER_TABLE == 0:
-            table = written(table.select(*posterior, "weight", rate.alias("rate"), before.alias("before")), "rates")
-            rate, before = F.col("rate"), F.col("before")
-    if any(abs(a - g) > tolerance * total for a, g in zip(now, goal, strict=True)):
+            table, rate = written(table.select(*posterior, "weight", rate.alias("rate")), "rates"), F.col("rate")
+    if (np.abs(now - goal) > tolerance * total).any():
         warnings.warn("targets not met; shares of all tokens, reached (target): " + ", ".join(
             f"{d} {a / total:.4f} ({g / total:.4f})" for d, a, g in zip(domains, now, goal, strict=True)), stacklevel=2)
     rates = written(table.select(*posterior, F.round(rate, 6).alias("rate")), "rates")
-    misses = {f"miss_{k}": F.lit(round((a - g) / total, 9) if total else 0.0) for k, (a, g) in enumerate(zip(now, goal, strict=True))}
+    misses = {f"miss_{k}": F.lit(round(float(a - g) / total, 9) if total else 0.0) for k, (a, g) in enumerate(zip(now, goal, strict=True))}
     return members.join(rates, posterior).withColumns(misses)
 
 

@@ -57,9 +57,9 @@ def test_totals_come_near_the_targets(spark, docs):
 def least(weight, p, goal, pull):
     """Rates of least squared misses plus pull, by many plain projected gradient steps."""
     weight, p, goal = np.array(weight, float), np.array(p, float), np.array(goal, float)
-    start, rate = weight @ p, np.ones(len(weight))
+    metric, rate = np.linalg.pinv((p.T * weight) @ p), np.ones(len(weight))
     for _ in range(20_000):
-        slope = p @ ((weight * rate) @ p / start - goal / start) + pull * (rate - 1)
+        slope = p @ (metric @ ((weight * rate) @ p - goal)) + pull * (rate - 1)
         rate = np.maximum(0, rate - slope / (1 + pull))
     return rate
 
@@ -182,4 +182,5 @@ def test_empty(spark, docs):
     none = spark.createDataFrame([], LABELS)
     assert mix_documents(docs([]), none, TARGETS).collect() == []
     got = mix_documents(docs([(1, "a b"), (2, None)]), none, TARGETS).collect()
-    assert {(r["doc_id"], r["tokens"], round(r["p_good"], 6)) for r in got} == {(1, 2, round(1 / 3, 6)), (2, 0, round(1 / 3, 6))}
+    assert {(r["doc_id"], r["tokens"]) for r in got} == {(1, 2), (2, 0)}
+    assert all(abs(r["p_good"] - 1 / 3) < 1e-3 for r in got)  # posteriors have three digits
