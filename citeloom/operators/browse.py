@@ -249,8 +249,19 @@ def status_counts(papers: DataFrame, status: str = "status") -> DataFrame:
     )
 
 
-def page(df: DataFrame, key: str, limit: int = 100, offset: int = 0) -> DataFrame:
-    return df.orderBy(key).offset(offset).limit(limit)
+def page(df: DataFrame, key: str, limit: int = 100, after=None) -> DataFrame:
+    """The first ``limit`` rows by a unique key, or those that follow the key a page ended with.
+
+    The filter reaches the scan and every task keeps ``limit`` rows, so a late page
+    costs no more than the first.
+    """
+    left = df if after is None else df.filter(F.col(key) > F.lit(after))
+    return left.orderBy(key).limit(limit)
+
+
+def last_key(rows: DataFrame, key: str):
+    """Where a page ends; null for an empty one."""
+    return rows.agg(F.max(key)).first()[0]
 
 
 def by_id(df: DataFrame, key: str, value) -> DataFrame:

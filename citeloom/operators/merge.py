@@ -190,10 +190,14 @@ def count_mismatches(source: DataFrame, target: DataFrame, by: str) -> DataFrame
 
 
 def row_mismatches(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Rows present on one side only, tagged with the side."""
-    return source.exceptAll(target).withColumn("side", F.lit("source")).unionByName(
-        target.exceptAll(source).withColumn("side", F.lit("target"))
-    )
+    """Rows present on one side only, tagged with the side, as often as they are missing on the other.
+
+    Both copies are counted with opposite signs in one aggregate.
+    """
+    signed = source.withColumn("_sign", F.lit(1)).unionByName(target.withColumn("_sign", F.lit(-1)))
+    left = signed.groupBy(*source.columns).agg(F.sum("_sign").alias("_left")).filter(F.col("_left") != 0)
+    side = F.when(F.col("_left") > 0, "source").otherwise("target").alias("side")
+    return left.select(*source.columns, side, F.explode(F.sequence(F.lit(1), F.abs("_left").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def delete_papers(

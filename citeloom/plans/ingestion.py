@@ -394,6 +394,19 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(target).select("paper_id", "kind")
 
 
+@query("r2_stream_states", """
+    SELECT CAST(event_id AS VARCHAR) AS job_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status, 2 AS states FROM events""")
+def stream_states(spark, sf):
+    """States the stream itself writes; events of errors yield no rows, so their jobs fail. The same events again change nothing."""
+    schema = d.table(spark, sf, "events").schema
+    target, marks = scratch_folder(spark, "ingested"), scratch_folder(spark, "stream-marks")
+    for _ in range(2):
+        arrivals = jobs.stream_tables(spark, sf, schema, "events.parquet").select(F.col("event_id").cast("string").alias("paper_id"), "event_type")
+        jobs.ingest(arrivals, lambda batch: batch.filter("event_type <> 'error'"), target, marks).awaitTermination()
+    history = spark.read.parquet(jobs.states_folder(target)).select("job_id", "status", "ts")
+    return jobs.latest_status(history).join(history.groupBy("job_id").agg(F.count("*").cast("int").alias("states")), "job_id").select("job_id", "status", "states")
+
+
 @query("r7_unfinished_sections", """
     SELECT CAST(doc_id AS VARCHAR) AS paper_id, lang AS section FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""")
 def unfinished_sections(spark, sf):

@@ -8,7 +8,9 @@ from citeloom.functions.text import norm_name
 from citeloom.operators import merge
 from citeloom.plans import domain as d
 from citeloom.plans.domain_sql import LINE_ORDER, using
-from citeloom.plans.registry import query
+from citeloom.plans.registry import ORACLES, query
+from citeloom.runtime import scratch_folder
+from citeloom.sources.snapshots import Snapshots, Table
 
 
 def _part_changes(spark, sf):
@@ -47,6 +49,44 @@ def edge_merge_into_stored(spark, sf):
     return merge.merge_edges(stored, li.filter(F.col("l_linestatus") != "F"), ["evidence_text"])
 
 
+def _store(spark, buckets=16, **tables):
+    """An empty store of the given tables: name = (a DataFrame of its columns, key)."""
+    return Snapshots(spark, scratch_folder(spark, "store"), {n: Table(df.schema, tuple(key)) for n, (df, key) in tables.items()}, buckets)
+
+
+@query("k5_merge_touched_buckets", ORACLES["k5_edge_merge_into_stored"])
+def merge_touched_buckets(spark, sf):
+    """The same merge, as two commits to a stored table of which the second rewrites only the buckets it falls into."""
+    li = d.table(spark, sf, "lineitem").select(
+        d._id("o", "l_orderkey").alias("src"), d._id("p", "l_partkey").alias("dst"), F.lit("USES_METHOD").alias("rel_type"),
+        d.line_order().alias("seq"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("evidence_text"), "l_linestatus")
+    store = _store(spark, edges=(merge.first_write(li, ["evidence_text"]), merge.EDGE_KEY))
+    for part in (F.col("l_linestatus") == "F", F.col("l_linestatus") != "F"):
+        store.begin().merge("edges", li.filter(part), lambda old, new: merge.merge_edges(old, new, ["evidence_text"])).commit()
+    return store.read("edges")
+
+
+@query("k1_atomic_batches", """
+    SELECT 'o:' || o_orderkey AS node_id, o_orderpriority AS collection_id, coalesce(edges, 0) AS edges, coalesce(writes, 0) AS writes, 2 AS version
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS edges, count(*) AS writes FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
+    WHERE o_orderkey % 3 <> 1""")
+def atomic_batches(spark, sf):
+    """Orders and their lines in three batches: the second stages its nodes and is given up, the others are committed."""
+    nodes = d.table(spark, sf, "orders").select(d._id("o", "o_orderkey").alias("node_id"), F.col("o_orderpriority").alias("collection_id"), (F.col("o_orderkey") % 3).alias("batch"))
+    li = d.table(spark, sf, "lineitem").select(
+        d._id("o", "l_orderkey").alias("src"), d._id("p", "l_partkey").alias("dst"), F.lit("USES_METHOD").alias("rel_type"), d.line_order().alias("seq"),
+        F.col("l_linenumber").alias("line"), (F.col("l_orderkey") % 3).alias("batch"))
+    store = _store(spark, nodes=(nodes.drop("batch"), ["node_id"]), edges=(merge.first_write(li, ["line"]), merge.EDGE_KEY))
+    for batch in range(3):
+        change = store.begin().upsert("nodes", nodes.filter(F.col("batch") == batch))
+        if batch == 1:
+            change.abort()
+            continue
+        change.merge("edges", li.filter(F.col("batch") == batch), lambda old, new: merge.merge_edges(old, new, ["line"])).commit()
+    sums = store.read("edges").groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("edges"), F.sum("occurrence_count").alias("writes"))
+    return store.read("nodes").join(sums, "node_id", "left").na.fill(0, ["edges", "writes"]).withColumn("version", F.lit(store.version()))
+
+
 @query("k6_paper_nodes", """
     SELECT CAST(conv_id AS VARCHAR) AS paper_id, arg_max(role, turn) AS title, arg_max(nullif(text, ''), turn) IS NOT NULL AS has_text, CAST(max(turn) AS INTEGER) AS year
     FROM conversations GROUP BY conv_id""")
@@ -103,6 +143,19 @@ def vector_upsert(spark, sf):
     return merge.upsert(stored, incoming, ["doc_id"])
 
 
+@query("k12_k14_stored_vectors", """
+    SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN lang ELSE 'q' || quality END AS lang, source
+    FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(toxic, 0) = 0""")
+def stored_vectors(spark, sf):
+    """Upserts and deletes as commits to a stored table."""
+    docs, labels = d.table(spark, sf, "documents").select("doc_id", "lang", "source"), d.table(spark, sf, "labels")
+    store = _store(spark, vectors=(docs, ["doc_id"]))
+    store.begin().upsert("vectors", docs).commit()
+    labelled = labels.join(docs.select("doc_id", "source"), "doc_id").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("lang"), "source")
+    store.begin().upsert("vectors", labelled).delete("vectors", labels.filter("toxic = 1")).commit()
+    return store.read("vectors")
+
+
 @query("k13_payload_patch", """
     SELECT doc_id, lang AS a, CASE WHEN l.doc_id IS NULL THEN source ELSE 'toxic' || toxic END AS b, CAST(quality AS VARCHAR) AS c
     FROM documents d LEFT JOIN labels l USING (doc_id)""")

@@ -32,7 +32,8 @@ QUERY_LOG = _s(
 NODES = _s(
     ("node_id", _STR), ("label", _STR), ("name", _STR), ("title", _STR), ("text", _STR),
     ("paper_id", _STR), ("source_paper_id", _STR), ("collection_id", _STR), ("year", _INT),
-    ("venue", _STR), ("abstract", _STR), ("description", _STR),
+    ("venue", _STR), ("abstract", _STR), ("description", _STR), ("category", _STR), ("domain", _STR),
+    ("claim_type", _STR), ("confidence", _DBL),
 )
 EDGES = _s(
     ("src", _STR), ("dst", _STR), ("rel_type", _STR), ("confidence", _DBL),

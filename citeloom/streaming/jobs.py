@@ -21,35 +21,34 @@ def stream_tables(spark: SparkSession, folder: str, schema: StructType, pattern:
 
 
 def ingest(arrivals: DataFrame, work: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "paper_id") -> StreamingQuery:
-    """Run ``work`` on each micro-batch and append its rows to ``target``.
-
-    A row is written under its batch number, so a batch that is repeated after
-    a failure overwrites its own output; papers already stored are skipped.
+    """Run ``work`` on the new papers of each micro-batch; rows go to ``target``, job states beside it (see ``states_folder``).
+
+    Which papers came before is keyed state of the stream, in its checkpoint: a
+    micro-batch reads nothing of the target, however large that is. Rows and states
+    are written under their batch number, and a batch that is repeated after a
+    failure starts from the state before it, so it overwrites its own output. A paper
+    without rows has failed. Use the RocksDB state store (a session setting) where
+    keys outgrow memory.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        done = _stored(spark, target)
-        if done is not None:
-            earlier = done.filter(F.col("batch_id") < batch_id).select(key).distinct()
-            fresh = fresh.join(earlier, key, "left_anti")
-        work(fresh).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-
-    return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
-
-
-def _stored(spark: SparkSession, target: str) -> DataFrame | None:
-    from pyspark.sql.utils import AnalysisException
-
-    try:
-        return spark.read.option("basePath", target).parquet(target)
-    except AnalysisException as error:
-        if error.getCondition() not in NOTHING_STORED:
-            raise
-        return None
+        batch = batch.persist()  # used twice; what is lost of it is made again from the state before
+        rows, names = f"{target}/batch_id={batch_id}", batch.select(F.col(key).alias("job_id"))
+        done = work(batch)
+        done.write.mode("overwrite").parquet(rows)
+        kept = spark.read.schema(done.schema).parquet(rows).select(F.col(key).alias("job_id")).distinct().withColumn("_kept", F.lit(True))
+        status = F.explode(F.array(F.lit("queued"), F.when(F.col("_kept"), "completed").otherwise("failed")))
+        states = names.join(kept, "job_id", "left").select("job_id", status.alias("status"), F.current_timestamp().alias("ts"))
+        states.write.mode("overwrite").parquet(f"{states_folder(target)}/batch_id={batch_id}")
+        batch.unpersist()
+
+    fresh = arrivals.dropDuplicates([key])
+    return fresh.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def states_folder(target: str) -> str:
+    """Where ``ingest`` keeps the history (job_id, status, ts) of the jobs whose rows go to ``target``."""
+    return f"{target.rstrip('/')}-states"
 
 
 def latest_status(history: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def test_batch_from_papers_to_graph(spark):
     assert not any("BadNet" in k[1] for k in e)
     assert {r.alias for r in out["aliases"].collect()} == {"FooNet-v2"}
     assert {(r.node_id, r.paper_id) for r in out["entity_papers"].collect()} >= {("new:Method:foonet", "1"), ("new:Method:foonet", "2"), ("d0", "2")}
-    assert out["entity_vectors"].filter(F.size("vector") == 16).count() == 3 + 2 - 1 + len({k for k in nodes if k.startswith("claim:")})
+    assert out["entity_vectors"].filter(F.size("vector") == 16).count() == 2 + 3 + 2 - 1 + len({k for k in nodes if k.startswith("claim:")})
 
     again = build_graph(papers, got, out["nodes"], out["edges"].select("src", "dst", "rel_type", *EDGE_FIELDS, "occurrence_count"), dimension=16)
     assert {r.node_id for r in again["nodes"].collect()} == set(nodes)

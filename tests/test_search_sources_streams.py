@@ -141,6 +141,17 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     assert go() == [("1", "T1"), ("2", "T2")]
     rows("2", "3").write.mode("append").parquet(source)
     assert go() == [("1", "T1"), ("2", "T2"), ("3", "T3")] == go()
+    states = spark.read.parquet(jobs.states_folder(target))
+    assert sorted((r.job_id, r.status) for r in states.collect()) == [(i, s) for i in "123" for s in ("completed", "queued")]
+
+
+def test_papers_without_rows_fail(spark, tmp_path):
+    source, target, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    rows = spark.createDataFrame([("1", "a"), ("2", "b")], "paper_id string, text string")
+    rows.write.parquet(source)
+    jobs.ingest(jobs.stream_tables(spark, source, rows.schema), lambda b: b.filter("paper_id = '1'"), target, marks).awaitTermination()
+    last = jobs.latest_status(spark.read.parquet(jobs.states_folder(target)).select("job_id", "status", "ts"))
+    assert {r.job_id: r.status for r in last.collect()} == {"1": "completed", "2": "failed"}
 
 
 def test_recent_requests_equal_direct_count(spark):
