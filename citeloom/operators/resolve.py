@@ -168,8 +168,9 @@ def roots(parents: DataFrame) -> DataFrame:
 def first_confirmed(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame] | None, order: list[Column]) -> DataFrame:
     """For every new name (entity_type, a) its first pair in ``order`` that ``confirm`` keeps.
 
-    Pairs are asked about in rounds by rank, and only for names still open: a
-    name's later candidates cost nothing once one is confirmed. Without
+    Pairs are asked about in rounds of ranks 1, 2 to 3, 4 to 7, ..., and only for
+    names still open: rounds grow with the logarithm of the longest shortlist, and at
+    most as many later candidates are asked about as came before. Without
     ``confirm`` the first pair counts.
     """
     ranked = pairs.withColumn("place", F.row_number().over(Window.partitionBy("entity_type", "a").orderBy(*order)))
@@ -178,10 +179,11 @@ def first_confirmed(pairs: DataFrame, confirm: Callable[[DataFrame], DataFrame]
     open_pairs, place, found = written(ranked, "ranked-pairs"), 1, None
     columns = open_pairs.columns
     while not open_pairs.isEmpty():
-        yes = written(confirm(open_pairs.filter(F.col("place") == place)).select(*columns), "confirmed")
+        asked = confirm(open_pairs.filter(F.col("place") < 2 * place)).select(*columns)
+        yes = written(asked.groupBy("entity_type", "a").agg(F.min_by(F.struct(*columns), "place").alias("first")).select("first.*"), "confirmed")
         found = yes if found is None else found.unionByName(yes)
-        open_pairs = written(open_pairs.filter(F.col("place") > place).join(yes.select("entity_type", "a"), ["entity_type", "a"], "left_anti"), "open-pairs")
-        place += 1
+        open_pairs = written(open_pairs.filter(F.col("place") >= 2 * place).join(yes.select("entity_type", "a"), ["entity_type", "a"], "left_anti"), "open-pairs")
+        place *= 2
     return open_pairs if found is None else found
 
 

@@ -149,3 +149,19 @@ def test_merge_policy(spark):
     canonical = rs.merged_entities(out, stored)
     assert {r.node_key: r.name for r in canonical.collect()} == {"m1": "BERT"}
     assert {r.alias for r in rs.alias_rows(out, stored, canonical).collect()} == {"BERT-b", "Bert model", "Bidirectional"}
+
+
+def test_rounds_grow_with_the_logarithm_of_the_shortlist(spark):
+    from citeloom.operators.resolve import first_confirmed
+
+    rows = [("Method", "x", f"m{i}", 1 - i / 100) for i in range(1, 20)] + [("Method", "y", "m1", 0.9), ("Method", "y", "m5", 0.8)]
+    pairs = spark.createDataFrame(rows, "entity_type string, a string, node_id string, score double")
+    asked = []
+
+    def confirm(part):
+        asked.append(part.count())
+        return part.filter("node_id IN ('m5', 'm6', 'm19')")
+
+    got = first_confirmed(pairs, confirm, [F.desc("score")])
+    assert {(r.a, r.node_id) for r in got.collect()} == {("x", "m5"), ("y", "m5")}
+    assert asked == [2, 3, 4]  # ranks 1, 2 to 3, 4 to 7; the rest is never asked about
