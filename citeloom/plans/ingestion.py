@@ -470,6 +470,36 @@ def graph_from_text(spark, sf):
     return built["edges"].select("src", "dst", "rel_type", "occurrence_count")
 
 
+def silent_model():
+    """A model that finds nothing."""
+    return lambda system, prompt: "{}"
+
+
+@query("u6_ingestion_run", """
+    SELECT CAST(conv_id AS VARCHAR) AS paper_id, 'completed' AS status, 0 AS entities_found, 1 AS author_edges, count(*) FILTER (trim(text) <> '') > 0 AS chunked,
+           'Thread ' || conv_id AS title, 0 AS open_units FROM conversations GROUP BY conv_id""")
+def ingestion_run(spark, sf):
+    """Conversations as papers, taken into a stored graph: half of them, then the whole table, of which the rest is new."""
+    from citeloom.functions.text import split_sections
+    from citeloom.operators.ingest import ingest_batch, open_store
+    from citeloom.plans.text import threads
+
+    none = F.lit(None).cast("string")
+    papers = written(threads(spark, sf).select(
+        "paper_id", F.concat(F.lit("Thread "), "paper_id").alias("title"), F.array(F.concat(F.lit("Author "), F.pmod(F.col("paper_id").cast("int"), F.lit(7)).cast("string"))).alias("authors"),
+        F.lit(None).cast("int").alias("year"), none.alias("venue"), none.alias("abstract"), none.alias("collection_id"),
+        split_sections(F.col("text")).alias("sections")), "papers")
+    store = open_store(spark, scratch_folder(spark, "graph"), buckets=8)
+    for batch in (papers.filter("paper_id % 2 = 0"), papers):
+        ingest_batch(store, batch, [silent_model], dimension=d.DIMENSION, pause=0)
+    edges = store.read("edges").filter("rel_type = 'AUTHORED_BY'").groupBy(F.col("src").alias("node_id")).agg(F.sum("occurrence_count").cast("int").alias("author_edges"))
+    chunks = store.read("chunks").filter(F.size("vector") == d.DIMENSION).select("paper_id").distinct().withColumn("chunked", F.lit(True))
+    units = store.read("units").groupBy("paper_id").agg(F.count("*").cast("int").alias("open_units"))
+    nodes = store.read("nodes").filter("label = 'Paper'").select("node_id", "paper_id", "title").join(edges, "node_id", "left").drop("node_id")
+    return (store.read("jobs").select("paper_id", "status", "entities_found").join(nodes, "paper_id", "left").join(chunks, "paper_id", "left")
+            .join(units, "paper_id", "left").na.fill(False, ["chunked"]).na.fill(0, ["open_units"]))
+
+
 @query("s14_eval_questions", """
     SELECT CAST(item_id AS VARCHAR) AS id, md5(text) AS digest FROM benchmark""")
 def eval_questions(spark, sf):
