@@ -16,8 +16,10 @@ from citeloom.operators import browse, compare, extract, merge
 from citeloom.operators import context as ctx
 from citeloom.operators.retrieve import Corpus, Retrieved, baseline, graph_context, retrieval_stats, retrieve, subgraphs
 from citeloom.operators.search import in_collection, search, searchable
+from citeloom.operators.search_index import search_stored
 from citeloom.runtime import written
 from citeloom.settings import DEFAULTS
+from citeloom.sources.snapshots import Snapshots
 
 GRAPH_TASK = "Answer from the given context only and name the papers used. Say plainly if the context is not enough."
 PLAIN_TASK = "Answer from the numbered excerpts only and cite them as [n]. Say plainly if they are not enough."
@@ -140,6 +142,15 @@ def graph_search(corpus: Corpus, queries: DataFrame, label: str | None = None, l
     return hits.join(corpus.nodes.select("node_id", browse.shown_name().alias("name")), "node_id")
 
 
+def stored_search(store: Snapshots, queries: DataFrame, label: str | None = None, limit: int = DEFAULTS.search_limit,
+                  collection: str | None = None) -> DataFrame:
+    """As ``graph_search`` over the index that a stored graph keeps."""
+    nodes = store.read("nodes")
+    within = None if collection is None else in_collection(nodes, store.read("edges"), collection)
+    hits = search_stored(store, queries, limit, None if label is None else [label], within)
+    return hits.join(nodes.select("node_id", browse.shown_name().alias("name")), "node_id")
+
+
 def paper_list(papers: DataFrame, collection: str | None = None) -> DataFrame:
     return browse.newest_papers(papers, collection)
 

@@ -21,6 +21,8 @@ from citeloom.functions.vectors import embed
 from citeloom.operators.build import EDGE_FIELDS, Extracted, extract_batch, graph_changes
 from citeloom.operators.chunks import chunk_papers
 from citeloom.operators.merge import EDGE_KEY, merge_edges
+from citeloom.operators.search import searchable
+from citeloom.operators.search_index import INDEX_TABLES, index_texts, unindex
 from citeloom.runtime import written
 from citeloom.schema import CHUNKS, EDGES, NODES
 from citeloom.settings import DEFAULTS
@@ -38,6 +40,7 @@ TABLES = {
     "jobs": Table(T.StructType().add("paper_id", _STR).add("status", _STR).add("entities_found", _INT).add("relations_found", _INT)
                   .add("error_message", _STR), ("paper_id",)),
     "units": Table(T.StructType().add("paper_id", _STR).add("ord", _INT).add("kind", _STR).add("data", _STR), ("paper_id", "ord", "kind")),
+    **INDEX_TABLES,
 }
 
 
@@ -74,10 +77,11 @@ class Ledger:
 
 def commit_graph(change: Change, papers: DataFrame, extracted: Extracted, confirm: Callable[[DataFrame], DataFrame] | None = None,
                  dimension: int = DEFAULTS.embedding_dimension) -> Change:
-    """Stages a batch's nodes, edges, vectors, provenance and aliases; rewrites only the buckets they fall into."""
+    """Stages a batch's nodes, edges, vectors, provenance, aliases and search index; rewrites only the buckets they fall into."""
     new = graph_changes(papers, extracted, change.read("nodes"), change.read("aliases"), confirm, dimension, change.read("entity_vectors"))
+    nodes = written(new.nodes, "batch-nodes")
     return (
-        change.upsert("nodes", new.nodes)
+        index_texts(change.upsert("nodes", nodes), searchable(nodes))
         .merge("edges", new.writes, lambda old, writes: merge_edges(old, writes, EDGE_FIELDS))
         .upsert("entity_vectors", new.entity_vectors)
         .insert("entity_papers", new.entity_papers)
@@ -150,7 +154,7 @@ def delete_papers(store: Snapshots, doomed: DataFrame) -> int:
         ends = edges.select(*EDGE_KEY)
         cut = ends.join(gone.select(F.col("node_id").alias("src")), "src", "left_semi").unionByName(
             ends.join(gone.select(F.col("node_id").alias("dst")), "dst", "left_semi")).distinct()
-        (change.delete("nodes", gone).delete("edges", cut)
+        (unindex(change, gone).delete("nodes", gone).delete("edges", cut)
          .delete("entity_vectors", gone).delete("aliases", change.read("aliases").join(gone, "node_id", "left_semi"))
          .delete("entity_papers", pairs.join(doomed, "paper_id", "left_semi"))
          .delete("chunks", chunks.join(doomed, "paper_id", "left_semi"))

@@ -16,6 +16,12 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def weight(tf: Column, n_words: Column, df: Column) -> Column:
+    """What a word adds to a node's score; ``n_docs`` and ``mean_words`` are columns of the row."""
+    rare = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
+    return rare * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_words / F.col("mean_words"))))
+
+
 def searchable(nodes: DataFrame) -> DataFrame:
     """(node_id, label, text) of the labels that carry an index: names, titles, texts, abstracts and descriptions."""
     held = [c for c in ("name", "title", "text", "abstract", "description") if c in nodes.columns]
@@ -51,12 +57,9 @@ def search(
     )
     spread = postings.groupBy("label", "term").agg(F.count("*").alias("df"))
     hits = postings if within is None else postings.join(within.select("node_id"), "node_id", "left_semi")
-    tf = F.col("tf")
-    weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (
-        tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_words") / F.col("mean_words")))
-    )
+    added = weight(F.col("tf"), F.col("n_words"), F.col("df"))
     weighted = written(
-        hits.join(spread, ["label", "term"]).join(sizes, "label").select("label", "node_id", "term", weight.alias("w")),
+        hits.join(spread, ["label", "term"]).join(sizes, "label").select("label", "node_id", "term", added.alias("w")),
         "weighted",
     )
     chosen = _candidates(weighted, asked, limit)

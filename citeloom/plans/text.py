@@ -9,10 +9,12 @@ from citeloom.functions import text as t
 from citeloom.functions.vectors import embed
 from citeloom.operators.chunks import chunk_papers
 from citeloom.operators.search import in_collection, search, searchable
+from citeloom.operators.search_index import INDEX_TABLES, index_texts, search_stored, unindex
 from citeloom.plans import domain as d
 from citeloom.plans.domain_sql import tok, using
-from citeloom.plans.registry import query
-from citeloom.runtime import spread
+from citeloom.plans.registry import ORACLES, query
+from citeloom.runtime import scratch_folder, spread
+from citeloom.sources.snapshots import Snapshots
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 COLLAPSE = r"regexp_replace(regexp_replace({}, '\s+', ' ', 'g'), '^ | $', '', 'g')"
@@ -353,6 +355,20 @@ def search_nodes(spark, sf):
     return search(searchable(d.corpus(spark, sf).nodes), asked)
 
 
+@query("x1_stored_index", ORACLES["x1_search_nodes"])
+def stored_index(spark, sf):
+    """All nodes indexed in two batches, papers with other texts before; a third takes out what was too much."""
+    texts = searchable(d.corpus(spark, sf).nodes)
+    early = texts.filter(F.col("label").isin("Paper", "Method")).withColumn("text", F.concat(F.lit("draft "), "text"))
+    surplus = early.withColumn("node_id", F.concat(F.lit("draft:"), "node_id"))
+    store = Snapshots(spark, scratch_folder(spark, "index"), INDEX_TABLES, buckets=8)
+    store.change(lambda c: index_texts(c, early.unionByName(surplus)))
+    store.change(lambda c: index_texts(c, texts))
+    store.change(lambda c: unindex(c, surplus))
+    asked = d.table(spark, sf, "part").select(F.col("p_name").alias("query_id")).distinct()
+    return search_stored(store, asked.withColumn("text", F.concat("query_id", F.lit(" quantity 7"))))
+
+
 @query("p9_scoped_search", using("nodes", "edges") + """
     , texts AS (SELECT node_id, label, concat_ws(' ', name, title, text) AS text FROM nodes),
     ours AS (SELECT node_id, paper_id FROM nodes WHERE collection_id = '2-HIGH'),

@@ -40,6 +40,7 @@ class Conflict(RuntimeError):
 class Table:
     schema: StructType
     key: tuple[str, ...]
+    order: tuple[str, ...] = ()  # of the rows in a file, for scans that look for some of them
 
 
 class Snapshots:
@@ -146,7 +147,10 @@ class Change:
         rows = combine(held, incoming).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema])
         folder = f"data/{name}/{uuid.uuid4().hex}"
         self.staged.append(folder)
-        rows.withColumn(BUCKET, bucket).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{store.folder}/{folder}")
+        placed = rows.withColumn(BUCKET, bucket).repartition(BUCKET)
+        if table.order:
+            placed = placed.sortWithinPartitions(BUCKET, *table.order)
+        placed.write.partitionBy(BUCKET).parquet(f"{store.folder}/{folder}")
         made = {n.partition("=")[2] for n in store.names(folder) if n.startswith(f"{BUCKET}=")}
         kept = {b: f for b, f in now.items() if b not in touched}
         self.layout = self.layout | {name: kept | {b: f"{folder}/{BUCKET}={b}" for b in made}}

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from citeloom import api
 from citeloom.operators.extract import ACROSS_TASK, ENTITY_TASK, WITHIN_TASK
 from citeloom.operators.ingest import delete_papers, ingest_batch, open_store
 
@@ -81,7 +82,13 @@ def test_batches_of_papers_grow_one_graph(spark, store, tmp_path):
     job = store.read("jobs").where("paper_id = '2'").first()
     assert job.entities_found == 3 and job.relations_found > 0 and bar.label == "Method"
 
+    def named(text):
+        return {r.node_id for r in api.stored_search(store, spark.createDataFrame([(1, text)], "query_id int, text string")).collect()}
+
+    assert {foo.node_id, bar.node_id} <= named("foonet barnet") and "paper:2" in named(nodes["paper:2"].title)
+
     delete_papers(store, papers(spark, "2").select("paper_id"))
+    assert "paper:2" not in named(nodes["paper:2"].title) and store.read("lengths").count() == store.read("nodes").count()
     left = {r.node_id for r in store.read("nodes").collect()}
     # the method still extends another one; the dataset had no edge to the paper
     mine = {"paper:1", "author:Ann Lee", foo.node_id, bar.node_id, "new:Dataset:fooqa", "new:Dataset:barqa"}
