@@ -6,12 +6,11 @@ thresholds, grounding) is column work.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.generation import Provider, generate
@@ -20,6 +19,7 @@ from citeloom.functions.replies import (
     ACROSS_TYPES, CLAIM_TYPES, WITHIN_TYPES, confidence, item_extras, item_text, recover_json, reply_items,
 )
 from citeloom.functions.text import NON_CONTENT_SECTIONS, is_trivial_claim, norm_name, scrub_preamble, section_pieces, strip
+from citeloom.runtime import row_numbers, written
 from citeloom.settings import DEFAULTS
 
 ENTITY_TASK = "List the methods, datasets, metrics and claims this section states, as one JSON object."
@@ -156,20 +156,26 @@ def extract_relations(
 
     names(paper_id, ord, names array<string>) are the section's own entities.
     Within a paper the source defaults to "paper". Across papers
-    candidates(paper_id, listed string) holds the prompt list of other papers'
-    entities, and only sections with one are asked; the caller checks targets
-    with ``known_targets``.
+    candidates(paper_id, listed string[, page]) holds the prompt lists of other papers'
+    entities; a section is asked once per list, and only with one. ``pos`` goes on
+    from page to page. The caller checks targets with ``known_targets``.
     """
     told = sections.join(names, ["paper_id", "ord"], "left").withColumn(
         "own", F.concat(F.lit("Entities: "), F.array_join(F.coalesce("names", F.array().cast("array<string>")), ", "))
     )
     extra = [F.col("own")]
-    if across:
-        told = told.join(candidates.select("paper_id", "listed"), "paper_id")
-        extra.append(F.concat(F.lit("Other papers: "), F.col("listed")))
+    if not across:
+        told = told.withColumn("page", F.lit(0))
+    else:
+        page = F.col("page") if "page" in candidates.columns else F.lit(0).alias("page")
+        told = told.join(candidates.select("paper_id", page, "listed"), "paper_id")
+        extra.append(F.concat(F.lit("Other papers:\n"), F.col("listed")))
     task, allowed = (ACROSS_TASK, ACROSS_TYPES) if across else (WITHIN_TASK, WITHIN_TYPES)
     asked = told.withColumn("reply", generate(section_prompt(*extra), task, providers, expect_json=True, pause=pause))
-    rows = asked.select("paper_id", "ord", F.posexplode(reply_items(F.col("reply"), "relations")).alias("pos", "item"))
+    rows = asked.select("paper_id", "ord", "page", F.posexplode(reply_items(F.col("reply"), "relations")).alias("pos", "item"))
+    if across:
+        onward = F.row_number().over(Window.partitionBy("paper_id", "ord").orderBy("page", "pos")) - 1
+        rows = rows.withColumn("pos", onward)
     source = F.nullif(_field("source"), F.lit(""))
     return rows.select(
         "paper_id", "ord", "pos", F.upper(_field("type")).alias("relation_type"),
@@ -183,30 +189,35 @@ def extract_relations(
     )
 
 
-def foreign_candidates(existing: DataFrame, own: DataFrame, cap: int = DEFAULTS.candidate_entities) -> DataFrame:
-    """(paper_id, offered array<struct<name,entity_type>>, listed): stored entities a paper does not name itself.
+def foreign_candidates(existing: DataFrame, own: DataFrame, per_prompt: int = DEFAULTS.candidate_entities) -> DataFrame:
+    """(paper_id, page, offered array<struct<name,entity_type>>, listed): all stored entities a paper does not name itself.
 
-    existing(node_id, name, entity_type); own(paper_id, name), with a null name
-    for papers that name nothing. The cap bounds
-    the prompt, so the list is a literal of that size and each paper's row
-    filters it; nothing is paired up.
+    existing(node_id, name, entity_type); own(paper_id, name), with a null name for
+    papers that name nothing. Entities are offered in order of node_id, at most
+    ``per_prompt`` a prompt: the batch's papers meet all entities page by page, and pages
+    of which nothing is left are not asked.
     """
-    first = existing.orderBy("node_id").limit(cap).select("name", "entity_type", norm_name(F.col("name")).alias("norm")).collect()
-    kind = "array<struct<name:string,entity_type:string,norm:string>>"
-    every = F.from_json(F.lit(json.dumps([r.asDict() for r in first])), kind)
+    named = existing.select("node_id", "name", "entity_type", norm_name(F.col("name")).alias("norm"))
+    numbered = row_numbers(named, [], [F.col("node_id"), F.col("name")], "_n")
+    one = F.struct("_n", "name", "entity_type", "norm")
+    pages = written(
+        numbered.groupBy(F.floor((F.col("_n") - 1) / per_prompt).cast("int").alias("page")).agg(F.array_sort(F.collect_list(one)).alias("every")),
+        "pages",
+    )
     mine = own.groupBy("paper_id").agg(F.collect_set(norm_name(F.col("name"))).alias("mine"))
+    asked = mine.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(pages.count()))))
     left = F.transform(
-        F.filter(every, lambda c: ~F.array_contains("mine", c["norm"])),
+        F.filter("every", lambda c: ~F.array_contains("mine", c["norm"])),
         lambda c: F.struct(c["name"].alias("name"), c["entity_type"].alias("entity_type")),
     )
     listed = F.array_join(F.transform("offered", lambda c: F.concat(F.lit("- "), c["name"], F.lit(" ("), c["entity_type"], F.lit(")"))), "\n")
-    return mine.select("paper_id", left.alias("offered")).filter(F.size("offered") > 0).withColumn("listed", listed)
+    return asked.join(pages, "page").select("paper_id", "page", left.alias("offered")).filter(F.size("offered") > 0).withColumn("listed", listed)
 
 
 def known_targets(relations: DataFrame, offered: DataFrame) -> DataFrame:
-    """Relations across papers whose target is exactly one of the offered names."""
-    names = F.transform("offered", lambda c: c["name"])
-    return relations.join(offered.select("paper_id", "offered"), "paper_id").filter(F.array_contains(names, F.col("target"))).drop("offered")
+    """Relations across papers whose target is exactly one of the names offered to the paper."""
+    names = offered.select("paper_id", F.explode("offered.name").alias("target")).distinct()
+    return relations.join(names, ["paper_id", "target"], "left_semi")
 
 
 def answer(

@@ -66,7 +66,7 @@ class Ledger:
         open_units = written(units.join(known.select("paper_id", "ord"), ["paper_id", "ord"], "left_anti"), f"open-{kind}")
         fresh = written(ask(open_units), kind)
         fields = [f for f in fresh.schema.fields if f.name not in ("paper_id", "ord")]
-        # a unit's rows are those of one reply
+        # a unit's rows are those of its replies
         packed = fresh.groupBy("paper_id", "ord").agg(F.to_json(F.collect_list(F.struct(*[f.name for f in fields]))).alias("data"))
         entries = open_units.select("paper_id", "ord").join(packed, ["paper_id", "ord"], "left").select(
             "paper_id", "ord", F.lit(kind).alias("kind"), F.coalesce("data", F.lit("[]")).alias("data"))

@@ -222,14 +222,41 @@ def introduces_grounded(spark, sf):
 
 
 @query("p15_p16_offered_candidates", """
-    WITH first AS (SELECT 'p:' || p_partkey AS node_id, p_name FROM part ORDER BY node_id LIMIT 500)
-    SELECT p_brand AS paper_id, count(*) AS offered FROM (SELECT DISTINCT p_brand FROM part), first
-    WHERE p_name NOT IN (SELECT x.p_name FROM part x WHERE x.p_brand = part.p_brand) GROUP BY p_brand""".replace("(SELECT DISTINCT p_brand FROM part), first", "(SELECT DISTINCT p_brand FROM part) AS part, first"))
+    SELECT p_brand AS paper_id, count(*) AS offered FROM (SELECT DISTINCT p_brand FROM part) AS part, (SELECT p_name FROM part) AS every
+    WHERE p_name NOT IN (SELECT x.p_name FROM part x WHERE x.p_brand = part.p_brand) GROUP BY p_brand""")
 def offered_candidates(spark, sf):
+    offered = extract.foreign_candidates(*_named_parts(spark, sf))
+    return offered.groupBy("paper_id").agg(F.sum(F.size("offered")).alias("offered"))
+
+
+def _named_parts(spark, sf):
+    """Parts as stored entities, and their names as what the paper of their brand names."""
     p = d.table(spark, sf, "part")
     existing = p.select(d._id("p", "p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.lit("Method").alias("entity_type"))
-    own = p.select(F.col("p_brand").alias("paper_id"), F.col("p_name").alias("name"))
-    return extract.foreign_candidates(existing, own).select("paper_id", F.size("offered").cast("long").alias("offered"))
+    return existing, p.select(F.col("p_brand").alias("paper_id"), F.col("p_name").alias("name"))
+
+
+def relating_model():
+    """A model that extends every third listed entity by the letters of its name, and one it was not offered."""
+    def complete(system, prompt):
+        listed = [line[2:].rpartition(" (")[0] for line in prompt.split("\n") if line.startswith("- ")]
+        chosen = [name for name in dict.fromkeys(listed) if len(name) % 3 == 0] + ["nothing of the kind"]
+        return json.dumps({"relations": [{"type": "EXTENDS", "source": "this", "target": name, "confidence": 0.9} for name in chosen]})
+
+    return complete
+
+
+@query("u3_relations_across_papers", """
+    SELECT p_brand AS paper_id, count(DISTINCT p_name) AS related FROM (SELECT DISTINCT p_brand FROM part) AS part, (SELECT p_name FROM part) AS every
+    WHERE length(p_name) % 3 = 0 AND p_name NOT IN (SELECT x.p_name FROM part x WHERE x.p_brand = part.p_brand) GROUP BY p_brand""")
+def relations_across_papers(spark, sf):
+    """Every brand as a paper of one section, asked about the names of all other brands."""
+    existing, own = _named_parts(spark, sf)
+    offered = written(extract.foreign_candidates(existing, own), "offered")
+    sections = own.select("paper_id").distinct().select("paper_id", F.lit(0).alias("ord"), F.lit("method").alias("name"), F.col("paper_id").alias("text"))
+    names = own.groupBy("paper_id").agg(F.array_sort(F.collect_set("name")).alias("names")).withColumn("ord", F.lit(0))
+    found = extract.extract_relations(sections, names, [relating_model], across=True, candidates=offered, pause=0)
+    return extract.known_targets(written(found, "across"), offered).groupBy("paper_id").agg(F.count_distinct("target").alias("related"))
 
 
 @query("u4_exact_resolution", """

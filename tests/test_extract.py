@@ -118,6 +118,31 @@ def test_relations_parse_defaults_and_extras(spark):
     assert ex.extract_relations(sections, names, [provider], across=True, candidates=other, pause=0).count() == 0
 
 
+def test_all_entities_are_offered_in_pages(spark):
+    existing = spark.createDataFrame([(f"n{i:02}", f"Net {i:02}", "Method") for i in range(10)] + [("n99", "NET 04", "Dataset")], "node_id string, name string, entity_type string")
+    own = spark.createDataFrame([("p", "net  03"), ("p", "Net 05"), ("q", None)], "paper_id string, name string")
+    pages = {(r.paper_id, r.page): [c.name for c in r.offered] for r in ex.foreign_candidates(existing, own, per_prompt=3).collect()}
+    nets = [f"Net {i:02}" for i in range(10)]
+    assert pages == {("p", 0): nets[:3], ("p", 1): nets[4:5], ("p", 2): nets[6:9], ("p", 3): [nets[9], "NET 04"],
+                     ("q", 0): nets[:3], ("q", 1): nets[3:6], ("q", 2): nets[6:9], ("q", 3): [nets[9], "NET 04"]}
+    assert ex.foreign_candidates(existing.limit(0), own).count() == 0
+
+    def provider():
+        def complete(system, prompt):
+            shown = [line[2:].rpartition(" (")[0] for line in prompt.split("\n") if line.startswith("- ")]
+            return json.dumps({"relations": [{"type": "EXTENDS", "source": "s", "target": x, "confidence": 1} for x in [*shown, "Net 05"]]})
+        return complete
+
+    sections = spark.createDataFrame([("p", 0, "method", "Text."), ("q", 1, "method", "Text.")], "paper_id string, ord int, name string, text string")
+    names = spark.createDataFrame([], "paper_id string, ord int, names array<string>")
+    offered = ex.foreign_candidates(existing, own, per_prompt=3)
+    rows = ex.extract_relations(sections, names, [provider], across=True, candidates=offered, pause=0)
+    assert [r.pos for r in rows.filter("paper_id = 'p'").orderBy("pos").collect()] == list(range(13))
+    known = [(r.paper_id, r.target) for r in ex.known_targets(rows, offered).orderBy("paper_id", "pos").collect()]
+    assert [t for p, t in known if p == "p"] == nets[:3] + nets[4:5] + nets[6:] + ["NET 04"]
+    assert len([t for p, t in known if p == "q"]) == 15
+
+
 def greedy(lengths, sim, floor):
     """Index-major double loop over all pairs."""
     gone = set()
