@@ -63,9 +63,10 @@ def split_sections(text: Column) -> Column:
     A heading is a line holding nothing but optional numbering and a known
     name. Text before the first heading is the "preamble", a repeated heading
     appends to its section, empty sections vanish. With at most one section
-    left the whole text is returned as "full_text", untouched.
+    left the whole text is returned as "full_text", untouched. The control
+    characters that mark headings here are dropped from other texts.
     """
-    lines = F.regexp_replace(text, _LINE_BREAKS, "\n")
+    lines = F.regexp_replace(F.translate(text, _HEAD + _BODY, ""), _LINE_BREAKS, "\n")
     lines = F.when(lines.endswith("\n"), lines).otherwise(F.concat(lines, F.lit("\n")))
     heading = (
         r"(?imd)^[^\S\n]*(?:[\divx]+[.\)][^\S\n]*)*(" + "|".join(SECTION_HEADERS) + r")[^\S\n]*\n"

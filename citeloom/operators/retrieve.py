@@ -28,6 +28,7 @@ class Corpus:
     chunk_vectors: DataFrame    # chunk_id, vector, paper_id, collection_id, section_name, text, page_number
     papers: DataFrame           # paper_id, title, ...
     dimension: int
+    links: DataFrame | None = None  # the edges as traverse.store_two_way keeps them
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,7 @@ def subgraphs(
     max_nodes: int | None = None, row_limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(edges, nodes) around the seeds: traverse, filter labels, scope to the collection, then cap."""
-    edges = traverse(corpus.edges, seeds, hops, rel_types, row_limit)
+    edges = traverse(corpus.edges, seeds, hops, rel_types, row_limit, links=corpus.links)
     if entity_types is not None:
         edges = written(filter_entity_types(edges, corpus.nodes, seeds, entity_types), "typed")
     edges, nodes = scope_to_collection(edges, corpus.nodes, queries)

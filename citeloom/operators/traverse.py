@@ -43,33 +43,51 @@ def both_ways(edges: DataFrame) -> DataFrame:
     )
 
 
-def frontier(edges: DataFrame, seeds: DataFrame, steps: int) -> DataFrame:
-    """All (query_id, node_id) within ``steps`` undirected hops of a seed.
+def two_way(edges: DataFrame) -> DataFrame:
+    """(node_id, other, src, dst, rel_type, conf): every edge under each of its ends, a loop once."""
+    conf = F.coalesce("confidence", F.lit(0.0)).alias("conf")
+    ends = F.explode(F.array_distinct(F.array("src", "dst"))).alias("node_id")
+    other = F.when(F.col("node_id") == F.col("src"), F.col("dst")).otherwise(F.col("src")).alias("other")
+    return edges.select(ends, *EDGE_KEY, conf).select("node_id", other, *EDGE_KEY, "conf")
 
-    Every frontier is written, so that the next join over the edges knows its
-    size: small ones are broadcast and the edges are only scanned, large ones
-    are shuffled with skewed keys split at run time.
+
+def store_two_way(edges: DataFrame, table: str, folder: str, buckets: int = 256) -> DataFrame:
+    """Stores the edges under both ends as a table bucketed by node; ``traverse`` then shuffles no edge.
+
+    The number of buckets is that of the tasks of a hop. An existing table is replaced.
+    """
+    rows = two_way(edges).repartition(buckets, "node_id")
+    rows.write.mode("overwrite").bucketBy(buckets, "node_id").sortBy("node_id").option("path", folder).saveAsTable(table)
+    return edges.sparkSession.table(table)
+
+
+def frontier(links: DataFrame, seeds: DataFrame, steps: int) -> DataFrame:
+    """All (query_id, node_id) within ``steps`` undirected hops of a seed, over links(node_id, other).
+
+    A hop joins only what the last one newly reached. Every part is written, so
+    that the next join over the edges knows its size: small ones are broadcast
+    and the edges are only scanned, large ones are shuffled with skewed keys
+    split at run time.
     """
     reached = seeds.select("query_id", "node_id").distinct()
-    links = both_ways(edges.select("src", "dst"))
+    if steps <= 0:
+        return reached
+    reached = fresh = written(reached, "frontier")
     for _ in range(steps):
-        nearby = reached.join(links, "node_id").select("query_id", F.col("other").alias("node_id"))
-        reached = written(reached.unionByName(nearby).distinct(), "frontier")
+        nearby = fresh.join(links.select("node_id", "other"), "node_id").select("query_id", F.col("other").alias("node_id")).distinct()
+        fresh = written(nearby.join(reached, ["query_id", "node_id"], "left_anti"), "frontier")
+        reached = reached.unionByName(fresh)
     return reached
 
 
-def incident(edges: DataFrame, reached: DataFrame) -> DataFrame:
+def incident(links: DataFrame, reached: DataFrame) -> DataFrame:
     """(query_id, edge) for edges with an end in the reached set; twice if both ends are."""
-    ends = edges.select(
-        F.explode(F.array_distinct(F.array("src", "dst"))).alias("node_id"),
-        *EDGE_KEY, F.coalesce("confidence", F.lit(0.0)).alias("conf"),
-    )
-    return ends.join(reached, "node_id").select("query_id", *EDGE_KEY, "conf")
+    return links.join(reached, "node_id").select("query_id", *EDGE_KEY, "conf")
 
 
 def traverse(
     edges: DataFrame, seeds: DataFrame, hops: int | None = None,
-    rel_types: list[str] | None = None, row_limit: int | None = None, salts: int = 16,
+    rel_types: list[str] | None = None, row_limit: int | None = None, salts: int = 16, links: DataFrame | None = None,
 ) -> DataFrame:
     """The edges on any trail of up to ``hops`` steps from a seed, best confidence first.
 
@@ -77,9 +95,9 @@ def traverse(
     steps of a seed, so frontier joins suffice. Result: (query_id, src, dst,
     rel_type, conf, ord), all rows or, if the request names a ``row_limit``, at most
     that many per query; an edge is met at most twice, so twice the limit is kept
-    until duplicates are gone.
+    until duplicates are gone. ``links`` are the edges as ``store_two_way`` keeps them.
     """
-    allowed = of_types(edges, rel_types)
+    allowed = of_types(two_way(edges) if links is None else links, rel_types)
     reached = frontier(allowed, seeds, effective_hops(hops) - 1)
     if row_limit is None:
         return written(row_numbers(incident(allowed, reached).distinct(), ["query_id"], by_confidence(), "ord"), "traversed")
@@ -153,16 +171,14 @@ def scope_to_collection(
             | ((F.col("label") == "Claim") & F.coalesce(~F.col("paper_kept"), F.lit(True)))
         ),
     )
-    flagged = written(
-        judged.withColumn("pruning", F.max("drop").over(Window.partitionBy("query_id")))
-        .filter(~F.col("drop")).select("query_id", "node_id", "node_ord", "label", "pruning"),
-        "in-scope",
-    )
+    judged = written(judged.select("query_id", "node_id", "node_ord", "label", "drop"), "judged")
+    pruned = judged.filter("drop").select("query_id").distinct().withColumn("pruning", F.lit(True))
+    flagged = judged.filter(~F.col("drop"))
     kept_edges = written(keep_between(edges, flagged.select("query_id", "node_id")), "scoped-edges")
     touched = subgraph_nodes(kept_edges).select("query_id", "node_id", F.lit(True).alias("touched"))
     kept_nodes = (
-        flagged.join(touched, ["query_id", "node_id"], "left")
-        .filter(~F.col("pruning") | F.col("touched") | (F.col("label") == "Paper"))
+        flagged.join(touched, ["query_id", "node_id"], "left").join(pruned, "query_id", "left")
+        .filter(F.col("pruning").isNull() | F.col("touched") | (F.col("label") == "Paper"))
         .select("query_id", "node_id", "node_ord")
     )
     return kept_edges, kept_nodes
@@ -180,14 +196,14 @@ def cap_nodes(
     """
     if max_nodes is None:
         return nodes.select("query_id", "node_id", "node_ord")
-    per_query = Window.partitionBy("query_id")
-    sized = nodes.withColumn("n_nodes", F.count("*").over(per_query))
-    small = sized.filter(F.col("n_nodes") <= max_nodes).select("query_id", "node_id", "node_ord")
-    large = sized.filter(F.col("n_nodes") > max_nodes).select("query_id").distinct()
+    per_query = nodes.groupBy("query_id").agg((F.count("*") > max_nodes).alias("over"))
+    large = per_query.filter("over").select("query_id")
+    small = nodes.join(large, "query_id", "left_anti").select("query_id", "node_id", "node_ord")
 
+    # an edge is a prefix's last only if its nodes are among the first ones, so no later node is placed
     seen = subgraph_nodes(edges.join(large, "query_id", "left_semi"))
     places = (
-        seen.withColumn("place", F.row_number().over(per_query.orderBy("node_ord")))
+        top_k_per_group(seen, ["query_id"], [F.col("node_ord")], max_nodes + 1, "place")
         .withColumn("edge_ord", F.floor(F.col("node_ord") / 2))
         .withColumn("needs", F.max("place").over(Window.partitionBy("query_id", "edge_ord")))
     )

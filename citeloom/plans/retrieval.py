@@ -14,8 +14,8 @@ from citeloom.operators.retrieve import (
 from citeloom.operators.seeds import resolve_seeds, seed_papers
 from citeloom.plans import domain as d
 from citeloom.plans.domain_sql import tok, using
-from citeloom.plans.registry import query
-from citeloom.runtime import written
+from citeloom.plans.registry import ORACLES, query
+from citeloom.runtime import scratch_folder, written
 
 # What the limited requests name; operators have no limits of their own.
 ROWS, NODES = 2000, 200
@@ -130,6 +130,12 @@ def traversal_whole(spark, sf):
     return traverse.traverse(d.corpus(spark, sf).edges, found(spark, sf).seeds)
 
 
+@query("g1_stored_adjacency", ORACLES["g1_traversal_whole"])
+def stored_adjacency(spark, sf):
+    links = traverse.store_two_way(d.corpus(spark, sf).edges, "citeloom_links", scratch_folder(spark, "links"), buckets=8)
+    return traverse.traverse(d.corpus(spark, sf).edges, found(spark, sf).seeds, links=links)
+
+
 @query("g4_distances_whole", using("reached") + """
     , own AS (SELECT DISTINCT query_id, src, dst FROM reached JOIN ends USING (node_id)),
     met AS (SELECT DISTINCT query_id, unnest([src, dst]) AS node_id FROM own),

@@ -24,6 +24,12 @@ def test_sections_fall_back_to_whole_text(spark):
     assert sections(spark, "abstract\nonly one") == [("full_text", "abstract\nonly one")]
 
 
+def test_sections_of_texts_with_control_characters_stay_whole(spark):
+    text = "a\x01b\x02c\nMethods\nd\x02e\x01f\nResults\ng\n"
+    got = spark.createDataFrame([(text,)], "text string").select(t.split_sections(F.col("text")).alias("s")).first().s
+    assert [(x.name, x.text.strip()) for x in got] == [("preamble", "abc"), ("methods", "def"), ("results", "g")]
+
+
 def test_sections_keep_blank_lines_between_repeats(spark):
     assert dict(sections(spark, "intro text\nmethod\nx\nmethod\nmethod\ny"))["method"] == "x\ny"
 

@@ -49,6 +49,24 @@ def test_traversal_equals_trail_enumeration(spark):
             assert got.get(q, set()) == expected, (q, hops)
 
 
+def test_a_stored_adjacency_gives_the_same_edges_and_is_never_shuffled(spark, tmp_path):
+    rows = [(f"{q}{a}", f"{q}{b}", t, 0.5) for q in range(6) for a, b, t in random_graph(q)]
+    edges = spark.createDataFrame(rows, "src string, dst string, rel_type string, confidence double")
+    seeds = spark.createDataFrame([(q, f"{q}n0") for q in range(6)], "query_id long, node_id string")
+    links = tr.store_two_way(edges, "links_of_a_test", str(tmp_path / "links"), buckets=4)
+    for kinds in (None, ["EXTENDS", "OUTPERFORMS"]):
+        plain, stored = (sorted(map(tuple, tr.traverse(edges, seeds, 3, kinds, links=x).collect())) for x in (None, links))
+        assert plain == stored and plain
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tr.incident(links, seeds)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE links_of_a_test")
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan
+
+
 def test_row_limit_keeps_best_confidence_per_query(spark):
     edges = spark.createDataFrame([("s", f"x{i}", "EXTENDS", i / 100) for i in range(50)] + [("s", "none", "EXTENDS", None)],
                                   "src string, dst string, rel_type string, confidence double")
