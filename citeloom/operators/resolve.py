@@ -86,12 +86,19 @@ def _indexed_segments(names: DataFrame, name: str, floor: float) -> DataFrame:
 def _probed_segments(names: DataFrame, name: str, floor: float) -> DataFrame:
     """Substrings of a name where a partner's segments may lie: (entity_type, name, own, other, i, segment).
 
-    ``k`` edits move an untouched segment by at most k places.
+    Of k + 1 segments and at most ``k`` insertions and deletions, take the first
+    segment up to whose end there are fewer edits than segments. It is untouched, exactly i
+    edits lie before it and at most k - i behind. So it has moved by -i, -i + 2, ... or
+    i places, and by no more than k - i from where it lies counted from the end: about
+    k * k / 4 substrings for a pair of lengths.
     """
     def places(i: Column) -> Column:
         start, size = _segment(F.col("own"), F.col("k") + 1, i)
-        first, last = F.greatest(F.lit(0), start - F.col("k")), F.least(F.col("other") - size, start + F.col("k"))
-        at = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        longer, behind = F.col("other") - F.col("own"), F.col("k") - i
+        low = F.greatest(-i, longer - behind, -start)
+        low = low + F.pmod(i - low, F.lit(2))  # an edit moves what follows by one place
+        high = F.least(i, longer + behind, F.col("other") - size - start)
+        at = F.when(high >= low, F.sequence(start + low, start + high, F.lit(2))).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda p: F.struct(i.alias("i"), F.substring(F.col(name), p + 1, size).alias("segment")))
 
     # own is the partner's length here, as in the index

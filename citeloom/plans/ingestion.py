@@ -17,6 +17,7 @@ from citeloom.plans.registry import query
 from citeloom.plans.text import documents
 from citeloom.runtime import scratch_folder, spread, written
 from citeloom.functions.text import split_sentences
+from citeloom.settings import DEFAULTS
 from citeloom.sources import checkpoints, feeds, files
 from citeloom.streaming import jobs
 
@@ -259,6 +260,29 @@ def relations_across_papers(spark, sf):
     return extract.known_targets(written(found, "across"), offered).groupBy("paper_id").agg(F.count_distinct("target").alias("related"))
 
 
+@query("j9_close_names", f"""
+    WITH keys AS (SELECT p_partkey, md5(CAST(p_partkey AS VARCHAR)) AS b, CAST(p_partkey % 7 AS INTEGER) AS d FROM part),
+    changed AS (SELECT b, d, p_partkey % 4 < 2 AS swapped, CASE p_partkey % 4 WHEN 0 THEN repeat('z', d) || substr(b, d + 1)
+                WHEN 1 THEN substr(b, 1, 16 - d) || repeat('z', d) || substr(b, 17) WHEN 2 THEN repeat('z', d) || b
+                ELSE substr(b, 1, 16) || repeat('z', d) || substr(b, 17) END AS a FROM keys WHERE d > 0)
+    SELECT a, b, round(CASE WHEN swapped THEN (32 - d) / CAST(32 AS DOUBLE) ELSE 64 / CAST(64 + d AS DOUBLE) END, 9) AS score FROM changed
+    WHERE CASE WHEN swapped THEN (32 - d) / CAST(32 AS DOUBLE) ELSE 64 / CAST(64 + d AS DOUBLE) END > {DEFAULTS.fuzzy_threshold}""")
+def close_names(spark, sf):
+    """Digests of part keys against themselves with letters put in or in place of others, whose ratio is known."""
+    keys = d.table(spark, sf, "part").select("p_partkey", F.md5(F.col("p_partkey").cast("string")).alias("b"), (F.col("p_partkey") % 7).cast("int").alias("d"))
+    head, letters, tail = F.substring("b", 1, 16), F.repeat(F.lit("z"), F.col("d")), F.substring("b", 17, 16)
+    shape = F.col("p_partkey") % 4
+    changed = (
+        F.when(shape == 0, F.concat(letters, F.substring(F.col("b"), F.col("d") + 1, F.lit(32))))
+        .when(shape == 1, F.concat(F.substring(F.col("b"), F.lit(1), 16 - F.col("d")), letters, tail))
+        .when(shape == 2, F.concat(letters, F.col("b"))).otherwise(F.concat(head, letters, tail))
+    )
+    method = F.lit("Method").alias("entity_type")
+    new = keys.filter("d > 0").select(method, changed.alias("norm"), changed.alias("name"))
+    known = keys.select(method, F.col("b").alias("norm"), F.col("b").alias("name"))
+    return resolve.name_pairs(new, known).select("a", "b", F.round("score", 9).alias("score"))
+
+
 @query("u4_exact_resolution", """
     SELECT lower(p_name) AS norm, count(*) AS mentions, min(p_partkey) AS seq FROM part GROUP BY 1""")
 def exact_resolution(spark, sf):

@@ -52,6 +52,37 @@ def test_name_pairs_equal_all_pairs(spark):
     assert len([s for s in want.values() if s < 1]) > 10
 
 
+def test_name_pairs_with_many_edits_anywhere(spark):
+    rng = random.Random(8)
+    known = ["".join(rng.choices("abcdef", k=rng.randint(18, 60))) for _ in range(60)]
+
+    def edited(name):
+        letters = list(name)
+        for _ in range(rng.randint(1, max(1, len(name) // 8))):
+            at = rng.randrange(len(letters))
+            rng.choice([lambda: letters.pop(at), lambda: letters.insert(at, "x"), lambda: letters.__setitem__(at, "y")])()
+        return "".join(letters)
+
+    new = sorted({edited(k) for k in known for _ in range(3)})
+    known = sorted(set(known))
+
+    def frame(xs):
+        return spark.createDataFrame([("Method", x, x) for x in xs], "entity_type string, norm string, name string")
+
+    for floor in (0.6, 0.85):
+        got = {(r.a, r.b) for r in rs.name_pairs(frame(new), frame(known), floor).collect()}
+        assert got == {(a, b) for a in new for b in known if a != b and similarity(a, b) > floor}
+        assert len(got) > 100
+
+
+def test_probes_of_a_name_are_a_quarter_of_the_squared_edits(spark):
+    for size in (20, 80, 120):
+        name = "".join(chr(0x4E00 + i) for i in range(size))  # no two substrings are equal
+        probes = rs._probed_segments(spark.createDataFrame([("Method", name)], "entity_type string, a string"), "a", 0.85)
+        edits = probes.select("own", "other").distinct().select(rs.most_edits(F.col("own") + F.col("other"), 0.85).alias("k")).collect()
+        assert 0 < probes.count() <= sum((r.k + 2) ** 2 / 4 for r in edits)
+
+
 def test_name_pairs_stay_within_a_type(spark):
     a = spark.createDataFrame([("Method", "bert-base", "bert-base")], "entity_type string, norm string, name string")
     b = spark.createDataFrame([("Dataset", "bert", "bert")], "entity_type string, norm string, name string")
