@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.runtime import early_cut, row_numbers, top_k_per_group, written
+from citeloom.runtime import row_numbers, top_k_per_group, written
 from citeloom.settings import RELATION_TYPES, effective_hops
 
 EDGE_KEY = ["src", "dst", "rel_type"]
@@ -104,8 +104,7 @@ def traverse(
     met = top_k_per_group(
         incident(allowed, reached), ["query_id"], by_confidence(), 2 * row_limit, "_met", salts
     ).drop("_met")
-    with early_cut(edges.sparkSession, 2 * row_limit):
-        return written(top_k_per_group(met.distinct(), ["query_id"], by_confidence(), row_limit, "ord"), "traversed")
+    return written(top_k_per_group(met.distinct(), ["query_id"], by_confidence(), row_limit, "ord"), "traversed")
 
 
 def subgraph_nodes(edges: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +21,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cit
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "100000")  # limits per group are cut before the shuffle
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -87,22 +87,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-@contextmanager
-def early_cut(spark: SparkSession, k: int):
-    """Let row limits of up to ``k`` per group be cut before the shuffle while plans run inside.
-
-    The optimizer does so by itself only for limits up to a session threshold.
-    """
-    name = "spark.sql.optimizer.windowGroupLimitThreshold"
-    before = spark.conf.get(name)
-    if 0 <= int(before) < k:
-        spark.conf.set(name, str(k))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 _SCRATCH: dict[str, str] = {}
 
 
