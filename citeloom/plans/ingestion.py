@@ -162,6 +162,32 @@ def claim_dedup(spark, sf):
     return extract.dedupe_claims(claims.withColumn("vector", embed(F.col("text"), 64)))
 
 
+@query("u5_claim_order", f"""
+    WITH RECURSIVE claims AS (
+        SELECT vec_id % 40 AS paper_id, vec_id AS seq, repeat('x', CAST(vec_id // 40 % 9 AS INTEGER)) || ':' || vec_id // 40 % 80 AS text,
+               [CAST(x AS DOUBLE) FOR x IN embedding[1:3]] AS v FROM embeddings
+        QUALIFY row_number() OVER (PARTITION BY vec_id % 40, vec_id // 40 % 9, vec_id // 40 % 80 ORDER BY vec_id) = 1),
+    packed AS (SELECT paper_id, list(seq ORDER BY seq) AS seqs, list(length(text) ORDER BY seq) AS sizes, list(v ORDER BY seq) AS vs FROM claims GROUP BY paper_id),
+    pass AS (
+        SELECT paper_id, 0 AS j, CAST([] AS BIGINT[]) AS actors, CAST([] AS BIGINT[]) AS dead FROM packed
+        UNION ALL
+        SELECT paper_id, j, CASE WHEN stop IS NULL THEN list_append(actors, j) ELSE actors END,
+               list_concat(dead, list_filter(near, lambda i: stop IS NULL OR i < stop))
+        FROM (SELECT *, list_filter(near, lambda i: sizes[i] >= sizes[j])[1] AS stop
+              FROM (SELECT s.paper_id, s.j + 1 AS j, s.actors, s.dead, p.sizes,
+                           list_filter(s.actors, lambda i: round(list_cosine_similarity(p.vs[i], p.vs[s.j + 1]), 9) > {DEFAULTS.claim_duplicate_threshold}) AS near
+                    FROM pass s JOIN packed p USING (paper_id) WHERE s.j < len(p.seqs)))),
+    ended AS (SELECT p.seqs, s.actors, s.dead FROM pass s JOIN packed p USING (paper_id) WHERE s.j = len(p.seqs))
+    SELECT seqs[i] AS seq FROM (SELECT seqs, dead, unnest(actors) AS i FROM ended) WHERE NOT list_contains(dead, i)""")
+def claim_order(spark, sf):
+    """Vectors as claims of 40 papers, near each other in three dimensions; some claims repeat."""
+    turn = F.floor(F.col("vec_id") / 40)
+    text = F.concat(F.repeat(F.lit("x"), (turn % 9).cast("int")), F.lit(":"), (turn % 80).cast("string"))
+    claims = d.table(spark, sf, "embeddings").select(
+        (F.col("vec_id") % 40).alias("paper_id"), F.col("vec_id").alias("seq"), text.alias("text"), F.slice("embedding", 1, 3).alias("vector"))
+    return extract.dedupe_claims(claims).select("seq")
+
+
 def _written_relations(spark, sf):
     """Lines as extracted relations; type by flag, some with a target of the wrong label."""
     li = d.table(spark, sf, "lineitem")
