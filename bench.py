@@ -18,7 +18,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 
 # the questions of the batch are one per vector label
 PLANS = [
-    "v3_cosine_search", "g1_traversal", "a1_node_counts", "a2_edge_counts", "a4_usage_counts", "j1_paper_entities",
+    "v3_cosine_search", "g1_traversal", "g1_traversal_whole", "a1_node_counts", "a2_edge_counts", "a4_usage_counts", "j1_paper_entities",
     "f13_f14_chunks", "f7_unsectioned", "x1_search_nodes", "k4_node_merge", "k5_edge_merge", "k15_delete_cascade_nodes",
     "u5_claim_dedup", "u4_entity_resolution", "p23_without_conflicts", "a8_eval_summary", "a9_recall", "r5_recent_requests",
     "r1_stream_ingest",
