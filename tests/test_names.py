@@ -72,3 +72,16 @@ def test_ratio_argument_order_is_kept(spark):
     pairs = [("".join(random.choices("abcd ", k=9)), "".join(random.choices("abcd ", k=9))) for _ in range(40)]
     rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", n.normalised_ratio("a", "b").alias("r")).collect()
     assert all(r.r == SequenceMatcher(None, r.a, r.b).ratio() for r in rows)
+
+
+def test_signatures_differ_by_no_more_than_the_edits(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab09-é\U0001F600") for _ in range(rng.randrange(1, 30))) for _ in range(80)] + ["aaaaaaaaaaaaaaaaaaaa", "p0p0"]
+    pairs = [(a, b, len(a) + len(b) - 2 * lcs(a, b)) for a in texts[:40] for b in texts[40:]]
+    rows = spark.createDataFrame(pairs, "a string, b string, edits int").select(
+        "a", "b", "edits", n.signature_distance(n.letter_signature(F.col("a")), n.letter_signature(F.col("b"))).alias("bits"),
+        n.ratio_above(F.col("a"), F.col("b"), 0.6).alias("score")).collect()
+    assert all(r.bits <= r.edits for r in rows) and any(0 < r.bits for r in rows)
+    for r in rows:
+        ratio = SequenceMatcher(None, r.a, r.b).ratio()
+        assert r.score == (ratio if ratio > 0.6 else 0.0)

@@ -4,6 +4,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from citeloom.operators import resolve as rs
+from citeloom.runtime import written
 
 
 def norm(s):
@@ -196,3 +197,22 @@ def test_rounds_grow_with_the_logarithm_of_the_shortlist(spark):
     got = first_confirmed(pairs, confirm, [F.desc("score")])
     assert {(r.a, r.node_id) for r in got.collect()} == {("x", "m5"), ("y", "m5")}
     assert asked == [2, 3, 4]  # ranks 1, 2 to 3, 4 to 7; the rest is never asked about
+
+
+def test_name_keys_are_not_broadcast_and_unlike_letters_not_compared(spark, monkeypatch):
+    rng = random.Random(9)
+    names = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(600)]
+    frame = spark.createDataFrame([("Method", x, x) for x in names], "entity_type string, norm string, name string")
+    plans = []
+
+    def seen(df, name):
+        stored = written(df, name)
+        if name == "name-pairs":
+            plans.append((df._jdf.queryExecution().sparkPlan().toString(), stored.count()))
+        return stored
+
+    monkeypatch.setattr(rs, "written", seen)
+    changed = frame.select("entity_type", *[F.concat(F.lit("z"), F.substring(c, 2, 31)).alias(c) for c in ("norm", "name")])
+    assert rs.name_pairs(changed, frame).count() == 600
+    [(plan, candidates)] = plans
+    assert plan.count("SortMergeJoin") >= 3 and candidates < 700
