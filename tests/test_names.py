@@ -85,3 +85,20 @@ def test_signatures_differ_by_no_more_than_the_edits(spark):
     for r in rows:
         ratio = SequenceMatcher(None, r.a, r.b).ratio()
         assert r.score == (ratio if ratio > 0.6 else 0.0)
+
+
+@given(st.text("abc ", max_size=12), st.text("abcdé ", max_size=40), st.sampled_from((20.0, 40.0, 70.0, 90.0)))
+@settings(max_examples=300, deadline=None)
+def test_window_floor_matches_all_windows(a, b, floor):
+    if a and b:
+        assert (n.best_window_ratio(a, b, floor, floor) >= floor) == (windows(a, b) >= floor)
+
+
+def test_windows_far_below_the_floor_are_not_all_compared(monkeypatch):
+    calls, whole = [], n._whole_lcs
+    monkeypatch.setattr(n, "_whole_lcs", lambda *args: calls.append(1) or whole(*args))
+    rng = random.Random(2)
+    short = "".join(rng.choice("abcdefghij ") for _ in range(600))
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz" * 3 + " ") for _ in range(6000))
+    assert n.best_window_ratio(short, long, 40.0, 40.0) < 40.0
+    assert 0 < len(calls) < 200  # of 5401 windows of full length
