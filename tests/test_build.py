@@ -61,3 +61,31 @@ def test_batch_from_papers_to_graph(spark):
     again = build_graph(papers, got, out["nodes"], out["edges"].select("src", "dst", "rel_type", *EDGE_FIELDS, "occurrence_count"), dimension=16)
     assert {r.node_id for r in again["nodes"].collect()} == set(nodes)
     assert {(r.src, r.dst, r.rel_type): r.occurrence_count for r in again["edges"].collect()} == {k: 2 * r.occurrence_count for k, r in e.items()}
+
+
+def test_whole_graph_looks_up_ends_once_and_drops_edges_without_nodes(spark, monkeypatch):
+    from citeloom.operators import browse
+
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string")
+    edges = spark.createDataFrame([("a", "b", "X"), ("a", "z", "X"), ("y", "b", "X"), (None, "b", "X"), ("c", "c", "Y")], "src string, dst string, rel_type string")
+    stored, looked_up = [], browse.written
+    monkeypatch.setattr(browse, "written", lambda df, name: stored.append(name) or looked_up(df, name))
+    assert sorted(tuple(r) for r in browse.whole_graph(nodes, edges)[1].select("src", "dst", "rel_type").collect()) == [("a", "b", "X"), ("c", "c", "Y")]
+    assert stored == ["unknown-ends"]
+
+
+def test_stored_graph_builds_only_what_is_read(spark, monkeypatch):
+    from citeloom.plans import domain
+
+    built = []
+    monkeypatch.setattr(domain, "written", lambda df, name: built.append(name) or df)
+    stored = domain.Stored(spark, "/root/testdata/sf0.001")
+    assert stored.nodes is stored.nodes and built == ["nodes"]
+
+
+def test_writes_are_grouped_without_combining_them_in_the_input_tasks(spark):
+    from citeloom.plans import domain
+
+    rows = domain.raw_relations(spark, "/root/testdata/sf0.001")
+    planned = rows.groupBy("src", "dst", "rel_type").count()._jdf.queryExecution().executedPlan().toString()
+    assert planned.count("Exchange") == 1
