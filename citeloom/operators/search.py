@@ -55,25 +55,47 @@ def search(
         .groupBy("label", "node_id", "n_words", "term").agg(F.count("*").alias("tf")),
         "postings",
     )
-    spread = postings.groupBy("label", "term").agg(F.count("*").alias("df"))
+    # a row per asked word: the postings are never joined on their label alone
+    facts = written(postings.groupBy("label", "term").agg(F.count("*").alias("df")).join(sizes, "label"), "facts")
     hits = postings if within is None else postings.join(within.select("node_id"), "node_id", "left_semi")
     added = weight(F.col("tf"), F.col("n_words"), F.col("df"))
-    weighted = written(
-        hits.join(spread, ["label", "term"]).join(sizes, "label").select("label", "node_id", "term", added.alias("w")),
-        "weighted",
-    )
-    chosen = _candidates(weighted, asked, limit)
+    weighted = written(hits.join(facts, ["label", "term"]).select("label", "node_id", "term", added.alias("w")), "weighted")
+    best = written(weighted.groupBy("label", "term").agg(F.max("w").alias("best"), F.count("*").alias("held")), "best")
+    same = alike(asked, best)
+    chosen = _candidates(weighted, asked, best, same, limit)
     scored = (
         chosen.join(weighted, ["label", "node_id"]).join(asked, ["query_id", "term"])
         .groupBy("query_id", "label", "node_id").agg(F.round(F.sum("w"), 6).alias("score"))
     )
     order = [F.desc("score"), F.col("node_id")]
     per_label = top_k_per_group(scored, ["query_id", "label"], order, limit, "_in_label").drop("_in_label")
-    return top_k_per_group(per_label, ["query_id"], order, limit, "rank")
+    return top_k_per_group(for_all(per_label, same), ["query_id"], order, limit, "rank")
+
+
+def alike(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(query_id, label, leader): queries that ask a label for the same words it holds share one ranking.
+
+    asked(query_id, term), held(label, term). However many queries share common words,
+    the nodes that hold them are paired with one query of each kind.
+    """
+    asking = asked.filter(F.col("query_id").isNotNull()).join(held.select("label", "term"), "term")
+    words = asking.groupBy("query_id", "label").agg(F.sort_array(F.collect_list("term")).alias("words"))
+    leaders = words.groupBy("label", "words").agg(F.min("query_id").alias("leader"))
+    return written(words.join(leaders, ["label", "words"]).select("query_id", "label", "leader"), "alike")
 
 
-def _candidates(weighted: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
-    """(query_id, label, node_id) that can still reach the top ``limit`` of their label.
+def leading(same: DataFrame) -> DataFrame:
+    return same.filter(F.col("query_id") == F.col("leader")).select("query_id", "label")
+
+
+def for_all(per_label: DataFrame, same: DataFrame) -> DataFrame:
+    """The rankings of the leading queries for every query."""
+    return same.join(per_label.withColumnRenamed("query_id", "leader"), ["leader", "label"]).select(
+        "query_id", "label", "node_id", "score")
+
+
+def _candidates(weighted: DataFrame, asked: DataFrame, best: DataFrame, same: DataFrame, limit: int) -> DataFrame:
+    """(query_id, label, node_id) of leading queries that can still reach the top ``limit`` of their label.
 
     A query's terms are ordered by the best weight they give any node. The
     first ones, up to one that ``limit`` nodes hold, give every query a score
@@ -81,9 +103,8 @@ def _candidates(weighted: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     weights together stay below that score are out, so common words never
     pair a query with all nodes.
     """
-    best = weighted.groupBy("label", "term").agg(F.max("w").alias("best"), F.count("*").alias("held"))
     by_best = Window.partitionBy("query_id", "label").orderBy(F.desc("best"), "term")
-    terms_of = asked.join(best, "term").select(
+    terms_of = asked.join(best, "term").join(leading(same), ["query_id", "label"], "left_semi").select(
         "query_id", "label", "term",
         F.sum("best").over(by_best.rowsBetween(0, Window.unboundedFollowing)).alias("still_possible"),
         F.coalesce(
@@ -99,10 +120,10 @@ def _candidates(weighted: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
         top_k_per_group(probed, ["query_id", "label"], [F.desc("part"), F.col("node_id")], limit, "_place")
         .filter(F.col("_place") == limit).select("query_id", "label", F.col("part").alias("reached"))
     )
-    deciding = terms_of.join(reached, ["query_id", "label"], "left").filter(
+    deciding = written(terms_of.join(reached, ["query_id", "label"], "left").filter(
         F.col("still_possible") >= F.coalesce("reached", F.lit(0.0)) - SLACK
-    )
-    return deciding.select("query_id", "label", "term").join(weighted, ["label", "term"]).select(
+    ).select("query_id", "label", "term"), "deciding")
+    return deciding.join(weighted, ["label", "term"]).select(
         "query_id", "label", "node_id").distinct()
 
 

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.operators.search import search, searchable
+from citeloom.operators.search import alike, search, searchable
 from citeloom.sources import checkpoints, feeds, files
 from citeloom.streaming import jobs
 
@@ -185,3 +185,19 @@ def test_job_states(spark):
     assert all(r[0] == r[1] for r in df.select(jobs.valid_transition(F.col("a"), F.col("b")), "ok").collect())
     o = spark.createDataFrame([(True, True), (True, False), (False, False)], "p boolean, e boolean").select(jobs.outcome(F.col("p"), F.col("e")).alias("o")).collect()
     assert [tuple(r.o) for r in o] == [("completed", "completed", True), ("completed", "failed", True), ("failed", "failed", False)]
+
+
+def test_queries_of_the_same_words_share_one_ranking(spark):
+    rng = random.Random(12)
+    words = ["the"] * 9 + ["of"] * 4 + ["net", "deep", "graph"]
+    texts = [(f"n{i:04}", rng.choice(["Paper", "Method"]), " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(400)]
+    asked = [(q, ("the net", "Net the unseen", "of deep", "graph")[q % 4]) for q in range(40)]
+    frame, queries = spark.createDataFrame(texts, "node_id string, label string, text string"), spark.createDataFrame(asked, "query_id int, text string")
+    got = collections.defaultdict(list)
+    for r in search(frame, queries, 10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.node_id)
+    for q, text in asked:
+        assert got[q] == bm25(texts, text, 10), q
+    terms = queries.selectExpr("query_id", "explode(split(lower(text), ' ')) AS term")
+    held = frame.selectExpr("label", "explode(split(text, ' ')) AS term").filter("term <> ''").distinct()
+    assert {r.leader for r in alike(terms, held).collect()} == {0, 2, 3}
