@@ -67,6 +67,15 @@ def test_a_stored_adjacency_gives_the_same_edges_and_is_never_shuffled(spark, tm
     assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan
 
 
+def test_an_adjacency_row_names_each_node_once(spark, tmp_path):
+    edges = spark.createDataFrame([("a", "b", "EXTENDS", 0.5), ("c", "c", "EXTENDS", None)], "src string, dst string, rel_type string, confidence double")
+    links = tr.store_two_way(edges, "narrow_links_of_a_test", str(tmp_path / "narrow"), buckets=2)
+    try:
+        assert sorted(map(tuple, links.collect())) == [("a", "b", True, "EXTENDS", 0.5), ("b", "a", False, "EXTENDS", 0.5), ("c", "c", True, "EXTENDS", 0.0)]
+    finally:
+        spark.sql("DROP TABLE narrow_links_of_a_test")
+
+
 def test_row_limit_keeps_best_confidence_per_query(spark):
     edges = spark.createDataFrame([("s", f"x{i}", "EXTENDS", i / 100) for i in range(50)] + [("s", "none", "EXTENDS", None)],
                                   "src string, dst string, rel_type string, confidence double")
