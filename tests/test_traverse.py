@@ -67,6 +67,20 @@ def test_a_stored_adjacency_gives_the_same_edges_and_is_never_shuffled(spark, tm
     assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan
 
 
+def test_a_limit_is_cut_in_every_task_whatever_the_settings(spark):
+    rng = random.Random(4)
+    rows = [(f"q{rng.randrange(3)}", f"s{rng.randrange(400):03}", f"d{i}", "EXTENDS", rng.choice([0.0, 0.5, 0.9, 0.9, float("nan")] if i % 50 == 0 else [0.0, 0.5, 0.9]))
+            for i in range(130_000)]
+    met = spark.createDataFrame(rows, "query_id string, src string, dst string, rel_type string, conf double").coalesce(1)
+    got = [tuple(r) for r in tr.best_of_tasks(met, 40).collect()]
+    nan = [r for r in rows if r[4] != r[4]]
+    assert len([r for r in got if r[4] != r[4]]) == len(nan)
+    for q in ("q0", "q1", "q2"):
+        own = sorted((r for r in rows if r[0] == q and r[4] == r[4]), key=lambda r: (-r[4], *r[1:4]))
+        assert sorted((r for r in got if r[0] == q and r[4] == r[4]), key=lambda r: (-r[4], *r[1:4])) == own[:40]
+    assert tr.best_of_tasks(met.limit(0), 40).count() == 0
+
+
 def test_an_adjacency_row_names_each_node_once(spark, tmp_path):
     edges = spark.createDataFrame([("a", "b", "EXTENDS", 0.5), ("c", "c", "EXTENDS", None)], "src string, dst string, rel_type string, confidence double")
     links = tr.store_two_way(edges, "narrow_links_of_a_test", str(tmp_path / "narrow"), buckets=2)
