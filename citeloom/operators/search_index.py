@@ -9,17 +9,20 @@ get from the word, whatever the statistics are by then.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.operators.search import K1, B, SLACK, terms, weight
+from citeloom.operators.search import K1, B, SLACK, alike, for_all, leading, terms, weight
 from citeloom.runtime import top_k_per_group, written
 from citeloom.settings import DEFAULTS, SEARCH_LABELS
 from citeloom.sources.snapshots import Change, Snapshots, Table
 
 SHARDS = 64
-BLOCK = 128         # postings a block holds on average
+BLOCK = 128         # postings a block holds at most
 LEVELS = 16         # of weight that are told apart in blocks
 USUAL_WORDS = 64.0  # length the levels refer to; they only group what is alike
 PUSHED_TERMS = 500  # as many words are handed to the scan, more are joined
@@ -31,16 +34,25 @@ INDEX_TABLES = {
     "blocks": Table(
         T.StructType().add("shard", _INT).add("label", _STR).add("term", _STR).add("held", _LONG).add("top_tf", _LONG)
         .add("low_words", _INT).add("postings", T.ArrayType(POSTING)),
-        ("shard",), order=("label", "term"),
+        ("shard",), order=("label", "term"), dealt=True,
     ),
 }
-POSTING_COLUMNS = ["shard", "label", "term", "node_id", "tf", "n_words"]
+COUNTS = T.ArrayType(T.StructType().add("term", _STR).add("tf", _LONG))
+GROUP = ["shard", "label", "term", "level"]
 
 
 def _shard() -> Column:
     return F.pmod(F.hash("node_id"), F.lit(SHARDS))
 
 
+def _counts() -> tuple[Column, Column]:
+    """``firsts`` and (term, tf) of every distinct word of the sorted ``words``, from the places where the word changes."""
+    firsts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: (i == 1) | (F.get("words", i - 1) != F.get("words", i - 2)))
+    upto = F.transform("firsts", lambda p, i: F.struct(
+        F.get("words", p - 1).alias("term"), (F.coalesce(F.get("firsts", i + 1), F.col("n_words") + 1) - p).cast("long").alias("tf")))
+    return firsts, upto
+
+
 def index_texts(change: Change, texts: DataFrame) -> Change:
     """Stages texts(node_id, label, text): new nodes enter the index, known ones are indexed anew.
 
@@ -48,21 +60,19 @@ def index_texts(change: Change, texts: DataFrame) -> Change:
     statistics of its label. Further columns are ignored.
     """
     words = written(
-        texts.select("node_id", "label", terms(F.col("text")).alias("words")).select("*", F.size("words").alias("n_words")), "words"
+        texts.select(_shard().alias("shard"), "label", "node_id", F.sort_array(terms(F.col("text"))).alias("words"))
+        .select("*", F.size("words").alias("n_words")), "words",
     )
-    # an outer explode leaves one row without a word, which still replaces what was stored
-    counted = words.select("node_id", "label", "n_words", F.explode_outer("words").alias("term")).groupBy(
-        "node_id", "label", "n_words", "term").agg(F.count("*").alias("tf"))
     change.upsert("lengths", words.select("node_id", "label", "n_words"))
-    return change.merge("blocks", counted.withColumn("shard", _shard()).select(*POSTING_COLUMNS), _replaced)
+    return change.merge("blocks", words, _replaced, stored=True)
 
 
 def unindex(change: Change, gone: DataFrame) -> Change:
     """Stages the removal of the nodes gone(node_id)."""
-    none = {"label": _STR, "term": _STR, "tf": _LONG, "n_words": _INT}
+    none = {"label": _STR, "words": T.ArrayType(_STR), "n_words": _INT}
     rows = gone.select("node_id").distinct().withColumn("shard", _shard()).withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
     change.delete("lengths", gone)
-    return change.merge("blocks", rows.select(*POSTING_COLUMNS), _replaced)
+    return change.merge("blocks", rows, _replaced)
 
 
 def _opened(blocks: DataFrame) -> DataFrame:
@@ -70,22 +80,76 @@ def _opened(blocks: DataFrame) -> DataFrame:
     return blocks.select(*kept, F.inline("postings"))
 
 
-def _replaced(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Blocks of the stored postings without those of incoming nodes, and of the incoming ones."""
-    left = _opened(stored.select("shard", "label", "term", "postings")).join(incoming.select("node_id").distinct(), "node_id", "left_anti")
-    postings = written(
-        left.select(*POSTING_COLUMNS).unionByName(incoming.filter(F.col("term").isNotNull()))
-        .withColumn("level", F.floor(LEVELS * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / USUAL_WORDS)))),
-        "new-postings",
-    )
-    # slices of a level by the node's hash, so that no word is sorted or collected as a whole
-    group = ["shard", "label", "term", "level"]
-    slices = postings.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).alias("slices"))
-    sliced = postings.join(slices, group).withColumn("slice", F.pmod(F.xxhash64("node_id"), F.col("slices")))
-    return sliced.groupBy(*group, "slice").agg(
-        F.count("*").alias("held"), F.max("tf").alias("top_tf"), F.min("n_words").alias("low_words"),
-        F.collect_list(F.struct(*[F.col(f.name) for f in POSTING.fields])).alias("postings"),
-    )
+def _counted(words: DataFrame) -> DataFrame:
+    """A posting for every distinct word of a node; words are sorted, so a row is counted by itself."""
+    firsts, counts = _counts()
+    found = words.filter(F.size("words") > 0).withColumn("firsts", firsts).withColumn("counts", counts)
+    return found.select("shard", "label", "node_id", "n_words", F.inline("counts"))
+
+
+def _replaced(stored: DataFrame, incoming: DataFrame, bucket: Column, slices: int) -> DataFrame:
+    """Blocks of the stored postings without those of incoming nodes, and of the incoming ones, dealt by bucket.
+
+    A word's postings of one weight lie together in one task, sorted but never
+    collected; blocks are cut as the task passes over them.
+    """
+    left = _opened(stored.select("shard", "label", "term", "postings")).join(incoming.select("node_id"), "node_id", "left_anti")
+    columns = ["shard", "label", "term", "node_id", "tf", "n_words"]
+    postings = left.select(*columns).unionByName(_counted(incoming).select(*columns)).withColumn(
+        "level", F.floor(LEVELS * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / USUAL_WORDS))))
+    dealt = postings.repartition(bucket, F.pmod(F.hash(*GROUP), F.lit(slices)))
+    schema = T.StructType([f for f in INDEX_TABLES["blocks"].schema.fields])
+    return dealt.sortWithinPartitions("term", "shard", "label", "level").mapInArrow(_cut, schema)
+
+
+def _cut(batches):
+    """Blocks of at most ``BLOCK`` postings from rows that lie sorted by word, shard, label and level."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = (rows if rest is None else pa.concat_tables([rest, rows])).combine_chunks()
+        if not len(rows):
+            continue
+        starts = _starts(rows)
+        if starts[-1]:
+            yield _blocks(rows.slice(0, starts[-1]), starts[:-1])
+        rest = rows.slice(starts[-1])  # the last block may go on
+    if rest is not None:
+        yield _blocks(rest, np.array([0]))
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where blocks begin: at a new group, and ``BLOCK`` rows after the last start."""
+    n = len(rows)
+    new = np.zeros(n, dtype=bool)
+    new[0] = True
+    for c in GROUP:
+        values = rows[c].combine_chunks()
+        values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
+        # rows without a label are found by no search; each is a block
+        changed = pc.fill_null(pc.not_equal(values.slice(1), values.slice(0, n - 1)), True)
+        new[1:] |= changed.to_numpy(zero_copy_only=False)
+    firsts = np.flatnonzero(new)
+    place = np.arange(n) - np.repeat(firsts, np.diff(np.append(firsts, n)))
+    return np.flatnonzero(place % BLOCK == 0)
+
+
+def _blocks(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    rows = rows.combine_chunks()
+    tf, n_words = rows["tf"].to_numpy(), rows["n_words"].to_numpy()
+    ends = np.append(starts, len(rows))
+
+    def flat(c: str, type_=None):
+        values = pa.concat_arrays(rows[c].chunks)
+        return values if type_ is None else values.cast(type_)
+
+    held = pa.StructArray.from_arrays([flat("node_id"), flat("tf", pa.int64()), flat("n_words", pa.int32())], names=[f.name for f in POSTING.fields])
+    first = pa.array(starts)
+    return pa.RecordBatch.from_arrays([
+        flat("shard", pa.int32()).take(first), flat("label").take(first), flat("term").take(first), pa.array(np.diff(ends).astype("int64")),
+        pa.array(np.maximum.reduceat(tf, starts).astype("int64")), pa.array(np.minimum.reduceat(n_words, starts).astype("int32")),
+        pa.ListArray.from_arrays(pa.array(ends.astype("int32")), held),
+    ], names=[f.name for f in INDEX_TABLES["blocks"].schema.fields])
 
 
 def search_stored(
@@ -112,7 +176,7 @@ def search_stored(
         blocks = blocks.filter(F.col("term").isin(*[r[0] for r in few]) if few else F.lit(False))
     read = blocks.join(vocabulary, "term", "left_semi")
     spread = read.groupBy("label", "term").agg(F.sum("held").alias("df"))
-    facts = spread.join(sizes, "label")
+    facts = written(spread.join(sizes, "label"), "facts")  # a row per asked word
     bound = weight(F.col("top_tf"), F.col("low_words"), F.col("df"))
     bounded = written(read.join(facts, ["label", "term"]).withColumn("bound", bound), "bounded")
 
@@ -120,10 +184,11 @@ def search_stored(
         rows = _opened(part).withColumn("w", weight(F.col("tf"), F.col("n_words"), F.col("df")))
         return rows if within is None else rows.join(within.select("node_id"), "node_id", "left_semi")
 
-    best = bounded.groupBy("label", "term").agg(F.max("bound").alias("best"))
+    best = written(bounded.groupBy("label", "term").agg(F.max("bound").alias("best")), "best")
+    same = alike(asked, best)
     by_best = Window.partitionBy("query_id", "label").orderBy(F.desc("best"), "term")
     of_query = Window.partitionBy("query_id", "label")
-    terms_of = written(asked.join(best, "term").select(
+    terms_of = written(asked.join(best, "term").join(leading(same), ["query_id", "label"], "left_semi").select(
         "query_id", "label", "term",
         F.sum("best").over(by_best.rowsBetween(0, Window.unboundedFollowing)).alias("still_possible"),
         (F.sum("best").over(of_query) - F.col("best")).alias("others"),
@@ -139,14 +204,14 @@ def search_stored(
     needed = terms_of.join(reached, ["query_id", "label"], "left").withColumn("needed", F.coalesce("reached", F.lit(0.0)) - SLACK)
     deciding = written(needed.filter(F.col("still_possible") >= F.col("needed")), "deciding")
     # a block is opened once for all queries that need it: the least demanding one decides on it
-    least = deciding.groupBy("label", "term").agg(F.min(F.col("needed") - F.col("others")).alias("least"))
+    least = written(deciding.groupBy("label", "term").agg(F.min(F.col("needed") - F.col("others")).alias("least")), "least")
     opening = opened(bounded.join(least, ["label", "term"]).filter(F.col("bound") >= F.col("least")))
     chosen = written(
         deciding.join(opening.select("label", "term", "node_id", "w"), ["label", "term"])
         .filter(F.col("w") + F.col("others") >= F.col("needed")).select("query_id", "label", "node_id").distinct(),
         "candidates",
     )
-    wanted = chosen.select("label", "node_id").distinct()
+    wanted = written(chosen.select("label", "node_id").distinct(), "wanted")
     weights = _opened(bounded).join(wanted, ["label", "node_id"], "left_semi").select(
         "label", "node_id", "term", weight(F.col("tf"), F.col("n_words"), F.col("df")).alias("w"))
     scored = (
@@ -155,4 +220,4 @@ def search_stored(
     )
     order = [F.desc("score"), F.col("node_id")]
     per_label = top_k_per_group(scored, ["query_id", "label"], order, limit, "_in_label").drop("_in_label")
-    return top_k_per_group(per_label, ["query_id"], order, limit, "rank")
+    return top_k_per_group(for_all(per_label, same), ["query_id"], order, limit, "rank")

@@ -3,10 +3,11 @@
 import collections
 import random
 
+import pyarrow as pa
 import pytest
 
 from citeloom.operators.search import search
-from citeloom.operators.search_index import BLOCK, INDEX_TABLES, index_texts, search_stored, unindex
+from citeloom.operators.search_index import BLOCK, INDEX_TABLES, _cut, index_texts, search_stored, unindex
 from citeloom.sources.snapshots import Snapshots
 from tests.test_search_sources_streams import bm25
 
@@ -77,3 +78,16 @@ def test_blocks_of_a_word_in_every_text_stay_small_and_empty_input_is_allowed(sp
     assert blocks.agg({"held": "max"}).first()[0] < 2 * BLOCK and blocks.agg({"held": "sum"}).first()[0] == 32_000
     found = search_stored(store, spark.createDataFrame([(1, "the rare")], "query_id int, text string"), 1).collect()
     assert [r.node_id for r in found] == ["n7"]
+
+
+def test_blocks_are_cut_while_sorted_postings_pass_by():
+    rows = [(s, "Paper", w, 7, f"{w}{s}{i}", i % 5 + 1, i % 9 + 3) for w, s, n in (("a", 0, 300), ("a", 1, 1), ("b", 0, 128), ("c", 0, 129)) for i in range(n)]
+    table = pa.table(dict(zip(("shard", "label", "term", "level", "node_id", "tf", "n_words"), map(list, zip(*rows)))))
+    for size in (7, 128, 1000):
+        blocks = [b for batch in _cut(table.to_batches(max_chunksize=size)) for b in batch.to_pylist()]
+        assert [(b["term"], b["shard"], b["held"]) for b in blocks] == [
+            ("a", 0, 128), ("a", 0, 128), ("a", 0, 44), ("a", 1, 1), ("b", 0, 128), ("c", 0, 128), ("c", 0, 1)]
+        assert [(b["shard"], b["term"], *p.values()) for b in blocks for p in b["postings"]] == [(r[0], r[2], *r[4:]) for r in rows]
+        assert all(b["held"] == len(b["postings"]) for b in blocks)
+        assert all((b["top_tf"], b["low_words"]) == (max(p["tf"] for p in b["postings"]), min(p["n_words"] for p in b["postings"])) for b in blocks)
+    assert list(_cut(iter([]))) == [] == list(_cut(table.slice(0, 0).to_batches()))
