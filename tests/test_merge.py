@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from citeloom.operators import browse, compare, evals, merge
@@ -47,6 +49,24 @@ def test_delete_cascade(spark):
     assert rows(out["entity_vectors"], "node_id") == [("kept",), ("shared",)] and rows(out["entity_papers"], "node_id", "paper_id") == [("shared", "2")]
 
 
+def test_orphans_equal_a_plain_search(spark):
+    draw = random.Random(5)
+    label = {f"n{i}": draw.choice(["Paper", "Method", "Claim"]) for i in range(60)}
+    pairs = [(draw.choice(sorted(label)), draw.choice(sorted(label))) for _ in range(70)] + [("n1", "n1"), (None, "n2"), ("n3", None), ("n4", "unknown")]
+    gone = {n for n in label if label[n] == "Paper" and draw.random() < 0.7}
+    far = {n: [b if a == n else a for a, b in pairs if n in (a, b)] for n in label}
+    want = {n for n in label if label[n] != "Paper" and far[n] and all(o in gone for o in far[n])}
+    nodes = spark.createDataFrame([(n, label[n], n) for n in label], "node_id string, label string, paper_id string")
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    doomed = spark.createDataFrame([(n,) for n in gone], "paper_id string")
+    none = spark.createDataFrame([], "node_id string, paper_id string")
+    out = merge.delete_papers(nodes.select("paper_id"), nodes, edges, none, none, none, doomed)
+    assert want and {r.node_id for r in out["orphans"].collect()} == want
+    assert {r.node_id for r in out["nodes"].collect()} == set(label) - gone - want
+    # what is left of nodes and provenance joins the ids that go, and no edge a second time
+    assert all("src" not in out[t]._jdf.queryExecution().optimizedPlan().toString() for t in ("nodes", "entity_papers"))
+
+
 def test_patch_only_sent_fields(spark):
     stored = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, name string, note string")
     changes = spark.createDataFrame([(1, None, "n", ["name"])], "id int, name string, note string, sent array<string>")
