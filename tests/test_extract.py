@@ -177,6 +177,18 @@ def test_claim_dedup_equals_double_loop(spark):
     assert got == want
 
 
+def test_claims_in_blocks_equal_double_loop_and_are_dealt_once(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 3))
+    vec = base[rng.integers(12, size=150)] + rng.normal(scale=0.2, size=(150, 3))
+    unit, lengths = vec / np.linalg.norm(vec, axis=1, keepdims=True), [int(x) for x in rng.integers(1, 9, size=150)]
+    want = greedy(lengths, np.round(unit @ unit.T, 9), 0.95)
+    for cells in (1, 700, 4_000_000):
+        assert {i for i, kept in enumerate(ex._surviving(lengths, unit, 0.95, cells)) if kept} == want
+    claims = spark.range(100).select((F.col("id") % 7).alias("paper_id"), F.col("id").alias("seq"), F.lit("x").alias("text"), F.array(F.lit(1.0)).alias("vector"))
+    assert ex.dedupe_claims(claims)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_title_and_trivial_claims(spark):
     rows = [("p", "claim", "A Study of Deep Nets"), ("p", "claim", "Results table"), ("p", "claim", "Nets win often"), ("p", "claim", "It improves speed"), ("p", "method", "Nets")]
     df = spark.createDataFrame(rows, "paper_id string, kind string, name string")
