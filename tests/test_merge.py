@@ -1,8 +1,10 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from citeloom.operators import browse, compare, evals, merge
+from citeloom.runtime import counted
 
 
 def rows(df, *cols):
@@ -108,6 +110,16 @@ def test_self_loop_shows_once(spark):
     assert rows(browse.oriented(edges), "node_id", "other_id", "direction") == [("a", "a", "outgoing"), ("a", "b", "outgoing"), ("b", "a", "incoming")]
 
 
+def test_rows_per_key_are_combined_by_batch_and_dealt(spark):
+    keys = [None if i % 50 == 0 else "hub" if i % 3 else f"k{i % 11}" for i in range(3000)]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "node_id string, other long").repartition(5)
+    out = counted(df, "node_id")
+    shuffled = out._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
+    assert {r.node_id: r.n for r in out.collect()} == dict(Counter(keys)) and out.schema["n"].dataType.typeName() == "long"
+    # no input task keeps a map of the keys it reads: all aggregation is behind the one shuffle
+    assert len(shuffled) == 2 and "Aggregate" not in shuffled[1] and counted(df.limit(0), "node_id").count() == 0
+
+
 def slot(key):
     h = 5381
     for ch in key:
