@@ -177,6 +177,18 @@ def test_claim_dedup_equals_double_loop(spark):
     assert got == want
 
 
+def test_targets_are_looked_up_in_the_lists(spark):
+    offered = spark.createDataFrame(
+        [("p", 0, [("A", "Method"), ("B", "Dataset")]), ("p", 1, [("C", "Method"), (None, "Method")]), ("q", 0, [("A", "Method")])],
+        "paper_id string, page int, offered array<struct<name:string,entity_type:string>>")
+    relations = spark.createDataFrame(
+        [("p", "A", 1), ("p", "A", 2), ("p", "C", 3), ("p", "a", 4), ("p", None, 5), ("q", "B", 6), ("q", "A", 7), ("r", "A", 8)],
+        "paper_id string, target string, pos int")
+    kept = ex.known_targets(relations, offered)
+    assert "Generate" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.pos for r in kept.collect()) == [1, 2, 3, 7]
+
+
 def test_claims_in_blocks_equal_double_loop_and_are_dealt_once(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(12, 3))
