@@ -58,3 +58,28 @@ def test_empty(spark, docs):
     assert [r["contaminated"] for r in contamination(docs([(1, "a b c d e f")]), none).collect()] == [False]
     some = spark.createDataFrame([(1, "a b c d e", "d", "r")], TESTS)
     assert contamination(docs([]), some).collect() == []
+
+
+def test_what_text_and_test_repeat_is_not_multiplied_out(spark, docs):
+    import tracemalloc
+
+    import numpy as np
+
+    from citeloom.llm.tiling import coverages, tile_hits
+
+    draw = random.Random(6)
+    for _ in range(60):
+        a, b = ([draw.choice("ab") for _ in range(draw.randrange(40))] for _ in range(2))
+        windows = {tuple(a[p: p + 3]) for p in range(len(a) - 2)} & {tuple(b[q: q + 3]) for q in range(len(b) - 2)}
+        hits = [tuple(np.array([k for k in range(len(x) - 2) if tuple(x[k: k + 3]) == w]) for x in (a, b)) for w in sorted(windows)]
+        assert tile_hits(hits, 3) == greedy(a, b, 3)
+    long = np.arange(40_000)
+    tracemalloc.start()
+    assert tile_hits([(long, np.arange(97))], 4) == [(0, 0, 100)]
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000  # 3,880,000 pairs
+    tracemalloc.stop()
+    tests = spark.createDataFrame([(1, "of the " * 30, "d", "r"), (2, "n " * 50, "d", "r"), (2, "n " * 50, "d", "r")], TESTS)
+    rows = [(0, "Of the, " * 20_000), (1, "n " * 20_000), (2, "n " * 7), (3, "of the of the x")]
+    texts, tiled = coverages(docs(rows), tests)
+    ids = {r["row"]: r["doc_id"] for r in texts.collect()}
+    assert {(ids[r["row"]], r["item_id"], r["n_test"], r["covered"], r["tiles"]) for r in tiled.collect()} == {(0, 1, 60, 60, 1), (1, 2, 50, 50, 1), (2, 2, 50, 7, 1), (3, 1, 60, 4, 1)}
