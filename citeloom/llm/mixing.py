@@ -29,8 +29,8 @@ PRESENT = (0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0)  # factors tried for what pr
 MISSING = (0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0)  # and for what absent words say
 UNTRIED = (64, 0.5, 0.3)  # without rows held out
 
-# Runs of ASCII punctuation, and what lies between them and white space.
-PARTS = "[!-/:-@\\[-`{-~]+|[^ \\t-\\r!-/:-@\\[-`{-~]+"
+PUNCTUATION = "([!-/:-@\\[-`{-~]+)"  # runs of ASCII punctuation
+INK = "[^ \\t-\\r]"  # what words are made of
 ROWS = ["doc_id", "_text_hash"]
 DIGITS = 3  # of a posterior; rows of equal posterior share their rate
 STEPS = 100  # gradient steps at most
@@ -59,12 +59,13 @@ def _words(text: Column) -> Column:
 
 def _features(words: Column) -> Column:
     """The different words without ASCII punctuation, and each run of punctuation as a word of its own."""
-    return F.array_distinct(F.regexp_extract_all(F.array_join(F.array_distinct(words), " "), F.lit(PARTS), F.lit(0)))
+    apart = F.regexp_replace(F.array_join(F.array_distinct(words), " "), F.lit(PUNCTUATION), F.lit(" $1 "))
+    return F.array_remove(F.array_distinct(F.split(apart, " ")), "")
 
 
 def _family(words: Column) -> Column:
     """The lowest hash of three words in a row: mostly the same for copies with few edits."""
-    threes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, 3)))
+    threes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(3)]))
     return F.array_min(threes)
 
 
@@ -77,9 +78,9 @@ def labelled_texts(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...
     for d in domains:
         some = labelled.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.unionByName(some)
-    # At most domains * sample ids: a bounded table.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    texts = texts.select("domain", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0).alias("held"), _words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    # At most domains * sample ids: a bounded table. The filter goes below the join, to all texts: it looks for one character.
+    texts = docs.select("doc_id", "text").where(F.col("text").rlike(INK)).join(F.broadcast(chosen), "doc_id")
+    texts = texts.select("domain", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0).alias("held"), _words(F.col("text")).alias("words"))
     return written(texts.select("domain", "held", _family(F.col("words")).alias("family"), _features(F.col("words")).alias("features")), "labelled-texts")
 
 

@@ -184,3 +184,24 @@ def test_empty(spark, docs):
     got = mix_documents(docs([(1, "a b"), (2, None)]), none, TARGETS).collect()
     assert {(r["doc_id"], r["tokens"]) for r in got} == {(1, 2), (2, 0)}
     assert all(abs(r["p_good"] - 1 / 3) < 1e-3 for r in got)  # posteriors have three digits
+
+
+def test_only_labelled_texts_are_split_to_learn_from(spark, docs, monkeypatch):
+    import re
+
+    from citeloom.llm import mixing
+
+    texts = ["", None, " \t\r\n\x0b\x0c", "a", "a b", "A b\tc a  b c d", "x$1 $1y \\d+ (é—ß)### a.b.c  ..  'tis \x1c \x85 ", "vile###,### vile ###", "one two three two three four " * 30]
+    frame = docs(list(enumerate(texts)))
+    labelled = spark.createDataFrame([(i, "good") for i in range(len(texts))], "doc_id long, domain string")
+    monkeypatch.setattr(mixing, "written", lambda df, name: df)
+    got = mixing.labelled_texts(frame, labelled, ("good",))
+    below = got._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+    assert "split(" not in below and "regexp" not in below  # the join comes before the work on a text
+    whole = ["".join(c.lower() if c.isascii() else c for c in t) for t in texts[3:]]
+    words = [[w for w in re.split("[ \t-\r]+", t) if w] for t in whole]
+    want = sorted(sorted(dict.fromkeys(re.findall(r"[!-/:-@\[-`{-~]+|[^ \t-\r!-/:-@\[-`{-~]+", " ".join(w)))) for w in words)
+    assert sorted(sorted(r["features"]) for r in got.collect()) == want
+    slices = spark.createDataFrame([(w,) for w in words], "words array<string>")
+    threes = "array_min(transform(sequence(0, greatest(size(words) - 3, 0)), i -> xxhash64(slice(words, i + 1, 3))))"
+    assert slices.where(F.expr(threes) != mixing._family(F.col("words"))).count() == 0
