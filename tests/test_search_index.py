@@ -6,6 +6,7 @@ import random
 import pyarrow as pa
 import pytest
 
+from citeloom.operators import search_index
 from citeloom.operators.search import search
 from citeloom.operators.search_index import BLOCK, INDEX_TABLES, _cut, index_texts, search_stored, unindex
 from citeloom.sources.snapshots import Snapshots
@@ -91,3 +92,35 @@ def test_blocks_are_cut_while_sorted_postings_pass_by():
         assert all(b["held"] == len(b["postings"]) for b in blocks)
         assert all((b["top_tf"], b["low_words"]) == (max(p["tf"] for p in b["postings"]), min(p["n_words"] for p in b["postings"])) for b in blocks)
     assert list(_cut(iter([]))) == [] == list(_cut(table.slice(0, 0).to_batches()))
+
+
+def test_a_node_is_named_once_whatever_its_words_are_and_no_posting_is_shuffled(spark, store):
+    rng = random.Random(9)
+    rows = [(f"{rng.getrandbits(512):0128x}", "Paper", " ".join(rng.sample(["net", "deep", *(f"w{i}" for i in range(60))], 30))) for _ in range(1500)]
+    store.change(lambda c: index_texts(c, spark.createDataFrame(rows, TEXTS)))
+    assert store.read("blocks").agg({"held": "sum"}).first()[0] == 45_000
+    assert store.read("blocks").schema["postings"].dataType.elementType.names == ["number", "tf", "n_words"]
+    assert store.read("lengths").select("shard", "number").distinct().count() == store.read("lengths").count() == 1500
+    plan = search_index._inverted(store.read("lengths"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    for limit in (3, 1000):
+        assert hits(store, spark, limit)[1] == bm25(rows, "the deep net", limit)
+
+
+def test_words_are_counted_while_nodes_pass_by(monkeypatch):
+    rng = random.Random(3)
+    nodes = [(rng.randrange(4), rng.choice(["Paper", "Method", None]), 7 if n in (50, 51) else n, sorted(rng.choices("abcdefgh", k=rng.randint(1, 90)))) for n in range(120)]
+    nodes[50], nodes[51] = (0, *nodes[50][1:]), (1, *nodes[51][1:])  # numbers of two shards may agree
+    rows = [(s, label, n, len(words), w) for s, label, n, words in nodes for w in words]
+    table = pa.table(dict(zip(("shard", "label", "number", "n_words", "term"), map(list, zip(*rows)))))
+    table = table.set_column(2, "number", table["number"].cast(pa.int64()))
+    for size, most in ((7, 50), (13, 1), (10_000, 100), (500, 10_000)):
+        monkeypatch.setattr(search_index, "PASS", most)
+        got = [b for batch in search_index._alike_together(table.to_batches(max_chunksize=size)) for b in batch.to_pylist()]
+        found = collections.Counter((g["shard"], g["label"], g["node_id"], g["n_words"], g["term"], g["tf"]) for g in got)
+        assert found == collections.Counter((s, label, n, len(words), w, c) for s, label, n, words in nodes for w, c in collections.Counter(words).items())
+        assert all(g["level"] == int(16 * g["tf"] / (g["tf"] + 1.2 * (0.25 + 0.75 * g["n_words"] / 64))) for g in got)
+    blocks = [b for batch in _cut(iter(search_index._alike_together(table.to_batches()))) for b in batch.to_pylist()]
+    groups = {(b["shard"], b["label"], b["term"]) for b in blocks if b["label"]}
+    assert sum(b["held"] for b in blocks) == len(got) and len(groups) < len([b for b in blocks if b["label"]]) <= 16 * len(groups)
+    assert list(search_index._alike_together(iter([]))) == []
