@@ -90,6 +90,34 @@ def test_an_adjacency_row_names_each_node_once(spark, tmp_path):
         spark.sql("DROP TABLE narrow_links_of_a_test")
 
 
+def test_limits_are_filled_from_the_best_edges_of_all(spark, monkeypatch):
+    rng = random.Random(11)
+    ids = [f"n{i:02}" for i in range(40)]
+    rows = sorted({(rng.choice(ids), rng.choice(ids), rng.choice(["EXTENDS", "USES_METHOD"])): rng.choice([0.2, 0.5, 0.5, 0.9, None, float("nan")]) for _ in range(160)}.items())
+    rows = [(*key, conf) for key, conf in rows] + [("far", "away", "EXTENDS", 0.1), (None, "n01", "EXTENDS", 0.9), ("n02", None, "EXTENDS", 0.9)]
+    edges = spark.createDataFrame(rows, "src string, dst string, rel_type string, confidence double").repartition(3)
+    seeds = spark.createDataFrame([(q, s) for q in range(3) for s in ids[q::3]] + [(3, "far"), (4, "nowhere"), (5, ids[0])], "query_id long, node_id string")
+    for hops, limit, ahead, kinds in ((1, 6, 4, None), (2, 9, 2, ["EXTENDS"]), (3, 20, 8, None), (3, 200, 8, None)):
+        plain = sorted(map(repr, tr.traverse(edges, seeds, hops, kinds, limit).collect()))
+        with monkeypatch.context() as patched:
+            patched.setattr(tr, "BROADCAST_ROWS", 0)
+            patched.setattr(tr, "AHEAD", ahead)
+            assert sorted(map(repr, tr.traverse(edges, seeds, hops, kinds, limit).collect())) == plain, (hops, limit)
+
+
+def test_edges_are_not_joined_for_queries_that_the_best_ones_fill(spark, monkeypatch):
+    edges = spark.range(30_000).selectExpr("concat('n', id) AS src", "concat('h', id % 7) AS dst", "'EXTENDS' AS rel_type", "(id % 100) / 100 AS confidence")
+    seeds = spark.range(30_000).selectExpr("id % 3 AS query_id", "concat('n', id) AS node_id")
+    best = sorted((f"n{i}", f"h{i % 7}") for i in range(99, 30_000, 100))[:5]
+
+    def never(links, reached):
+        raise AssertionError("all edges that are met were joined")
+
+    monkeypatch.setattr(tr, "incident", never)
+    got = tr.traverse(edges, seeds, 2, row_limit=5).orderBy("query_id", "ord").collect()
+    assert [(r.query_id, r.src, r.dst, r.ord) for r in got] == [(q, *e, i + 1) for q in range(3) for i, e in enumerate(best)]
+
+
 def test_row_limit_keeps_best_confidence_per_query(spark):
     edges = spark.createDataFrame([("s", f"x{i}", "EXTENDS", i / 100) for i in range(50)] + [("s", "none", "EXTENDS", None)],
                                   "src string, dst string, rel_type string, confidence double")
